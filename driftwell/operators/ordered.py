@@ -21,24 +21,30 @@ def value_bucket(value: Column) -> Column:
     return F.floor(F.signum(value) * size * F.lit(BUCKETS_PER_DOUBLING)).cast("bigint")
 
 
-def running_totals(df: DataFrame, groups: list[str], value: str, sums: list[str]) -> DataFrame:
+def running_totals(
+    df: DataFrame, groups: list[str], value: str, sums: list[str], *, following: bool = False
+) -> DataFrame:
     """One row per (groups, value) with, for every column s of ``sums``, its total
-    ``s``, the total ``s_before`` over smaller values and the group's ``s_all``."""
+    ``s``, the total ``s_before`` over smaller values and the group's ``s_all``; with
+    ``following`` also the next larger value of the group as ``following``."""
     summed = df.groupBy(*groups, value).agg(*[F.sum(s).alias(s) for s in sums])
     cut = summed.withColumn("_bucket", value_bucket(F.col(value)))
     keys = [*groups, "_bucket"]
     # partitioned by bucket once; the window, the bucket sums and the join all use it
     inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     in_bucket = cut.select(
-        "*", *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"_in_{s}") for s in sums]
+        "*",
+        *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"_in_{s}") for s in sums],
+        *([F.lead(value).over(Window.partitionBy(*keys).orderBy(value)).alias("_next")] if following else []),
     )
     whole = Window.partitionBy(*(groups or [F.lit(0)]))
     earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.groupBy(*keys)
-        .agg(*[F.sum(s).alias(f"_{s}") for s in sums])
+        .agg(*[F.sum(s).alias(f"_{s}") for s in sums], F.min(value).alias("_first"))
         .select(
             *keys,
+            *([F.lead("_first").over(whole.orderBy("_bucket")).alias("_next_first")] if following else []),
             *[F.coalesce(F.sum(f"_{s}").over(earlier), F.lit(0)).alias(f"_off_{s}") for s in sums],
             *[F.sum(f"_{s}").over(whole).alias(f"{s}_all") for s in sums],
         )
@@ -49,6 +55,7 @@ def running_totals(df: DataFrame, groups: list[str], value: str, sums: list[str]
         *sums,
         *[(F.col(f"_in_{s}") + F.col(f"_off_{s}")).alias(f"{s}_before") for s in sums],
         *[f"{s}_all" for s in sums],
+        *([F.coalesce("_next", "_next_first").alias("following")] if following else []),
     )
 
 
