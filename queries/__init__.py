@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from queries import metrics, profile, resample  # noqa: F401
+    from queries import columns, metrics, profile, resample, views  # noqa: F401
