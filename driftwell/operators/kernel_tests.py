@@ -22,7 +22,7 @@ from driftwell.functions.distances import squared_distances
 from driftwell.functions.hashing import hash_key
 from driftwell.operators.detectors import each_resample, unit_weights, weight_columns, weight_keys
 from driftwell.operators.numbering import sample_rows
-from driftwell.operators.pairs import Block, PairPlan, empty_table, hash_block, spread
+from driftwell.operators.pairs import Block, PairPlan, empty_table, hash_block, own_columns, spread
 
 KERNEL_BLOCK_ROWS = 1024
 CHUNK_COLUMNS = 2048
@@ -191,13 +191,6 @@ class _Columns:
             .select("row_id", "chunk", F.col("e.at").alias("cols"), F.col("e.w").alias("ws"))
         )
 
-    def totals(self, w: np.ndarray) -> np.ndarray:
-        """For every column the vector its cross term is taken with: the reference for a
-        resample, reference plus resample for a relabelling."""
-        k, p = self.per_chunk, self.n_permutations
-        ref, resamples = w[:, :1], w[:, 1 : 1 + k]
-        return np.concatenate([ref, np.repeat(ref, k, axis=1), np.repeat(ref + resamples, p, axis=1)], axis=1)
-
     def col(self) -> Column:
         """Resample number of a (chunk, at) row."""
         k, p = self.per_chunk, self.n_permutations
@@ -211,6 +204,14 @@ class _Columns:
 # ---- maximum mean discrepancy
 
 
+def _totals(w: np.ndarray, per_chunk: int, n_permutations: int) -> np.ndarray:
+    """For every column the vector its cross term is taken with: the reference for a
+    resample, reference plus resample for a relabelling."""
+    ref, resamples = w[:, :1], w[:, 1 : 1 + per_chunk]
+    moved = np.repeat(ref + resamples, n_permutations, axis=1)
+    return np.concatenate([ref, np.repeat(ref, per_chunk, axis=1), moved], axis=1)
+
+
 def _kernel_forms(
     rows: DataFrame, packed: DataFrame, layout: _Columns, gamma: float, block_rows: int
 ) -> DataFrame:
@@ -219,8 +220,8 @@ def _kernel_forms(
     n_blocks = max(1, -(-rows.count() // block_rows))
     blocks = hash_block(rows.join(packed, "row_id"), "_b", n_blocks)
     left = blocks.withColumn("_i", F.col("_b")).withColumn("_j", spread(F.col("_b"), n_blocks - 1)).drop("_b")
-    right = blocks.withColumn("_j", F.col("_b")).withColumn("_i", spread(0, F.col("_b"))).drop("_b")
-    width, totals = layout.width, layout.totals
+    right = own_columns(blocks).withColumn("_j", F.col("_b")).withColumn("_i", spread(0, F.col("_b"))).drop("_b")
+    width, per_chunk, n_permutations = layout.width, layout.per_chunk, layout.n_permutations
     schema = "chunk int, at int, quad double, cross double"
     empty = empty_table(schema)
 
@@ -232,10 +233,10 @@ def _kernel_forms(
         wx, wy = x.dense_weights(width), y.dense_weights(width)
         kw = k @ wy
         quad = np.einsum("ij,ij->j", wx, kw)
-        cross = np.einsum("ij,ij->j", totals(wx), kw)
+        cross = np.einsum("ij,ij->j", _totals(wx, per_chunk, n_permutations), kw)
         if a.column("_i")[0].as_py() != a.column("_j")[0].as_py():
             quad = 2.0 * quad
-            cross = cross + np.einsum("ij,ij->j", wx, k @ totals(wy))
+            cross = cross + np.einsum("ij,ij->j", wx, k @ _totals(wy, per_chunk, n_permutations))
         return pa.table(
             {
                 "chunk": np.full(width, a.column("chunk")[0].as_py(), dtype=np.int32),

@@ -8,8 +8,6 @@ group in one task.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,28 +45,26 @@ def number_rows(
     )
 
 
-def hash_cutoff(df: DataFrame, row_id: str, k: int, *, seed: int, tag: str) -> tuple[str, object] | None:
-    """(md5, row id) of the k-th row in hash order; None when k is 0.
+def hash_cutoff(df: DataFrame, row_id: str, fraction: float, *, seed: int, tag: str) -> tuple[str, object] | None:
+    """(md5, row id) of the last of the first floor(fraction * n) rows in hash order;
+    None when there are none.
 
-    Two narrow passes over the key column: bucket counts, then the rows of the
-    one bucket in which the k-th row lies.
+    Two narrow passes over the key column: bucket counts, then the rows of the one
+    bucket in which that row lies.
     """
-    if k <= 0:
-        return None
     keyed = df.select(row_id, hash_key(seed, tag, F.col(row_id)).alias("_hash"))
     keyed = keyed.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
-    upto = Window.partitionBy(F.lit(0)).orderBy("_bucket")
+    whole = Window.partitionBy(F.lit(0))  # one row per bucket
+    counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     crossing = (
-        keyed.groupBy("_bucket")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(upto))
-        .filter(F.col("_upto") >= k)
-        .orderBy("_bucket")
+        counts.withColumn("_upto", F.sum("_n").over(whole.orderBy("_bucket")))
+        .withColumn("_k", F.floor(F.lit(float(fraction)) * F.sum("_n").over(whole)))
+        .filter((F.col("_upto") >= F.col("_k")) & (F.col("_k") > F.col("_upto") - F.col("_n")))
         .first()
     )
     if crossing is None:
-        raise ValueError(f"fewer than {k} rows")
-    inside = k - (crossing["_upto"] - crossing["_n"])
+        return None
+    inside = crossing["_k"] - (crossing["_upto"] - crossing["_n"])
     last = (
         keyed.filter(F.col("_bucket") == crossing["_bucket"])
         .withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", row_id)))
@@ -85,8 +81,7 @@ def split_by_fraction(
 
     Only a comparison with the cut-off runs over the wide rows, without a shuffle.
     """
-    n = df.count()
-    cutoff = hash_cutoff(df, row_id, math.floor(fraction * n), seed=seed, tag=tag)
+    cutoff = hash_cutoff(df, row_id, fraction, seed=seed, tag=tag)
     if cutoff is None:
         return df.withColumn("is_reference", F.lit(False))
     last_hash, last_id = cutoff

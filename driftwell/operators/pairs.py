@@ -66,7 +66,7 @@ class PairPlan:
     one block, so that a kernel may return finished rows."""
 
     def __init__(self, left: DataFrame, right: DataFrame, *, share: bool | None = None, block_rows: int = BLOCK_ROWS):
-        self.left, self.right, self.block_rows = left, right, block_rows
+        self.left, self.right, self.block_rows = left, own_columns(right), block_rows
         weights = F.sum(F.size("ws")) if "ws" in right.columns else F.lit(0)
         size = right.agg(
             F.count("*").alias("n"), F.sum(F.size("v")).alias("cells"), weights.alias("weights")
@@ -109,6 +109,11 @@ class PairPlan:
         return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInArrow(run, schema)
 
 
+def own_columns(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, so that both sides may stem from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def hash_block(df: DataFrame, out: str, n_blocks: int) -> DataFrame:
     """Assign rows to evenly filled blocks by the hash of their key."""
     return df.withColumn(out, F.pmod(F.xxhash64("row_id"), F.lit(n_blocks)).cast("int"))

@@ -65,10 +65,8 @@ def one_hot(df: DataFrame, row_id: str, numeric: list[str], categories: dict[str
     an unknown category gives zeros."""
     blocks = [F.array(*[F.col(c).cast("float") for c in numeric])] if numeric else []
     for column, known in categories.items():
-        lits = F.array(*[F.lit(k) for k in known])
-        blocks.append(
-            F.transform(lits, lambda k, c=column: F.when(F.col(c).cast("string") == k, 1.0).otherwise(0.0).cast("float"))
-        )
+        value = F.col(column).cast("string")
+        blocks.append(F.array(*[F.coalesce(value == F.lit(k), F.lit(False)).cast("float") for k in known]))
     return df.select(F.col(row_id).alias("row_id"), F.concat(*blocks).alias("v"))
 
 
@@ -88,8 +86,8 @@ def varying_positions(df: DataFrame, *, floor: float = VARIANCE_FLOOR) -> list[i
 
 
 def keep_positions(df: DataFrame, positions: list[int]) -> DataFrame:
-    picked = F.transform(F.array(*[F.lit(p) for p in positions]), lambda i: F.col("v")[i])
-    return df.withColumn("v", picked)
+    """Vectors cut down to some positions, in their old order."""
+    return df.withColumn("v", F.filter("v", lambda x, i: i.isin(list(positions))))
 
 
 def first_features(df: DataFrame, n: int = FIRST_FEATURES) -> DataFrame:

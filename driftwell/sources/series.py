@@ -29,9 +29,13 @@ def assemble_series(
         .agg(F.avg("_x").alias("_mean"))
     )
     by_day = daily.groupBy(*entity).agg(F.map_from_entries(F.collect_list(F.struct("_day", "_mean"))).alias("_days"))
+    # the outer one-element array names the map, so that it is built once and not per day
     filled = F.transform(
-        F.sequence(F.lit(0), F.lit(length - 1)), lambda d: F.coalesce(F.col("_days")[d], F.lit(0.0)).cast("float")
-    )
+        F.array("_days"),
+        lambda days: F.transform(
+            F.sequence(F.lit(0), F.lit(length - 1)), lambda d: F.coalesce(days[d], F.lit(0.0)).cast("float")
+        ),
+    )[0]
     return by_day.select(
         *entity,
         F.concat_ws("|", *[F.col(c).cast("string") for c in entity]).alias("row_id"),

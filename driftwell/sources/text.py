@@ -75,8 +75,12 @@ def tfidf_vectors(
             "_norm", F.sqrt(F.aggregate(F.map_values("_w"), F.lit(0.0), lambda acc, x: acc + x * x))
         )
     )
+    # the outer one-element array names the map, so that it is read once and not per position
     dense = F.transform(
-        F.sequence(F.lit(0), F.lit(max(width - 1, 0))),
-        lambda i: F.coalesce(F.col("_w")[i] / F.col("_norm"), F.lit(0.0)).cast("float"),
-    )
+        F.array(F.struct("_w", "_norm")),
+        lambda s: F.transform(
+            F.sequence(F.lit(0), F.lit(max(width - 1, 0))),
+            lambda i: F.coalesce(s["_w"][i] / s["_norm"], F.lit(0.0)).cast("float"),
+        ),
+    )[0]
     return docs.select(F.col(row_id).alias("row_id")).join(packed, "row_id", "left").select("row_id", dense.alias("v"))

@@ -8,6 +8,7 @@ from driftwell.operators import columns as C
 from driftwell.operators import resample as S
 from driftwell.operators.numbering import split_by_fraction
 from driftwell.operators.views import in_subgroup
+from driftwell.session import cut_lineage
 from queries import query
 from queries.common import as_output, table
 from queries.resample import LINES_SQL, SUBGROUP, line_items, rank_sql, weights_sql
@@ -24,7 +25,8 @@ def sides(spark, sf):
     rows = split_by_fraction(line_items(spark, sf).select("row_id", *NUMBERS, *FLAGS), "row_id", 0.5, seed=SEED)
     reference = rows.filter("is_reference").drop("is_reference")
     pool = rows.filter("NOT is_reference").drop("is_reference")
-    return reference, pool, S.subgroup_shift_weights(pool, in_subgroup("l_returnflag", "R"), GRID, n_runs=RUNS, seed=SEED)
+    weights = S.subgroup_shift_weights(pool, in_subgroup("l_returnflag", "R"), GRID, n_runs=RUNS, seed=SEED)
+    return reference, pool, cut_lineage(weights)
 
 
 SPLIT_SQL = f"""{LINES_SQL}, split AS (SELECT *, k <= floor(0.5 * (SELECT count(*) FROM lines)) AS is_reference FROM {rank_sql("lines", "42", "split")}),
