@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Fixed values.
 NORMAL_975 = 1.959963984540054
@@ -78,13 +79,13 @@ def _chi_square_tail(x: float, df: int) -> float:
     return min(1.0, math.erfc(math.sqrt(half)) + math.fsum(map(math.exp, logs)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_square_p(statistic: pd.Series, df: pd.Series) -> pd.Series:
     """Upper-tail probability; runs on one row per tested column, never on data rows."""
     return pd.Series([_chi_square_tail(float(x), int(k)) for x, k in zip(statistic, df)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided_p(z: pd.Series) -> pd.Series:
     """P(|Z| >= |z|); runs on one row per tested column, never on data rows."""
     return pd.Series([math.erfc(abs(float(v)) / math.sqrt(2.0)) for v in z])

@@ -60,37 +60,45 @@ def _defaults(pool: DataFrame, weights: DataFrame | None) -> DataFrame:
     return unit_weights(pool) if weights is None else weights
 
 
-def ks_by_column(reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None) -> DataFrame:
-    """(keys..., column, statistic, p_value): largest gap of the two distribution functions."""
-    weights = _defaults(pool, weights)
-    keys = [*weight_keys(weights), "column"]
-    steps = running_totals(_both(reference, pool, weights, columns, "double"), keys, "value", ["r", "t"])
-    gap = F.abs((F.col("r_before") + F.col("r")) / F.col("r_all") - (F.col("t_before") + F.col("t")) / F.col("t_all"))
-    worst = steps.groupBy(*keys).agg(F.max(gap).alias("statistic"), F.max("r_all").alias("_n"), F.max("t_all").alias("_m"))
-    return worst.select(*keys, "statistic", kolmogorov_p(F.col("statistic"), F.col("_n"), F.col("_m")).alias("p_value"))
-
-
-def wasserstein_by_column(
+def numeric_statistics(
     reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None
 ) -> DataFrame:
-    """(keys..., column, statistic): area between the distribution functions over the
-    reference's standard deviation."""
+    """(keys..., column, ks, ks_p, wasserstein) of numeric columns from one pass.
+
+    ks is the largest gap of the two distribution functions, wasserstein the area
+    between them over the reference's standard deviation.
+    """
     weights = _defaults(pool, weights)
     keys = [*weight_keys(weights), "column"]
     steps = running_totals(
         _both(reference, pool, weights, columns, "double"), keys, "value", ["r", "t"], following=True
     )
     gap = F.abs((F.col("r_before") + F.col("r")) / F.col("r_all") - (F.col("t_before") + F.col("t")) / F.col("t_all"))
-    area = steps.groupBy(*keys).agg(F.sum(gap * (F.col("following") - F.col("value"))).alias("_area"))
+    found = steps.groupBy(*keys).agg(
+        F.max(gap).alias("ks"),
+        F.coalesce(F.sum(gap * (F.col("following") - F.col("value"))), F.lit(0.0)).alias("_area"),
+        F.max("r_all").alias("_n"),
+        F.max("t_all").alias("_m"),
+    )
     spread = melted(reference, columns, "double").groupBy("column").agg(F.stddev_pop("value").alias("_sd"))
-    return area.join(F.broadcast(spread), "column").select(  # one row per column of the schema
-        *keys, (F.coalesce("_area", F.lit(0.0)) / F.greatest("_sd", F.lit(MIN_SPREAD))).alias("statistic")
+    return found.join(F.broadcast(spread), "column").select(  # one row per column of the schema
+        *keys,
+        "ks",
+        kolmogorov_p(F.col("ks"), F.col("_n"), F.col("_m")).alias("ks_p"),
+        (F.col("_area") / F.greatest("_sd", F.lit(MIN_SPREAD))).alias("wasserstein"),
     )
 
 
-def _category_shares(
-    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame
-) -> tuple[DataFrame, list[str]]:
+def categorical_statistics(
+    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None
+) -> DataFrame:
+    """(keys..., column, js, chi_square, df, z) of categorical columns from one pass.
+
+    js is the Jensen-Shannon distance of category shares in bits; chi_square compares
+    test counts with reference shares; z is the pooled two-proportion statistic of the
+    first of two categories, null for more than two.
+    """
+    weights = _defaults(pool, weights)
     keys = [*weight_keys(weights), "column"]
     counts = (
         _both(reference, pool, weights, columns, "string")
@@ -98,52 +106,65 @@ def _category_shares(
         .agg(F.sum("r").alias("r"), F.sum("t").alias("t"))
     )
     totals = counts.groupBy(*keys).agg(F.sum("r").alias("r_all"), F.sum("t").alias("t_all"))
-    return counts.join(totals, keys), keys
+    shares = counts.join(totals, keys)
+    p, q = F.col("r") / F.col("r_all"), F.col("t") / F.col("t_all")
+    mid = (p + q) / 2
+    from_p = F.when(p > 0, p * F.log2(p / mid)).otherwise(F.lit(0.0))
+    from_q = F.when(q > 0, q * F.log2(q / mid)).otherwise(F.lit(0.0))
+    expected = F.when(F.col("r") > 0, p * F.col("t_all"))
+    unseen = F.when(F.col("t") > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))
+    part = F.coalesce((F.col("t") - expected) * (F.col("t") - expected) / expected, unseen)
+    found = shares.groupBy(*keys).agg(
+        F.sqrt(F.greatest(F.sum((from_p + from_q) / 2), F.lit(0.0))).alias("js"),
+        F.sum(part).alias("chi_square"),
+        (F.count("*") - 1).alias("df"),
+        F.min(F.struct("value", "r", "t", "r_all", "t_all")).alias("a"),
+    )
+    n, m = F.col("a.r_all").cast("double"), F.col("a.t_all").cast("double")
+    pooled = (F.col("a.r") + F.col("a.t")) / (n + m)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
+    z = F.coalesce((F.col("a.r") / n - F.col("a.t") / m) / F.when(error > 0, error), F.lit(0.0))
+    return found.select(*keys, "js", "chi_square", "df", F.when(F.col("df") <= 1, z).alias("z"))
+
+
+def ks_by_column(reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None) -> DataFrame:
+    """(keys..., column, statistic, p_value) of the Kolmogorov-Smirnov test."""
+    found = numeric_statistics(reference, pool, columns, weights)
+    return found.withColumnsRenamed({"ks": "statistic", "ks_p": "p_value"}).drop("wasserstein")
+
+
+def wasserstein_by_column(
+    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None
+) -> DataFrame:
+    """(keys..., column, statistic): normalised Wasserstein distance."""
+    return numeric_statistics(reference, pool, columns, weights).withColumnRenamed("wasserstein", "statistic").drop("ks", "ks_p")
 
 
 def jensen_shannon_by_column(
     reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None
 ) -> DataFrame:
-    """(keys..., column, statistic): Jensen-Shannon distance of category shares, in bits."""
-    shares, keys = _category_shares(reference, pool, columns, _defaults(pool, weights))
-    p, q = F.col("r") / F.col("r_all"), F.col("t") / F.col("t_all")
-    mid = (p + q) / 2
-    half_p = F.when(p > 0, p * F.log2(p / mid)).otherwise(F.lit(0.0))
-    half_q = F.when(q > 0, q * F.log2(q / mid)).otherwise(F.lit(0.0))
-    return shares.groupBy(*keys).agg(
-        F.sqrt(F.greatest(F.sum((half_p + half_q) / 2), F.lit(0.0))).alias("statistic")
-    )
+    """(keys..., column, statistic): Jensen-Shannon distance."""
+    found = categorical_statistics(reference, pool, columns, weights)
+    return found.withColumnRenamed("js", "statistic").drop("chi_square", "df", "z")
 
 
 def chi_square_by_column(
     reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None
 ) -> DataFrame:
-    """(keys..., column, statistic, df, p_value): test counts against reference shares."""
-    shares, keys = _category_shares(reference, pool, columns, _defaults(pool, weights))
-    expected = F.col("r") / F.col("r_all") * F.col("t_all")
-    part = F.when(F.col("r") > 0, (F.col("t") - expected) * (F.col("t") - expected) / F.when(F.col("r") > 0, expected)).otherwise(
-        F.when(F.col("t") > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))
-    )
-    stats = shares.groupBy(*keys).agg(F.sum(part).alias("statistic"), (F.count("*") - 1).alias("df"))
-    return stats.select(*keys, "statistic", "df", chi_square_p("statistic", "df").alias("p_value"))
+    """(keys..., column, statistic, df, p_value) of the chi-square test."""
+    found = categorical_statistics(reference, pool, columns, weights).withColumnRenamed("chi_square", "statistic")
+    return found.drop("js", "z").withColumn("p_value", chi_square_p("statistic", "df"))
 
 
 def proportion_z_by_column(
     reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None
 ) -> DataFrame:
-    """(keys..., column, statistic, p_value): pooled two-proportion z of the first of two
-    categories; zero when both sides hold one and the same category only."""
-    shares, keys = _category_shares(reference, pool, columns, _defaults(pool, weights))
-    first = shares.groupBy(*keys).agg(
-        F.min(F.struct("value", "r", "t", "r_all", "t_all")).alias("a"), F.count("*").alias("_n")
+    """(keys..., column, statistic, p_value) of the two-proportion test, for columns with
+    at most two categories."""
+    found = categorical_statistics(reference, pool, columns, weights).filter(F.col("df") <= 1)
+    return found.withColumnRenamed("z", "statistic").drop("js", "chi_square", "df").withColumn(
+        "p_value", normal_two_sided_p("statistic")
     )
-    n, m = F.col("a.r_all").cast("double"), F.col("a.t_all").cast("double")
-    p, q = F.col("a.r") / n, F.col("a.t") / m
-    pooled = (F.col("a.r") + F.col("a.t")) / (n + m)
-    error = F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
-    z = F.when(error > 0, (p - q) / F.when(error > 0, error)).otherwise(F.lit(0.0))
-    scored = first.filter(F.col("_n") <= 2).select(*keys, z.alias("statistic"))
-    return scored.select("*", normal_two_sided_p("statistic").alias("p_value"))
 
 
 def column_drift(
@@ -173,33 +194,33 @@ def column_drift(
     numeric = [c for c in numbers if distinct.get(c, 0) > FEW_VALUES]
     categorical = [c for c in columns if c not in numeric]
     keys = [*weight_keys(weights), "column"]
+    small = reference.count() <= small_reference
     parts: list[DataFrame] = []
 
-    def add(found: DataFrame, test: str, drifted) -> None:
-        parts.append(found.select(*keys, F.lit(test).alias("test"), "statistic", drifted.alias("drifted")))
-
-    if reference.count() <= small_reference:
-        two = [c for c in categorical if distinct.get(c, 0) <= 2]
-        more = [c for c in categorical if c not in two]
-        if numeric:
-            add(ks_by_column(reference, pool, numeric, weights), "ks", F.col("p_value") < p_level)
-        if more:
-            add(chi_square_by_column(reference, pool, more, weights), "chi_square", F.col("p_value") < p_level)
-        if two:
-            z = proportion_z_by_column(reference, pool, two, weights)
-            add(z, "z", F.col("p_value") < p_level)
-            # a category the reference lacks makes it three: then chi-square decides
-            chi = chi_square_by_column(reference, pool, two, weights)
-            add(chi.filter(F.col("df") > 1), "chi_square", F.col("p_value") < p_level)
-    else:
-        if numeric:
-            add(wasserstein_by_column(reference, pool, numeric, weights), "wasserstein", F.col("statistic") >= distance_level)
-        if categorical:
+    def add(found: DataFrame, test, statistic, drifted) -> None:
+        parts.append(found.select(*keys, test.alias("test"), statistic.alias("statistic"), drifted.alias("drifted")))
+
+    if numeric:
+        found = numeric_statistics(reference, pool, numeric, weights)
+        if small:
+            add(found, F.lit("ks"), F.col("ks"), F.col("ks_p") < p_level)
+        else:
+            add(found, F.lit("wasserstein"), F.col("wasserstein"), F.col("wasserstein") >= distance_level)
+    if categorical:
+        found = categorical_statistics(reference, pool, categorical, weights)
+        if small:
+            tested = found.withColumn("_chi_p", chi_square_p("chi_square", "df")).withColumn(
+                "_z_p", normal_two_sided_p(F.coalesce("z", F.lit(0.0)))
+            )
+            two = F.col("z").isNotNull()
             add(
-                jensen_shannon_by_column(reference, pool, categorical, weights),
-                "jensen_shannon",
-                F.col("statistic") >= distance_level,
+                tested,
+                F.when(two, "z").otherwise("chi_square"),
+                F.when(two, F.col("z")).otherwise(F.col("chi_square")),
+                F.when(two, F.col("_z_p") < p_level).otherwise(F.col("_chi_p") < p_level),
             )
+        else:
+            add(found, F.lit("jensen_shannon"), F.col("js"), F.col("js") >= distance_level)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -17,12 +17,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from driftwell.functions.distances import squared_distances
 from driftwell.functions.hashing import hash_key
 from driftwell.operators.detectors import each_resample, unit_weights, weight_columns, weight_keys
 from driftwell.operators.numbering import sample_rows
 from driftwell.operators.pairs import Block, PairPlan, empty_table, hash_block, own_columns, spread
+from driftwell.session import cut_lineage
 
 KERNEL_BLOCK_ROWS = 1024
 CHUNK_COLUMNS = 2048
@@ -218,7 +220,7 @@ def _kernel_forms(
     """(chunk, at, quad, cross): w'Kw and w'Kt for every weight vector, from the blocks on
     and above the diagonal."""
     n_blocks = max(1, -(-rows.count() // block_rows))
-    blocks = hash_block(rows.join(packed, "row_id"), "_b", n_blocks)
+    blocks = cut_lineage(hash_block(rows.join(packed, "row_id"), "_b", n_blocks))
     left = blocks.withColumn("_i", F.col("_b")).withColumn("_j", spread(F.col("_b"), n_blocks - 1)).drop("_b")
     right = own_columns(blocks).withColumn("_j", F.col("_b")).withColumn("_i", spread(0, F.col("_b"))).drop("_b")
     width, per_chunk, n_permutations = layout.width, layout.per_chunk, layout.n_permutations
@@ -248,7 +250,8 @@ def _kernel_forms(
 
     key = ["chunk", "_i", "_j"]
     forms = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema)
-    return forms.groupBy("chunk", "at").agg(F.sum("quad").alias("quad"), F.sum("cross").alias("cross"))
+    # one row per weight vector, read several times below
+    return cut_lineage(forms.groupBy("chunk", "at").agg(F.sum("quad").alias("quad"), F.sum("cross").alias("cross")))
 
 
 def mmd_statistics(
@@ -386,7 +389,7 @@ def lsdd_statistics(
             )
 
     parts = rows.mapInArrow(project, "chunk int, at int, pos int, h double")
-    sums = parts.groupBy("chunk", "at", "pos").agg(F.sum("h").alias("h"))
+    sums = cut_lineage(parts.groupBy("chunk", "at", "pos").agg(F.sum("h").alias("h")))
     k = layout.per_chunk
     own = sums.filter(F.col("at") == 0).select("chunk", "pos", F.col("h").alias("hr"))
     sizes = weights.groupBy(*layout.keys).agg(F.sum("w").cast("double").alias("n"))
@@ -417,7 +420,7 @@ def lsdd_statistics(
         differences = differences.unionByName(moved)
     form = density_difference_form(centres, sigma2, ridge)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def quadratic(h: pd.Series) -> pd.Series:
         vectors = np.stack(h.to_numpy())
         return pd.Series(np.einsum("ij,jk,ik->i", vectors, form, vectors))

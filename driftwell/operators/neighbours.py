@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftwell.functions.distances import distances
 from driftwell.operators.detectors import packed_weights, unit_weights, weight_columns, weight_keys
 from driftwell.operators.pairs import Block, PairPlan, as_array, id_field, nearest_distances
+from driftwell.session import cut_lineage
 
 DISTANCE_FLOOR = 1e-12
 
@@ -25,7 +26,7 @@ def resampled_neighbour_distances(
     merging those of all blocks is exact.
     """
     columns, n_columns = weight_columns(weights)
-    packed = pool.select("row_id", "v").join(packed_weights(weights, columns), "row_id")
+    packed = cut_lineage(pool.select("row_id", "v").join(packed_weights(weights, columns), "row_id"))
     plan = PairPlan(packed, packed, share=share)
     whole = plan.whole
 

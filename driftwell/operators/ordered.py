@@ -30,7 +30,7 @@ def running_totals(
     summed = df.groupBy(*groups, value).agg(*[F.sum(s).alias(s) for s in sums])
     cut = summed.withColumn("_bucket", value_bucket(F.col(value)))
     keys = [*groups, "_bucket"]
-    # partitioned by bucket once; the window, the bucket sums and the join all use it
+    # the window, the bucket sums and the join share one partitioning by bucket
     inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     in_bucket = cut.select(
         "*",
@@ -40,7 +40,7 @@ def running_totals(
     whole = Window.partitionBy(*(groups or [F.lit(0)]))
     earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(*keys)
+        in_bucket.groupBy(*keys)
         .agg(*[F.sum(s).alias(f"_{s}") for s in sums], F.min(value).alias("_first"))
         .select(
             *keys,

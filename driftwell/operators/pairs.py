@@ -67,12 +67,11 @@ class PairPlan:
 
     def __init__(self, left: DataFrame, right: DataFrame, *, share: bool | None = None, block_rows: int = BLOCK_ROWS):
         self.left, self.right, self.block_rows = left, own_columns(right), block_rows
-        weights = F.sum(F.size("ws")) if "ws" in right.columns else F.lit(0)
-        size = right.agg(
-            F.count("*").alias("n"), F.sum(F.size("v")).alias("cells"), weights.alias("weights")
-        ).first()
-        self.n_right = size["n"]
-        n_bytes = 8 * (size["cells"] or 0) + 12 * (size["weights"] or 0)
+        self.n_right = right.count()
+        first = right.select(F.size("v")).head()
+        n_bytes = 8 * self.n_right * (first[0] if first else 0)
+        if "ws" in right.columns:
+            n_bytes += 12 * (right.agg(F.sum(F.size("ws"))).first()[0] or 0)
         small = self.n_right <= SHARED_ROWS and n_bytes <= SHARED_BYTES
         self.share = small if share is None else share
         self.right_blocks = max(1, -(-self.n_right // block_rows))

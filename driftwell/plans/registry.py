@@ -14,6 +14,7 @@ from driftwell.operators.neighbours import neighbour_kl_scores
 from driftwell.operators.numbering import sample_rows
 from driftwell.operators.projected import distance_scores
 from driftwell.plans.domains import REFERENCE_CAP, Domain
+from driftwell.session import cut_lineage
 
 Detector = Callable[..., DataFrame]
 
@@ -61,7 +62,7 @@ def enabled_detectors(settings: dict[str, dict] | None) -> list[str]:
 
 def kernel_reference(reference: DataFrame, cap: int, seed: int) -> DataFrame:
     """The reference of the kernel tests: all of it, or ``cap`` sampled rows."""
-    return sample_rows(reference, "row_id", cap, seed=seed, tag="kernel")
+    return cut_lineage(sample_rows(reference, "row_id", cap, seed=seed, tag="kernel"))
 
 
 @register_detector("mmd")

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from queries import columns, detectors, metrics, profile, resample, views  # noqa: F401
+    from queries import columns, detectors, metrics, profile, resample, stored, views  # noqa: F401

@@ -37,7 +37,8 @@ def vector_sides(spark, sf):
     """(reference, pool with labels) of classes 0 and 1 with the usual caps."""
     rows = vectors(spark, sf).filter("label IN (0, 1)")
     reference = sample_rows(rows.filter("label = 0"), "row_id", REFERENCE_CAP, seed=SEED, tag="reference")
-    return reference.select("row_id", "v"), sample_rows(rows, "row_id", POOL_CAP, seed=SEED, tag="pool")
+    pool = sample_rows(rows, "row_id", POOL_CAP, seed=SEED, tag="pool")
+    return cut_lineage(reference.select("row_id", "v")), cut_lineage(pool)
 
 
 def vector_grid(spark, sf, alphas=GRID, runs=RUNS):
