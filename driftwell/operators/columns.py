@@ -1,18 +1,19 @@
 """Per-column two-sample tests and the share of drifted columns.
 
-All columns and all resamples go through one melted table of counts
-(keys..., column, value, n): equal values are added up before anything is sorted or
-joined, so a value that a third of the rows share is one row here.
+All columns and all resamples go through one melted table of counts by (column,
+value): equal values are added up before anything is sorted or joined, so a value that
+a third of the rows share is one row here.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions.stats import chi_square_p, kolmogorov_p, normal_two_sided_p
-from driftwell.operators.detectors import each_resample, unit_weights, weight_keys
+from driftwell.operators.detectors import unit_weights, weight_columns, weight_keys
 from driftwell.operators.ordered import running_totals
+from driftwell.operators.pairs import spread
 from driftwell.operators.views import numeric_columns
 
 SMALL_REFERENCE = 1000
@@ -20,6 +21,7 @@ FEW_VALUES = 5
 P_LEVEL = 0.05
 DISTANCE_LEVEL = 0.1
 MIN_SPREAD = 1e-3
+SLOTS = 8
 
 
 def melted(df: DataFrame, columns: list[str], kind: str, *, keep: list[str] | None = None) -> DataFrame:
@@ -36,24 +38,50 @@ def value_counts(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
     return melted(df, columns, kind).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-def resampled_counts(pool: DataFrame, weights: DataFrame, columns: list[str], kind: str) -> DataFrame:
-    keys = weight_keys(weights)
-    drawn = weights.join(pool.select("row_id", *columns), "row_id")
-    return melted(drawn, columns, kind, keep=[*keys, "w"]).groupBy(*keys, "column", "value").agg(F.sum("w").alias("n"))
+def _slots(n: int) -> list[str]:
+    return [f"t{i}" for i in range(n)]
 
 
-def _both(reference: DataFrame, pool: DataFrame, weights: DataFrame, columns: list[str], kind: str) -> DataFrame:
-    """(keys..., column, value, r, t): counts of both sides per resample."""
-    keys = weight_keys(weights)
-    ours = (
-        value_counts(reference, columns, kind)
-        .select("column", "value", "n", each_resample(weights).alias("_k"))
-        .select("_k.*", "column", "value", F.col("n").alias("r"), F.lit(0).cast("bigint").alias("t"))
+def both_counts(
+    reference: DataFrame, pool: DataFrame, weights: DataFrame, columns: list[str], kind: str
+) -> tuple[DataFrame, DataFrame, int]:
+    """Counts of both sides by value: (chunk, column, value, r, t0, t1, ...), then the
+    resample keys of each (chunk, slot) and the number of slots.
+
+    One row holds the counts of up to ``SLOTS`` resamples, so the values are melted,
+    shuffled and sorted once per chunk of resamples and not once per resample.
+    """
+    grid, n = weight_columns(weights)
+    width = min(n, SLOTS)
+    place = [(F.col("col") / width).cast("int").alias("chunk"), F.pmod(F.col("col"), F.lit(width)).alias("slot")]
+    slots = _slots(width)
+    wide = (
+        weights.join(F.broadcast(grid), weight_keys(weights))
+        .select("row_id", "w", *place)
+        .groupBy("row_id", "chunk")
+        .agg(*[F.sum(F.when(F.col("slot") == i, F.col("w")).otherwise(0)).alias(s) for i, s in enumerate(slots)])
     )
-    theirs = resampled_counts(pool, weights, columns, kind).select(
-        *keys, "column", "value", F.lit(0).cast("bigint").alias("r"), F.col("n").alias("t")
+    drawn = wide.join(pool.select("row_id", *columns), "row_id")
+    zero = F.lit(0).cast("bigint")
+    theirs = (
+        melted(drawn, columns, kind, keep=["chunk", *slots])
+        .groupBy("chunk", "column", "value")
+        .agg(*[F.sum(s).alias(s) for s in slots])
+        .withColumn("r", zero)
+    )
+    ours = value_counts(reference, columns, kind).select(
+        spread(0, (n - 1) // width).alias("chunk"), "column", "value", *[zero.alias(s) for s in slots], F.col("n").alias("r")
+    )
+    return ours.unionByName(theirs), grid.select(*weight_keys(weights), *place), width
+
+
+def _by_resample(found: DataFrame, grid: DataFrame, parts: list[Column]) -> DataFrame:
+    """(keys..., column, statistics...) from one row per (chunk, column) with one struct
+    of statistics per slot."""
+    long = found.select("chunk", "column", F.posexplode(F.array(*parts)).alias("slot", "s"))
+    return long.join(F.broadcast(grid), ["chunk", "slot"]).select(
+        *[c for c in grid.columns if c not in ("chunk", "slot")], "column", "s.*"
     )
-    return ours.unionByName(theirs)
 
 
 def _defaults(pool: DataFrame, weights: DataFrame | None) -> DataFrame:
@@ -68,24 +96,41 @@ def numeric_statistics(
     ks is the largest gap of the two distribution functions, wasserstein the area
     between them over the reference's standard deviation.
     """
-    weights = _defaults(pool, weights)
-    keys = [*weight_keys(weights), "column"]
-    steps = running_totals(
-        _both(reference, pool, weights, columns, "double"), keys, "value", ["r", "t"], following=True
+    counts, grid, width = both_counts(reference, pool, _defaults(pool, weights), columns, "double")
+    slots = _slots(width)
+    steps = running_totals(counts, ["chunk", "column"], "value", ["r", *slots], following=True)
+    step = F.coalesce(F.col("following") - F.col("value"), F.lit(0.0))
+
+    def gap(t: str) -> Column:
+        ours = (F.col("r_before") + F.col("r")) / F.col("r_all")
+        return F.abs(ours - (F.col(f"{t}_before") + F.col(t)) / F.col(f"{t}_all"))
+
+    found = steps.groupBy("chunk", "column").agg(
+        F.max("r_all").alias("r_all"),
+        *[F.max(f"{t}_all").alias(f"{t}_all") for t in slots],
+        *[F.max(gap(t)).alias(f"{t}_ks") for t in slots],
+        *[F.sum(gap(t) * step).alias(f"{t}_area") for t in slots],
     )
-    gap = F.abs((F.col("r_before") + F.col("r")) / F.col("r_all") - (F.col("t_before") + F.col("t")) / F.col("t_all"))
-    found = steps.groupBy(*keys).agg(
-        F.max(gap).alias("ks"),
-        F.coalesce(F.sum(gap * (F.col("following") - F.col("value"))), F.lit(0.0)).alias("_area"),
-        F.max("r_all").alias("_n"),
-        F.max("t_all").alias("_m"),
+    spreads = melted(reference, columns, "double").groupBy("column").agg(F.stddev_pop("value").alias("sd"))
+    long = _by_resample(
+        found,
+        grid,
+        [
+            F.struct(
+                F.col(f"{t}_ks").alias("ks"),
+                F.col(f"{t}_area").alias("area"),
+                F.col("r_all").alias("n"),
+                F.col(f"{t}_all").alias("m"),
+            )
+            for t in slots
+        ],
     )
-    spread = melted(reference, columns, "double").groupBy("column").agg(F.stddev_pop("value").alias("_sd"))
-    return found.join(F.broadcast(spread), "column").select(  # one row per column of the schema
-        *keys,
+    return long.join(F.broadcast(spreads), "column").select(  # one row per column of the schema
+        *weight_keys(grid.drop("chunk", "slot")),
+        "column",
         "ks",
-        kolmogorov_p(F.col("ks"), F.col("_n"), F.col("_m")).alias("ks_p"),
-        (F.col("_area") / F.greatest("_sd", F.lit(MIN_SPREAD))).alias("wasserstein"),
+        kolmogorov_p(F.col("ks"), F.col("n"), F.col("m")).alias("ks_p"),
+        (F.col("area") / F.greatest("sd", F.lit(MIN_SPREAD))).alias("wasserstein"),
     )
 
 
@@ -98,33 +143,61 @@ def categorical_statistics(
     test counts with reference shares; z is the pooled two-proportion statistic of the
     first of two categories, null for more than two.
     """
-    weights = _defaults(pool, weights)
-    keys = [*weight_keys(weights), "column"]
-    counts = (
-        _both(reference, pool, weights, columns, "string")
-        .groupBy(*keys, "value")
-        .agg(F.sum("r").alias("r"), F.sum("t").alias("t"))
+    counts, grid, width = both_counts(reference, pool, _defaults(pool, weights), columns, "string")
+    slots = _slots(width)
+    keys = ["chunk", "column"]
+    sums = ["r", *slots]
+    counts = counts.groupBy(*keys, "value").agg(*[F.sum(c).alias(c) for c in sums])
+    totals = counts.groupBy(*keys).agg(*[F.sum(c).alias(f"{c}_all") for c in sums])
+    r, r_all = F.col("r"), F.col("r_all")
+    p = r / r_all
+
+    def statistics(name: str) -> list[Column]:
+        t, t_all = F.col(name), F.col(f"{name}_all")
+        q = t / t_all
+        mid = (p + q) / 2
+        bits = F.when(p > 0, p * F.log2(p / mid)).otherwise(F.lit(0.0)) + F.when(q > 0, q * F.log2(q / mid)).otherwise(
+            F.lit(0.0)
+        )
+        expected = F.when(r > 0, p * t_all)
+        unseen = F.when(t > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))
+        present = (r > 0) | (t > 0)
+        return [
+            F.sqrt(F.greatest(F.sum(bits / 2), F.lit(0.0))).alias(f"{name}_js"),
+            F.sum(F.coalesce((t - expected) * (t - expected) / expected, unseen)).alias(f"{name}_chi"),
+            (F.count_if(present) - 1).alias(f"{name}_df"),
+            F.min(F.when(present, F.struct("value", r.alias("r"), t.alias("t")))).alias(f"{name}_first"),
+            F.max(t_all).alias(f"{name}_m"),
+        ]
+
+    found = (
+        counts.join(totals, keys)
+        .groupBy(*keys)
+        .agg(F.max("r_all").alias("n"), *[c for name in slots for c in statistics(name)])
     )
-    totals = counts.groupBy(*keys).agg(F.sum("r").alias("r_all"), F.sum("t").alias("t_all"))
-    shares = counts.join(totals, keys)
-    p, q = F.col("r") / F.col("r_all"), F.col("t") / F.col("t_all")
-    mid = (p + q) / 2
-    from_p = F.when(p > 0, p * F.log2(p / mid)).otherwise(F.lit(0.0))
-    from_q = F.when(q > 0, q * F.log2(q / mid)).otherwise(F.lit(0.0))
-    expected = F.when(F.col("r") > 0, p * F.col("t_all"))
-    unseen = F.when(F.col("t") > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))
-    part = F.coalesce((F.col("t") - expected) * (F.col("t") - expected) / expected, unseen)
-    found = shares.groupBy(*keys).agg(
-        F.sqrt(F.greatest(F.sum((from_p + from_q) / 2), F.lit(0.0))).alias("js"),
-        F.sum(part).alias("chi_square"),
-        (F.count("*") - 1).alias("df"),
-        F.min(F.struct("value", "r", "t", "r_all", "t_all")).alias("a"),
+    long = _by_resample(
+        found,
+        grid,
+        [
+            F.struct(
+                F.col(f"{t}_js").alias("js"),
+                F.col(f"{t}_chi").alias("chi_square"),
+                F.col(f"{t}_df").alias("df"),
+                F.col(f"{t}_first.r").cast("double").alias("a"),
+                F.col(f"{t}_first.t").cast("double").alias("b"),
+                F.col("n").cast("double").alias("n"),
+                F.col(f"{t}_m").cast("double").alias("m"),
+            )
+            for t in slots
+        ],
     )
-    n, m = F.col("a.r_all").cast("double"), F.col("a.t_all").cast("double")
-    pooled = (F.col("a.r") + F.col("a.t")) / (n + m)
+    a, b, n, m = (F.col(c) for c in "abnm")
+    pooled = (a + b) / (n + m)
     error = F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
-    z = F.coalesce((F.col("a.r") / n - F.col("a.t") / m) / F.when(error > 0, error), F.lit(0.0))
-    return found.select(*keys, "js", "chi_square", "df", F.when(F.col("df") <= 1, z).alias("z"))
+    z = F.coalesce((a / n - b / m) / F.when(error > 0, error), F.lit(0.0))
+    return long.select(
+        *weight_keys(grid.drop("chunk", "slot")), "column", "js", "chi_square", "df", F.when(F.col("df") <= 1, z).alias("z")
+    )
 
 
 def ks_by_column(reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None) -> DataFrame:

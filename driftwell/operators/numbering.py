@@ -16,15 +16,30 @@ from driftwell.functions.hashing import hash_key
 BUCKET_DIGITS = 4
 
 
+def _bucketed(df: DataFrame, row_id: str, tag: str) -> DataFrame:
+    keyed = df.withColumn("_hash", hash_key(tag, F.col(row_id)))
+    return keyed.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
+
+
+def bucket_counts(df: DataFrame, row_id: str, groups: list[str] | None = None, *, tag: str = "rows") -> DataFrame:
+    """(groups..., _bucket, _n): rows per hash bucket, at most 16^4 per group."""
+    return _bucketed(df, row_id, tag).groupBy(*(groups or []), "_bucket").agg(F.count("*").alias("_n"))
+
+
 def number_rows(
-    df: DataFrame, row_id: str, groups: list[str] | None = None, *, tag: str = "rows", out: str = "rn"
+    df: DataFrame,
+    row_id: str,
+    groups: list[str] | None = None,
+    *,
+    tag: str = "rows",
+    out: str = "rn",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Add a dense 0-based number within each group."""
+    """Add a dense 0-based number within each group; ``counts`` are the bucket counts, if
+    the caller has them already."""
     groups = list(groups or [])
-    keyed = df.withColumn("_hash", hash_key(tag, F.col(row_id)))
-    keyed = keyed.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
     bucket = [*groups, "_bucket"]
-    ranked = keyed.withColumn(
+    ranked = _bucketed(df, row_id, tag).withColumn(
         "_rank", F.row_number().over(Window.partitionBy(*bucket).orderBy("_hash", row_id))
     )
     earlier = (
@@ -32,12 +47,8 @@ def number_rows(
         .orderBy("_bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = (
-        keyed.groupBy(*bucket)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
-    )
+    counts = bucket_counts(df, row_id, groups, tag=tag) if counts is None else counts
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     return (
         ranked.join(offsets, bucket)
         .withColumn(out, (F.col("_offset") + F.col("_rank") - 1).cast("bigint"))

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions.hashing import index_draw
-from driftwell.operators.numbering import number_rows
+from driftwell.operators.numbering import bucket_counts, number_rows
+from driftwell.session import cut_lineage
 
 ALPHA_TYPE = "decimal(6,4)"
 WHOLE_POOL = "all"
@@ -115,12 +116,15 @@ def _weights(
     seed: int,
     row_id: str,
 ) -> DataFrame:
-    sizes = {r["grp"]: r["n"] for r in grouped.groupBy("grp").agg(F.count("*").alias("n")).collect()}
+    rows = grouped.select(row_id, "grp")
+    buckets = cut_lineage(bucket_counts(rows, row_id, ["grp"]))
+    sizes = {r["grp"]: r["n"] for r in buckets.groupBy("grp").agg(F.sum("_n").alias("n")).collect()}
     counts = count_rule(sizes, alphas)
     if WHOLE_POOL in counts:
-        grouped = grouped.withColumn("grp", F.lit(WHOLE_POOL))
+        rows = rows.withColumn("grp", F.lit(WHOLE_POOL))
+        buckets = buckets.groupBy(F.lit(WHOLE_POOL).alias("grp"), "_bucket").agg(F.sum("_n").alias("_n"))
         sizes = {WHOLE_POOL: sum(sizes.values())}
-    numbered = number_rows(grouped.select(row_id, "grp"), row_id, ["grp"])
+    numbered = number_rows(rows, row_id, ["grp"], counts=buckets)
     return draw_weights(numbered, sizes, counts, alphas, n_runs=n_runs, seed=seed, row_id=row_id)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,28 +62,26 @@ def tfidf_vectors(
     text: str = "text",
     max_features: int = MAX_FEATURES,
     stop_words: list[str] | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """(row_id, v) for every document, the vocabulary coming from ``train``; a document
-    without known terms is all zeros."""
-    n_docs = train.count()
-    vocab = vocabulary(
-        tokens(train, row_id=row_id, text=text, stop_words=stop_words), n_docs, max_features=max_features
+    """(row_id, keep..., v) for every document, the vocabulary coming from ``train``; a
+    document without known terms is all zeros.
+
+    Only the vocabulary, at most ``max_features`` terms, passes through the driver; the
+    documents are then vectorised where they lie, without a shuffle.
+    """
+    counts = tokens(train, row_id=row_id, text=text, stop_words=stop_words)
+    known = vocabulary(counts, train.count(), max_features=max_features).orderBy("pos").collect()
+    words = docs.select(
+        F.col(row_id).alias("row_id"),
+        *(keep or []),
+        F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0)).alias("words"),
     )
-    width = vocab.count()
-    counts = tokens(docs, row_id=row_id, text=text, stop_words=stop_words).join(F.broadcast(vocab), "term")
-    packed = (
-        counts.groupBy("row_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("pos", F.col("tf") * F.col("idf")))).alias("_w"))
-        .withColumn(
-            "_norm", F.sqrt(F.aggregate(F.map_values("_w"), F.lit(0.0), lambda acc, x: acc + x * x))
-        )
+    counted = CountVectorizerModel.from_vocabulary(
+        [r["term"] for r in known], inputCol="words", outputCol="tf"
+    ).transform(words)
+    scale = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in known]), inputCol="tf", outputCol="raw")
+    unit = Normalizer(p=2.0, inputCol="raw", outputCol="unit")
+    return unit.transform(scale.transform(counted)).select(
+        "row_id", *(keep or []), vector_to_array("unit", "float32").alias("v")
     )
-    # the outer one-element array names the map, so that it is read once and not per position
-    dense = F.transform(
-        F.array(F.struct("_w", "_norm")),
-        lambda s: F.transform(
-            F.sequence(F.lit(0), F.lit(max(width - 1, 0))),
-            lambda i: F.coalesce(s["_w"][i] / s["_norm"], F.lit(0.0)).cast("float"),
-        ),
-    )[0]
-    return docs.select(F.col(row_id).alias("row_id")).join(packed, "row_id", "left").select("row_id", dense.alias("v"))

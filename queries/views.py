@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from driftwell.operators import views as V
-from driftwell.session import ensure_checkpoint_dir
+from driftwell.session import cut_lineage, ensure_checkpoint_dir
 from driftwell.sources.delimited import clean_rows, read_delimited, read_vectors
 from driftwell.sources.series import assemble_series
 from driftwell.sources.text import STOP_WORDS, tfidf_entries, tfidf_vectors, tokens, vocabulary
@@ -188,9 +188,9 @@ def tfidf_held_out(spark, sf):
 def reference_variance_filter(spark, sf):
     """Features that vary in all documents and within the English reference."""
     docs = documents(spark, sf).filter(F.col("lang").isin("en", "de"))
-    weighted = tfidf_vectors(docs, docs)
+    weighted = cut_lineage(tfidf_vectors(docs, docs, keep=["lang"]))
     varying = V.keep_positions(weighted, V.varying_positions(weighted))
-    reference = varying.join(docs.filter("lang = 'en'").select("row_id"), "row_id")
+    reference = varying.filter("lang = 'en'")
     kept = V.keep_positions(reference, V.varying_positions(reference))
     return as_output(V.feature_variances(kept))
 
