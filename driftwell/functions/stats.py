@@ -67,10 +67,10 @@ def kolmogorov_p(distance: Column, n: Column, m: Column) -> Column:
 
 def _chi_square_tail(x: float, df: int) -> float:
     """Upper tail of a chi-square with whole degrees of freedom: a finite sum."""
-    if df <= 0:
-        return 1.0
-    if x <= 0:
+    if df <= 0 or x <= 0:
         return 1.0
+    if math.isinf(x):
+        return 0.0
     half = x / 2.0
     if df % 2 == 0:
         logs = [i * math.log(half) - math.lgamma(i + 1) - half for i in range(df // 2)]

@@ -102,8 +102,9 @@ def numeric_statistics(
     step = F.coalesce(F.col("following") - F.col("value"), F.lit(0.0))
 
     def gap(t: str) -> Column:
-        ours = (F.col("r_before") + F.col("r")) / F.col("r_all")
-        return F.abs(ours - (F.col(f"{t}_before") + F.col(t)) / F.col(f"{t}_all"))
+        # the last chunk may have unused slots, whose totals are zero
+        ours = F.try_divide(F.col("r_before") + F.col("r"), F.col("r_all"))
+        return F.abs(ours - F.try_divide(F.col(f"{t}_before") + F.col(t), F.col(f"{t}_all")))
 
     found = steps.groupBy("chunk", "column").agg(
         F.max("r_all").alias("r_all"),
@@ -150,11 +151,11 @@ def categorical_statistics(
     counts = counts.groupBy(*keys, "value").agg(*[F.sum(c).alias(c) for c in sums])
     totals = counts.groupBy(*keys).agg(*[F.sum(c).alias(f"{c}_all") for c in sums])
     r, r_all = F.col("r"), F.col("r_all")
-    p = r / r_all
+    p = F.try_divide(r, r_all)  # the last chunk may have unused slots, whose totals are zero
 
     def statistics(name: str) -> list[Column]:
         t, t_all = F.col(name), F.col(f"{name}_all")
-        q = t / t_all
+        q = F.try_divide(t, t_all)
         mid = (p + q) / 2
         bits = F.when(p > 0, p * F.log2(p / mid)).otherwise(F.lit(0.0)) + F.when(q > 0, q * F.log2(q / mid)).otherwise(
             F.lit(0.0)
@@ -164,7 +165,7 @@ def categorical_statistics(
         present = (r > 0) | (t > 0)
         return [
             F.sqrt(F.greatest(F.sum(bits / 2), F.lit(0.0))).alias(f"{name}_js"),
-            F.sum(F.coalesce((t - expected) * (t - expected) / expected, unseen)).alias(f"{name}_chi"),
+            F.sum(F.coalesce(F.try_divide((t - expected) * (t - expected), expected), unseen)).alias(f"{name}_chi"),
             (F.count_if(present) - 1).alias(f"{name}_df"),
             F.min(F.when(present, F.struct("value", r.alias("r"), t.alias("t")))).alias(f"{name}_first"),
             F.max(t_all).alias(f"{name}_m"),
