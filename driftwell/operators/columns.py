@@ -59,14 +59,14 @@ def both_counts(
         weights.join(F.broadcast(grid), weight_keys(weights))
         .select("row_id", "w", *place)
         .groupBy("row_id", "chunk")
-        .agg(*[F.sum(F.when(F.col("slot") == i, F.col("w")).otherwise(0)).alias(s) for i, s in enumerate(slots)])
+        .agg(*[F.expr(f"sum(if(slot = {i}, w, 0)) AS {s}") for i, s in enumerate(slots)])
     )
     drawn = wide.join(pool.select("row_id", *columns), "row_id")
     zero = F.lit(0).cast("bigint")
     theirs = (
         melted(drawn, columns, kind, keep=["chunk", *slots])
         .groupBy("chunk", "column", "value")
-        .agg(*[F.sum(s).alias(s) for s in slots])
+        .agg(*[F.expr(f"sum({s}) AS {s}") for s in slots])
         .withColumn("r", zero)
     )
     ours = value_counts(reference, columns, kind).select(
@@ -75,10 +75,10 @@ def both_counts(
     return ours.unionByName(theirs), grid.select(*weight_keys(weights), *place), width
 
 
-def _by_resample(found: DataFrame, grid: DataFrame, parts: list[Column]) -> DataFrame:
+def _by_resample(found: DataFrame, grid: DataFrame, parts: list[str]) -> DataFrame:
     """(keys..., column, statistics...) from one row per (chunk, column) with one struct
     of statistics per slot."""
-    long = found.select("chunk", "column", F.posexplode(F.array(*parts)).alias("slot", "s"))
+    long = found.select("chunk", "column", F.posexplode(F.expr(f"array({', '.join(parts)})")).alias("slot", "s"))
     return long.join(F.broadcast(grid), ["chunk", "slot"]).select(
         *[c for c in grid.columns if c not in ("chunk", "slot")], "column", "s.*"
     )
@@ -99,32 +99,23 @@ def numeric_statistics(
     counts, grid, width = both_counts(reference, pool, _defaults(pool, weights), columns, "double")
     slots = _slots(width)
     steps = running_totals(counts, ["chunk", "column"], "value", ["r", *slots], following=True)
-    step = F.coalesce(F.col("following") - F.col("value"), F.lit(0.0))
+    step = "coalesce(following - value, 0.0D)"
 
-    def gap(t: str) -> Column:
+    def gap(t: str) -> str:
         # the last chunk may have unused slots, whose totals are zero
-        ours = F.try_divide(F.col("r_before") + F.col("r"), F.col("r_all"))
-        return F.abs(ours - F.try_divide(F.col(f"{t}_before") + F.col(t), F.col(f"{t}_all")))
+        return f"abs(try_divide(r_before + r, r_all) - try_divide({t}_before + {t}, {t}_all))"
 
     found = steps.groupBy("chunk", "column").agg(
-        F.max("r_all").alias("r_all"),
-        *[F.max(f"{t}_all").alias(f"{t}_all") for t in slots],
-        *[F.max(gap(t)).alias(f"{t}_ks") for t in slots],
-        *[F.sum(gap(t) * step).alias(f"{t}_area") for t in slots],
+        F.expr("max(r_all) AS r_all"),
+        *[F.expr(f"max({t}_all) AS {t}_all") for t in slots],
+        *[F.expr(f"max({gap(t)}) AS {t}_ks") for t in slots],
+        *[F.expr(f"sum({gap(t)} * {step}) AS {t}_area") for t in slots],
     )
     spreads = melted(reference, columns, "double").groupBy("column").agg(F.stddev_pop("value").alias("sd"))
     long = _by_resample(
         found,
         grid,
-        [
-            F.struct(
-                F.col(f"{t}_ks").alias("ks"),
-                F.col(f"{t}_area").alias("area"),
-                F.col("r_all").alias("n"),
-                F.col(f"{t}_all").alias("m"),
-            )
-            for t in slots
-        ],
+        [f"struct({t}_ks AS ks, {t}_area AS area, r_all AS n, {t}_all AS m)" for t in slots],
     )
     return long.join(F.broadcast(spreads), "column").select(  # one row per column of the schema
         *weight_keys(grid.drop("chunk", "slot")),
@@ -148,47 +139,35 @@ def categorical_statistics(
     slots = _slots(width)
     keys = ["chunk", "column"]
     sums = ["r", *slots]
-    counts = counts.groupBy(*keys, "value").agg(*[F.sum(c).alias(c) for c in sums])
-    totals = counts.groupBy(*keys).agg(*[F.sum(c).alias(f"{c}_all") for c in sums])
-    r, r_all = F.col("r"), F.col("r_all")
-    p = F.try_divide(r, r_all)  # the last chunk may have unused slots, whose totals are zero
-
-    def statistics(name: str) -> list[Column]:
-        t, t_all = F.col(name), F.col(f"{name}_all")
-        q = F.try_divide(t, t_all)
-        mid = (p + q) / 2
-        bits = F.when(p > 0, p * F.log2(p / mid)).otherwise(F.lit(0.0)) + F.when(q > 0, q * F.log2(q / mid)).otherwise(
-            F.lit(0.0)
-        )
-        expected = F.when(r > 0, p * t_all)
-        unseen = F.when(t > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))
-        present = (r > 0) | (t > 0)
+    counts = counts.groupBy(*keys, "value").agg(*[F.expr(f"sum({c}) AS {c}") for c in sums])
+    totals = counts.groupBy(*keys).agg(*[F.expr(f"sum({c}) AS {c}_all") for c in sums])
+
+    def statistics(t: str) -> list[Column]:
+        # the last chunk may have unused slots, whose totals are zero
+        p, q = "try_divide(r, r_all)", f"try_divide({t}, {t}_all)"
+        mid, expected, present = f"(({p} + {q}) / 2)", f"({p} * {t}_all)", f"(r > 0 OR {t} > 0)"
+        bits = f"if(r > 0, {p} * log2({p} / {mid}), 0.0D) + if({t} > 0, {q} * log2({q} / {mid}), 0.0D)"
+        unseen = f"if({t} > 0, double('infinity'), 0.0D)"
+        off = f"try_divide(({t} - {expected}) * ({t} - {expected}), {expected})"
         return [
-            F.sqrt(F.greatest(F.sum(bits / 2), F.lit(0.0))).alias(f"{name}_js"),
-            F.sum(F.coalesce(F.try_divide((t - expected) * (t - expected), expected), unseen)).alias(f"{name}_chi"),
-            (F.count_if(present) - 1).alias(f"{name}_df"),
-            F.min(F.when(present, F.struct("value", r.alias("r"), t.alias("t")))).alias(f"{name}_first"),
-            F.max(t_all).alias(f"{name}_m"),
+            F.expr(f"sqrt(greatest(sum(({bits}) / 2), 0.0D)) AS {t}_js"),
+            F.expr(f"sum(if(r > 0, {off}, {unseen})) AS {t}_chi"),
+            F.expr(f"count_if({present}) - 1 AS {t}_df"),
+            F.expr(f"min(if({present}, struct(value, r AS r, {t} AS t), NULL)) AS {t}_first"),
+            F.expr(f"max({t}_all) AS {t}_m"),
         ]
 
     found = (
         counts.join(totals, keys)
         .groupBy(*keys)
-        .agg(F.max("r_all").alias("n"), *[c for name in slots for c in statistics(name)])
+        .agg(F.expr("max(r_all) AS n"), *[c for t in slots for c in statistics(t)])
     )
     long = _by_resample(
         found,
         grid,
         [
-            F.struct(
-                F.col(f"{t}_js").alias("js"),
-                F.col(f"{t}_chi").alias("chi_square"),
-                F.col(f"{t}_df").alias("df"),
-                F.col(f"{t}_first.r").cast("double").alias("a"),
-                F.col(f"{t}_first.t").cast("double").alias("b"),
-                F.col("n").cast("double").alias("n"),
-                F.col(f"{t}_m").cast("double").alias("m"),
-            )
+            f"struct({t}_js AS js, {t}_chi AS chi_square, {t}_df AS df, double({t}_first.r) AS a, "
+            f"double({t}_first.t) AS b, double(n) AS n, double({t}_m) AS m)"
             for t in slots
         ],
     )

@@ -21,7 +21,7 @@ from pyspark.sql.types import DoubleType
 
 from driftwell.functions.distances import squared_distances
 from driftwell.functions.hashing import hash_key
-from driftwell.operators.detectors import each_resample, unit_weights, weight_columns, weight_keys
+from driftwell.operators.detectors import unit_weights, weight_columns, weight_keys
 from driftwell.operators.numbering import sample_rows
 from driftwell.operators.pairs import Block, PairPlan, empty_table, hash_block, own_columns, spread
 from driftwell.session import cut_lineage
@@ -110,9 +110,14 @@ def relabelled_counts(
     the cut lies, and only that bucket is ranked."""
     keys = weight_keys(weights)
     m = reference.count()
-    ref_items = reference.select(
-        F.concat_ws(":", F.lit("r"), F.col("row_id").cast("string")).alias("row_id"), each_resample(weights).alias("_k")
-    ).select("row_id", "_k.*")
+    grid, n_keys = weight_columns(weights)  # one row per resample of the run grid
+    ref_items = (
+        reference.select(
+            F.concat_ws(":", F.lit("r"), F.col("row_id").cast("string")).alias("row_id"), spread(0, n_keys - 1).alias("col")
+        )
+        .join(F.broadcast(grid), "col")
+        .drop("col")
+    )
     pool_items = weights.select(
         F.concat_ws(":", F.lit("t"), F.col("row_id").cast("string")).alias("row_id"),
         *keys,

@@ -27,7 +27,7 @@ def running_totals(
     """One row per (groups, value) with, for every column s of ``sums``, its total
     ``s``, the total ``s_before`` over smaller values and the group's ``s_all``; with
     ``following`` also the next larger value of the group as ``following``."""
-    summed = df.groupBy(*groups, value).agg(*[F.sum(s).alias(s) for s in sums])
+    summed = df.groupBy(*groups, value).agg(*[F.expr(f"sum({s}) AS {s}") for s in sums])
     cut = summed.withColumn("_bucket", value_bucket(F.col(value)))
     keys = [*groups, "_bucket"]
     # the window, the bucket sums and the join share one partitioning by bucket
@@ -41,7 +41,7 @@ def running_totals(
     earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         in_bucket.groupBy(*keys)
-        .agg(*[F.sum(s).alias(f"_{s}") for s in sums], F.min(value).alias("_first"))
+        .agg(*[F.expr(f"sum({s}) AS _{s}") for s in sums], F.min(value).alias("_first"))
         .select(
             *keys,
             *([F.lead("_first").over(whole.orderBy("_bucket")).alias("_next_first")] if following else []),
@@ -53,7 +53,7 @@ def running_totals(
         *groups,
         value,
         *sums,
-        *[(F.col(f"_in_{s}") + F.col(f"_off_{s}")).alias(f"{s}_before") for s in sums],
+        *[F.expr(f"_in_{s} + _off_{s} AS {s}_before") for s in sums],
         *[f"{s}_all" for s in sums],
         *([F.coalesce("_next", "_next_first").alias("following")] if following else []),
     )

@@ -53,11 +53,9 @@ def subgroup_counts(sizes: dict[str, int], alphas: list[float]) -> dict[str, lis
     return {"a": [n - k for k in inside], "b": inside}
 
 
-def _per_group(values: dict[str, int], group: Column) -> Column:
-    out = F.lit(0)
-    for name, value in values.items():
-        out = F.when(group == name, F.lit(value)).otherwise(out)
-    return out.cast("bigint")
+def _per_group(values: dict[str, int]) -> str:
+    cases = " ".join(f"WHEN '{name}' THEN {value}L" for name, value in values.items())
+    return f"(CASE grp {cases} ELSE 0L END)"
 
 
 def draw_weights(
@@ -78,31 +76,25 @@ def draw_weights(
     """
     spark = numbered.sparkSession
     alphas = [alpha_key(a) for a in alphas]
-    group = F.col("grp")
     longest = {g: max(c) for g, c in counts.items()}
+    size = F.expr(_per_group(sizes))
     draws = (
         spark.range(max(longest.values()))
         .withColumnRenamed("id", "draw")
         .withColumn("grp", F.explode(F.array(*[F.lit(g) for g in counts])))
-        .filter(F.col("draw") < _per_group(longest, group))
+        .filter(f"draw < {_per_group(longest)}")
         .withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))))
-        .withColumn(
-            "rn",
-            index_draw(_per_group(sizes, group), F.col("run") + F.lit(seed), group, F.col("draw")),
-        )
+        .withColumn("rn", index_draw(size, F.col("run") + F.lit(seed), F.col("grp"), F.col("draw")))
     )
     taken = [
-        F.sum(F.when(F.col("draw") < _per_group({g: c[i] for g, c in counts.items()}, group), 1).otherwise(0))
-        .cast("int")
-        .alias(f"w{i}")
+        F.expr(f"int(count_if(draw < {_per_group({g: c[i] for g, c in counts.items()})})) AS w{i}")
         for i in range(len(alphas))
     ]
     counted = draws.groupBy("run", "grp", "rn").agg(*taken)
-    weights = F.array(*[f"w{i}" for i in range(len(alphas))])
-    keys = F.array(*[F.lit(a).cast(ALPHA_TYPE) for a in alphas])
+    listed = ", ".join(f"struct(CAST({a} AS {ALPHA_TYPE}) AS alpha, w{i} AS w)" for i, a in enumerate(alphas))
     return (
         counted.join(numbered.select(row_id, "grp", "rn"), ["grp", "rn"])
-        .select("run", row_id, F.explode(F.arrays_zip(keys.alias("alpha"), weights.alias("w"))).alias("z"))
+        .select("run", row_id, F.explode(F.expr(f"array({listed})")).alias("z"))
         .select(F.col("z.alpha").alias("alpha"), F.col("run").cast("int"), row_id, F.col("z.w").alias("w"))
         .filter(F.col("w") > 0)
     )
