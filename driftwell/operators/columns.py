@@ -18,6 +18,7 @@ from driftwell.operators.views import numeric_columns
 
 SMALL_REFERENCE = 1000
 FEW_VALUES = 5
+MANY_VALUES = 50
 P_LEVEL = 0.05
 DISTANCE_LEVEL = 0.1
 MIN_SPREAD = 1e-3
@@ -220,6 +221,23 @@ def proportion_z_by_column(
     )
 
 
+def _reference_sizes(reference: DataFrame, columns: list[str]) -> tuple[int, dict[str, int]]:
+    """Row count and distinct values per column, exact where there are few.
+
+    A sketch fed with few values holds few marks, so a large estimate proves that there
+    are many; only the other columns are counted exactly.
+    """
+    sketch = reference.agg(
+        F.count("*").alias("n"), *[F.approx_count_distinct(c).alias(f"_{i}") for i, c in enumerate(columns)]
+    ).first()
+    distinct = {c: sketch[f"_{i}"] for i, c in enumerate(columns)}
+    unsure = [c for c, k in distinct.items() if k <= MANY_VALUES]
+    if unsure:
+        exact = value_counts(reference, unsure, "string").groupBy("column").agg(F.count("*").alias("k")).collect()
+        distinct.update({c: 0 for c in unsure} | {r["column"]: r["k"] for r in exact})
+    return sketch["n"], distinct
+
+
 def column_drift(
     reference: DataFrame,
     pool: DataFrame,
@@ -240,14 +258,11 @@ def column_drift(
     weights = _defaults(pool, weights)
     columns = columns or [c for c in reference.columns if c != "row_id"]
     numbers = [c for c in numeric_columns(reference) if c in columns]
-    distinct = {
-        r["column"]: r["k"]
-        for r in value_counts(reference, columns, "string").groupBy("column").agg(F.count("*").alias("k")).collect()
-    }
-    numeric = [c for c in numbers if distinct.get(c, 0) > FEW_VALUES]
+    n_reference, distinct = _reference_sizes(reference, columns)
+    numeric = [c for c in numbers if distinct[c] > FEW_VALUES]
     categorical = [c for c in columns if c not in numeric]
     keys = [*weight_keys(weights), "column"]
-    small = reference.count() <= small_reference
+    small = n_reference <= small_reference
     parts: list[DataFrame] = []
 
     def add(found: DataFrame, test, statistic, drifted) -> None:
