@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.operators import metrics as M
 from driftwell.operators import report as R
+from driftwell.operators.numbering import number_rows
 from driftwell.plans import runs
 from driftwell.sources import results
 from queries import query
@@ -16,13 +17,13 @@ from queries.views import fresh_folder
 
 
 def numbered_scores(spark, sf) -> DataFrame:
-    """Event scores with the run as the position within (detector, alpha)."""
-    place = F.row_number().over(Window.partitionBy("detector", "alpha").orderBy("row_id")) - 1
-    return event_scores(spark, sf).select("detector", "alpha", place.cast("int").alias("run"), "score")
+    """Event scores with the run as a dense number within (detector, alpha)."""
+    numbered = number_rows(event_scores(spark, sf), "row_id", ["detector", "alpha"], out="run")
+    return numbered.select("detector", "alpha", F.col("run").cast("int").alias("run"), "score")
 
 
 NUMBERED_SQL = SCORES_SQL + """,
-  numbered AS (SELECT detector, alpha, (row_number() OVER (PARTITION BY detector, alpha ORDER BY row_id) - 1)::INT AS run, score FROM scores)"""
+  numbered AS (SELECT detector, alpha, (row_number() OVER (PARTITION BY detector, alpha ORDER BY md5('rows:' || row_id::VARCHAR), row_id) - 1)::INT AS run, score FROM scores)"""
 
 
 @query("scores_json_roundtrip", f"WITH {NUMBERED_SQL} SELECT detector, alpha, run, round(score, 6) AS score FROM numbered")
