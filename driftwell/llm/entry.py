@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.llm import jaccard
+from driftwell.llm import jaccard, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": jaccard.query,
+    "op5_substring_dedup": substrings.query,
 }
 SQL: dict[str, str] = {
     "op4_jaccard_join": jaccard.SQL,
+    "op5_substring_dedup": substrings.SQL,
 }
