@@ -30,7 +30,9 @@ def connect(sf_dir: str):
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        if df[c].dtype.kind == "f" or (len(df) and type(df[c].iloc[0]).__name__ == "Decimal"):
+        if str(df[c].dtype)[:3] in ("Int", "UIn", "Flo", "boo") and df[c].isna().any():  # nullable numbers
+            df[c] = df[c].astype(object).where(df[c].notna(), None).astype(float)
+        elif df[c].dtype.kind == "f" or (len(df) and type(df[c].iloc[0]).__name__ == "Decimal"):
             df[c] = df[c].astype(float)
         elif df[c].dtype.kind in "iub":
             df[c] = df[c].astype("int64")
