@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.llm import jaccard, substrings
+from driftwell.llm import bpe, decontamination, jaccard, language, substrings, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": decontamination.query,
     "op4_jaccard_join": jaccard.query,
     "op5_substring_dedup": substrings.query,
+    "op6_language_id": language.query,
+    "op7_exact_topk": topk.query,
+    "op9_warc": warc.query,
+    "op10_byte_bpe": bpe.query,
 }
 SQL: dict[str, str] = {
     "op4_jaccard_join": jaccard.SQL,
     "op5_substring_dedup": substrings.SQL,
+    "op7_exact_topk": topk.SQL,
+    "op9_warc": warc.SQL,
 }
