@@ -2,10 +2,10 @@
 
 The join never lists the pairs of a group:
 
-1. Each text's distinct shingles are sent, four bytes each and packed by hash range, to tasks that answer for
-   each text how many of its shingles other texts have too. A text with a partner must share at least the
-   threshold's part of its own set, so most texts leave here. The answers also carry a set hash: texts with
-   equal sets become one class, whose smallest id goes on.
+1. Each text's distinct shingles are sent, four bytes each and packed by hash range and slice of texts, to tasks
+   that answer for each text how many of its shingles other texts have too; the answers of a slice meet again in
+   one task. A text with a partner must share at least the threshold's part of its own set, so most texts leave
+   here. Texts with equal set hashes become one class, whose smallest id goes on.
 2. Of each class the rarest quarter of the shingles (a total order by counted hash bucket, then hash) is
    enough to meet every partner. Classes that share such a shingle meet in one run, sorted by size; within
    the size band the bit counts of hashed bitmaps bound the overlap from above. A run passes on a spanning
@@ -17,11 +17,13 @@ The join never lists the pairs of a group:
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ from driftwell.session import cut_lineage
 ORDER_BUCKETS = 1 << 16
 #: Texts of a tile before it is split into blocks.
 TILE_ROWS = 2048
-PARTS_PER_TASK = 4
+_SEEDS = (U(0x51ED270B9F9C1A35), U(0xA24BAED4963EE407))
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -52,61 +54,92 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, U)
 
 
+#: Rows between the tasks: a slice of texts (its number and a check of its ids), the hash range, packed arrays.
+_REQUEST = "slice long, part int, head boolean, a binary, b binary"
+
+
+def _arrow(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["slice", "part", "head", "a", "b"]
+    )
+
+
 def _packed(k: int, parts: int):
-    """Shingle fingerprints by hash range: (part, ids, counts, prints)."""
-    schema = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("prints", pa.binary())])
+    """For each slice of texts its head (ids, sizes, set hashes) and, by hash range, shingle fingerprints in order of text."""
 
     def pack(batches):
+        task, number = TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text"):
             ids = batch.column(0).to_numpy()
             sets = list(shingle_sets(batch.column(1), k))
-            grams = np.concatenate(sets) if sets else np.zeros(0, U)
-            if not len(grams):
-                continue
-            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            sizes = np.array([len(s) for s in sets], np.int64)
+            marks = np.array([[np.bitwise_xor.reduce(mix(s ^ c)) if len(s) else U(0) for c in _SEEDS] for s in sets], U)
+            name = int.from_bytes(hashlib.blake2b(ids.tobytes() + b"%d:%d" % (task, number), digest_size=8).digest(), "little", signed=True)
+            number += 1
+            rows = [(name, name % parts, True, ids.tobytes(), np.hstack((sizes[:, None].view(U), marks)).tobytes())]
+            grams = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
             part = (((grams >> U(32)) * U(parts)) >> U(32)).astype(np.uint32)
             order = np.argsort(part, kind="stable")
             part, owner, prints = part[order], owner[order], (grams[order] & U(0xFFFFFFFF)).astype(np.uint32)
-            cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            rows = []
-            for low, high in zip(cuts, [*cuts[1:], len(part)], strict=True):
-                own = owner[low:high]
-                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                counts = np.diff(np.append(first, len(own))).astype(np.uint32)
-                rows.append((int(part[low]), ids[own[first]].tobytes(), counts.tobytes(), prints[low:high].tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema
-            )
+            cuts = np.append(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))), len(part)) if len(part) else []
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                counts = np.bincount(owner[low:high], minlength=len(sets)).astype(np.uint32)
+                rows.append((name, int(part[low]), False, prints[low:high].tobytes(), counts.tobytes()))
+            yield _arrow(rows)
 
     return pack
 
 
 def _answered(batches):
-    """For each text and part: shingles, those that another text has too, and two set hashes."""
+    """For each slice and hash range how many shingles of each text other texts have too; heads pass."""
     for t in groups_of(batches, "part"):
-        names = t.schema.names
-        column = {n: t.column(n).to_pylist() for n in names}
-        part = np.array(column["part"])
-        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        for low, high in zip(cuts, [*cuts[1:], len(part)], strict=True):
-            ids = np.frombuffer(b"".join(column["ids"][low:high]), np.int64)
-            counts = np.frombuffer(b"".join(column["counts"][low:high]), np.uint32).astype(np.int64)
-            prints = np.frombuffer(b"".join(column["prints"][low:high]), np.uint32)
-            order = np.argsort(prints)
-            same = prints[order][1:] == prints[order][:-1]
-            shared = np.zeros(len(prints), bool)
-            shared[order[1:][same]] = True
-            shared[order[:-1][same]] = True
-            first = np.concatenate(([0], np.cumsum(counts)[:-1]))
-            full = (U(int(part[low])) << U(32)) | prints.astype(U)
+        part, head = t.column("part").to_numpy(), t.column("head").to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            here = t.slice(low, high - low)
+            names, packed, counted = (here.column(c).to_pylist() for c in ("slice", "a", "b"))
+            p = int(part[low])
+            rows = [(names[i], p, True, packed[i], counted[i]) for i in np.flatnonzero(head[low:high])]
+            asks = np.flatnonzero(~head[low:high])
+            if len(asks):
+                lengths = [len(packed[i]) // 4 for i in asks]
+                prints = np.frombuffer(b"".join(packed[i] for i in asks), np.uint32)
+                order = np.argsort(prints)
+                ranked = prints[order]
+                same = ranked[1:] == ranked[:-1]
+                shared = np.zeros(len(prints) + 1, np.int64)
+                shared[order[1:][same]] = 1
+                shared[order[:-1][same]] = 1
+                sums = np.concatenate(([0], np.cumsum(shared)))
+                at = 0
+                for i, n in zip(asks, lengths, strict=True):
+                    counts = np.frombuffer(counted[i], np.uint32).astype(np.int64)
+                    stops = at + np.cumsum(counts)
+                    found = (sums[stops] - sums[stops - counts]).astype(np.uint32)
+                    rows.append((names[i], p, False, found.tobytes(), None))
+                    at += n
+            yield _arrow(rows)
+
+
+def _summed(batches):
+    """The answers of a slice added up over the hash ranges: a row for each text."""
+    for t in groups_of(batches, "slice"):
+        heads: dict[int, tuple[bytes, bytes]] = {}
+        shared: dict[int, np.ndarray] = {}
+        for name, head, a, b in zip(*(t.column(c).to_pylist() for c in ("slice", "head", "a", "b")), strict=True):
+            if head:
+                heads[name] = (a, b)
+            else:
+                found = np.frombuffer(a, np.uint32).astype(np.int64)
+                shared[name] = shared[name] + found if name in shared else found
+        if not set(shared) <= set(heads):
+            raise ValueError("the input came in another order when it was read again")
+        for name, (a, b) in heads.items():
+            ids, rest = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids),
-                    pa.array(counts),
-                    pa.array(np.add.reduceat(shared.astype(np.int64), first)),
-                    pa.array(np.bitwise_xor.reduceat(mix(full + U(0x51ED27)), first).view(np.int64)),
-                    pa.array(np.bitwise_xor.reduceat(mix(full ^ U(0xA24BAED4963EE407)), first).view(np.int64)),
-                ],
+                [pa.array(c) for c in (ids, rest[:, 0].copy(), shared.get(name, np.zeros(len(ids), np.int64)), rest[:, 1].copy(), rest[:, 2].copy())],
                 names=["doc_id", "n", "shared", "s1", "s2"],
             )
 
@@ -308,19 +341,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     rows = one_row_per_id(docs, key, text).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     width = partitions(spark)
-    parts = width * PARTS_PER_TASK
-    packed = rows.mapInArrow(_packed(k, parts), "part int, ids binary, counts binary, prints binary")
-    answers = (
-        packed.repartition(width, "part")
-        .sortWithinPartitions("part")
-        .mapInArrow(_answered, "doc_id long, n long, shared long, s1 long, s2 long")
-    )
+    packed = rows.mapInArrow(_packed(k, width), _REQUEST)
+    answers = packed.repartition(width, "part").sortWithinPartitions("part").mapInArrow(_answered, _REQUEST)
     sums = cut_lineage(
-        answers.groupBy("doc_id").agg(
-            F.sum("n").alias("n"), F.sum("shared").alias("shared"), F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2")
-        )
+        answers.repartition(width, "slice")
+        .sortWithinPartitions("slice")
+        .mapInArrow(_summed, "doc_id long, n long, shared long, s1 long, s2 long")
     )
-    likely = sums.filter(F.col("shared") * 100 >= F.col("n") * percent)
+    likely = sums.filter((F.col("n") > 0) & (F.col("shared") * 100 >= F.col("n") * percent))
     firsts = likely.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = cut_lineage(likely.join(firsts, ["s1", "s2", "n"]).select("doc_id", "rep"))
     reps = cut_lineage(firsts.select(F.col("rep").alias("doc_id")))

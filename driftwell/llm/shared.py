@@ -34,7 +34,7 @@ def one_row_per_id(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text)).filter(F.col(f"`{key}`").isNotNull())
     if rows.groupBy(key).count().filter("count > 1").limit(1).count() == 0:
         return rows
-    return rows.groupBy(key).agg(F.max(text).alias(text))
+    return cut_lineage(rows.groupBy(key).agg(F.max(text).alias(text)))
 
 
 def rows_of_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
