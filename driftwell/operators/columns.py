@@ -16,7 +16,7 @@ from driftwell.operators.ordered import running_totals
 from driftwell.operators.pairs import spread
 from driftwell.operators.views import numeric_columns
 
-SMALL_REFERENCE = 1000
+FAMILIES = ("distance", "test")
 FEW_VALUES = 5
 MANY_VALUES = 50
 P_LEVEL = 0.05
@@ -244,25 +244,27 @@ def column_drift(
     weights: DataFrame | None = None,
     *,
     columns: list[str] | None = None,
-    small_reference: int = SMALL_REFERENCE,
+    family: str = "distance",
     p_level: float = P_LEVEL,
     distance_level: float = DISTANCE_LEVEL,
 ) -> DataFrame:
     """(keys..., column, test, statistic, drifted) with the test chosen per column.
 
-    Up to ``small_reference`` reference rows: Kolmogorov-Smirnov for numbers, z for two
-    categories, chi-square for more, drifted below ``p_level``. Beyond: Wasserstein for
+    Family ``test`` (meant for small references): Kolmogorov-Smirnov for numbers, z for two
+    categories, chi-square for more, drifted below ``p_level``. ``distance``: Wasserstein for
     numbers, Jensen-Shannon for categories, drifted from ``distance_level`` on. Numeric
     columns with few distinct values count as categorical.
     """
+    if family not in FAMILIES:
+        raise ValueError(f"family must be one of {FAMILIES}, got {family!r}")
     weights = _defaults(pool, weights)
     columns = columns or [c for c in reference.columns if c != "row_id"]
     numbers = [c for c in numeric_columns(reference) if c in columns]
-    n_reference, distinct = _reference_sizes(reference, columns)
+    _, distinct = _reference_sizes(reference, columns)
     numeric = [c for c in numbers if distinct[c] > FEW_VALUES]
     categorical = [c for c in columns if c not in numeric]
     keys = [*weight_keys(weights), "column"]
-    small = n_reference <= small_reference
+    small = family == "test"
     parts: list[DataFrame] = []
 
     def add(found: DataFrame, test, statistic, drifted) -> None:

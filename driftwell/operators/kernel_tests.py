@@ -357,8 +357,8 @@ def lsdd_statistics(
     seed: int = 42,
 ) -> DataFrame:
     """(keys..., perm, lsdd). Centres are sampled from the reference, at most
-    ``MAX_CENTRES`` of them; only their matrix is solved on the driver. The common
-    factor (pi sigma^2)^(d/2) of the normal matrix is left out."""
+    ``MAX_CENTRES`` of them (a parameter of the method); their matrix is solved in the
+    tasks that need it. The common factor (pi sigma^2)^(d/2) of the normal matrix is left out."""
     if n_centres > MAX_CENTRES:
         raise ValueError(f"at most {MAX_CENTRES} centres")
     weights = unit_weights(pool) if weights is None else weights
@@ -423,12 +423,13 @@ def lsdd_statistics(
             )
         )
         differences = differences.unionByName(moved)
-    form = density_difference_form(centres, sigma2, ridge)
-
+    # solved in the Python workers: linear algebra with threads can hang in the driver's process beside the JVM
     @F.pandas_udf(DoubleType())
-    def quadratic(h: pd.Series) -> pd.Series:
-        vectors = np.stack(h.to_numpy())
-        return pd.Series(np.einsum("ij,jk,ik->i", vectors, form, vectors))
+    def quadratic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        form = density_difference_form(shared.value, sigma2, ridge)
+        for h in batches:
+            vectors = np.stack(h.to_numpy()) if len(h) else np.zeros((0, len(form)))
+            yield pd.Series(np.einsum("ij,ij->i", vectors @ form, vectors))
 
     # one row per resample or relabelling, each with an array of at most MAX_CENTRES numbers
     ordered = F.sort_array(F.collect_list(F.struct("pos", "h")))

@@ -16,9 +16,10 @@ SMALLEST_SCALE = 1e-6
 
 
 def value_bucket(value: Column) -> Column:
-    """Integer that never decreases when the value grows."""
+    """Integer that never decreases when the value grows; NaN sorts last, as in Spark."""
     size = F.log2(F.lit(1.0) + F.abs(value) / F.lit(SMALLEST_SCALE))
-    return F.floor(F.signum(value) * size * F.lit(BUCKETS_PER_DOUBLING)).cast("bigint")
+    bucket = F.floor(F.signum(value) * F.least(size, F.lit(1e6)) * F.lit(BUCKETS_PER_DOUBLING)).cast("bigint")
+    return F.when(F.isnan(value.cast("double")), F.lit(2**62)).otherwise(bucket)
 
 
 def running_totals(
@@ -63,8 +64,8 @@ def exact_percentiles(
     df: DataFrame, groups: list[str], value: str, probs: dict[str, float], *, weight: str | None = None
 ) -> DataFrame:
     """Percentiles with linear interpolation between order statistics, one named
-    column per entry of ``probs``; nulls are left out."""
-    counted = df.filter(F.col(value).isNotNull()).select(
+    column per entry of ``probs``; nulls and NaN are left out."""
+    counted = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
         *groups, F.col(value).cast("double").alias("_x"), (F.col(weight) if weight else F.lit(1)).alias("_n")
     )
     totals = running_totals(counted, groups, "_x", ["_n"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions.hashing import index_draw
@@ -24,7 +24,10 @@ def alpha_key(alpha: float) -> Decimal:
     """Shift intensity as an exact key."""
     if not 0.0 <= float(alpha) <= 1.0:
         raise ValueError(f"alpha must be in [0, 1], got {alpha}")
-    return Decimal(str(alpha)).quantize(Decimal("0.0001"))
+    key = Decimal(str(alpha)).quantize(Decimal("0.0001"))
+    if key != Decimal(str(alpha)):
+        raise ValueError(f"alpha has at most four decimals, got {alpha}")
+    return key
 
 
 def mixture_counts(sizes: dict[str, int], alphas: list[float]) -> dict[str, list[int]]:

@@ -13,7 +13,7 @@ from driftwell.operators.kernel_tests import lsdd_scores, mmd_scores
 from driftwell.operators.neighbours import neighbour_kl_scores
 from driftwell.operators.numbering import sample_rows
 from driftwell.operators.projected import distance_scores
-from driftwell.plans.domains import REFERENCE_CAP, Domain
+from driftwell.plans.domains import Domain
 from driftwell.session import cut_lineage
 
 Detector = Callable[..., DataFrame]
@@ -60,13 +60,15 @@ def enabled_detectors(settings: dict[str, dict] | None) -> list[str]:
     return [n for n, s in settings.items() if s.get("enabled", True) and n in _DETECTORS]
 
 
-def kernel_reference(reference: DataFrame, cap: int, seed: int) -> DataFrame:
+def kernel_reference(reference: DataFrame, cap: int | None, seed: int) -> DataFrame:
     """The reference of the kernel tests: all of it, or ``cap`` sampled rows."""
+    if cap is None:
+        return reference
     return cut_lineage(sample_rows(reference, "row_id", cap, seed=seed, tag="kernel"))
 
 
 @register_detector("mmd")
-def mmd(domain: Domain, weights: DataFrame, *, n_permutations: int = 100, reference_cap: int = REFERENCE_CAP, seed: int = 42):
+def mmd(domain: Domain, weights: DataFrame, *, n_permutations: int = 100, reference_cap: int | None = None, seed: int = 42):
     reference, pool = domain.numeric
     scored = mmd_scores(
         kernel_reference(reference, reference_cap, seed), pool, weights, n_permutations=n_permutations, seed=seed
@@ -81,7 +83,7 @@ def lsdd(
     *,
     n_permutations: int = 100,
     n_centres: int = 100,
-    reference_cap: int = REFERENCE_CAP,
+    reference_cap: int | None = None,
     seed: int = 42,
 ):
     reference, pool = domain.numeric
@@ -103,12 +105,14 @@ def kl(domain: Domain, weights: DataFrame, *, n_neighbors: int = 5):
 
 
 @register_detector("distance")
-def distance(domain: Domain, weights: DataFrame, *, n_components: int | None = None):
+def distance(domain: Domain, weights: DataFrame, *, n_components: int | None | str = "domain"):
+    """``n_components``: as the domain says, a number, or None for the full width."""
     reference, pool = domain.numeric
-    return distance_scores(reference, pool, weights, n_components=n_components or domain.n_components)
+    n_components = domain.n_components if n_components == "domain" else n_components
+    return distance_scores(reference, pool, weights, n_components=n_components)
 
 
 @register_detector("columns")
-def columns(domain: Domain, weights: DataFrame, *, p_level: float = 0.05, distance_level: float = 0.1):
+def columns(domain: Domain, weights: DataFrame, *, family: str = "distance", p_level: float = 0.05, distance_level: float = 0.1):
     reference, pool = domain.columns
-    return drifted_share(reference, pool, weights, p_level=p_level, distance_level=distance_level)
+    return drifted_share(reference, pool, weights, family=family, p_level=p_level, distance_level=distance_level)

@@ -6,6 +6,7 @@ import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.utils import AnalysisException
 
 log = logging.getLogger(__name__)
@@ -64,12 +65,16 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def read_domain_metrics(spark: SparkSession, folders: dict[str, str], *, schema: str = METRICS_SCHEMA) -> DataFrame:
-    """Metrics of several result folders with a ``domain`` column; a missing folder is
-    left out with a warning."""
+    """Metrics of several result folders with a ``domain`` column. Columns go by their header
+    names, in any order; one that a file lacks is null. A missing folder is left out with a warning."""
     found = []
+    fields = _parse_datatype_string(schema).fields
     for domain, path in folders.items():
         try:
-            table = spark.read.option("header", True).schema(schema).csv(path)
+            raw = spark.read.option("header", True).csv(path)
+            table = raw.select(
+                *[(F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+            )
         except AnalysisException:
             log.warning("no metrics for %s at %s", domain, path)
             continue

@@ -36,9 +36,14 @@ def assemble_series(
             F.sequence(F.lit(0), F.lit(length - 1)), lambda d: F.coalesce(days[d], F.lit(0.0)).cast("float")
         ),
     )[0]
+    # the parts of the key are told apart whatever they hold: bars and backslashes are escaped, nulls are \\N
+    parts = [
+        F.coalesce(F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\\N"))
+        for c in entity
+    ]
     return by_day.select(
         *entity,
-        F.concat_ws("|", *[F.col(c).cast("string") for c in entity]).alias("row_id"),
+        F.concat_ws("|", *parts).alias("row_id"),
         filled.alias("v"),
         F.size("_days").alias("n_filled"),
     )

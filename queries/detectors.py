@@ -9,7 +9,6 @@ from driftwell.operators import metrics as M
 from driftwell.operators import resample as S
 from driftwell.operators.kernel_tests import lsdd_scores, median_squared_distance, mmd_scores, mmd_statistics
 from driftwell.operators.neighbours import neighbour_kl_scores
-from driftwell.operators.numbering import sample_rows
 from driftwell.operators.pairs import mean_distances, nearest_distances
 from driftwell.operators.projected import distance_scores
 from driftwell.plans.domains import create_domain, draw_grid
@@ -24,7 +23,6 @@ SEED = 42
 GRID = [0.0, 0.5, 1.0]
 RUNS = 3
 N_PERMUTATIONS = 20
-REFERENCE_CAP, POOL_CAP = 1000, 3000
 
 
 def vectors(spark, sf):
@@ -34,11 +32,9 @@ def vectors(spark, sf):
 
 
 def vector_sides(spark, sf):
-    """(reference, pool with labels) of classes 0 and 1 with the usual caps."""
-    rows = vectors(spark, sf).filter("label IN (0, 1)")
-    reference = sample_rows(rows.filter("label = 0"), "row_id", REFERENCE_CAP, seed=SEED, tag="reference")
-    pool = sample_rows(rows, "row_id", POOL_CAP, seed=SEED, tag="pool")
-    return cut_lineage(reference.select("row_id", "v")), cut_lineage(pool)
+    """(reference, pool with labels): all rows of class 0, and of classes 0 and 1."""
+    pool = cut_lineage(vectors(spark, sf).filter("label IN (0, 1)"))
+    return pool.filter("label = 0").select("row_id", "v"), pool
 
 
 def vector_grid(spark, sf, alphas=GRID, runs=RUNS):
@@ -47,9 +43,9 @@ def vector_grid(spark, sf, alphas=GRID, runs=RUNS):
     return reference, pool.select("row_id", "v"), weights
 
 
-VECTOR_SIDES_SQL = f"""emb AS (SELECT vec_id AS row_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE label IN (0, 1)),
-  ref AS (SELECT row_id, v FROM {rank_sql("(SELECT * FROM emb WHERE label = 0)", "42", "reference")} WHERE k <= {REFERENCE_CAP}),
-  pool AS (SELECT row_id, v, label FROM {rank_sql("emb", "42", "pool")} WHERE k <= {POOL_CAP}),
+VECTOR_SIDES_SQL = """emb AS (SELECT vec_id AS row_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE label IN (0, 1)),
+  ref AS (SELECT row_id, v FROM emb WHERE label = 0),
+  pool AS (SELECT row_id, v, label FROM emb),
   src AS (SELECT row_id, CASE label WHEN 0 THEN 'a' ELSE 'b' END AS grp FROM pool),"""
 
 
@@ -238,7 +234,7 @@ def lsdd_score(spark, sf):
 
 SERIES_KL_SQL = f"""{SERIES_SQL},
   rows AS (SELECT row_id, event_type, list(x ORDER BY d) AS v FROM series WHERE event_type IN ('click', 'purchase') GROUP BY 1, 2),
-  ref AS (SELECT row_id, v FROM {rank_sql("(SELECT * FROM rows WHERE event_type = 'click')", "42", "reference")} WHERE k <= {REFERENCE_CAP}),
+  ref AS (SELECT row_id, v FROM rows WHERE event_type = 'click'),
   pool AS (SELECT * FROM rows), src AS (SELECT row_id, CASE event_type WHEN 'click' THEN 'a' ELSE 'b' END AS grp FROM pool),"""
 
 

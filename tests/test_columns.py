@@ -94,17 +94,23 @@ def mixed(spark, seed, n, shift=0.0):
     return spark.createDataFrame(rows, "row_id bigint, a double, b double, few int, c string, two string")
 
 
-@pytest.mark.parametrize("limit, tests", [(1000, {"a": "ks", "b": "ks", "few": "chi_square", "c": "chi_square", "two": "z"}),
-                                          (10, {"a": "wasserstein", "b": "wasserstein", "few": "jensen_shannon", "c": "jensen_shannon", "two": "jensen_shannon"})])
-def test_choice_of_tests_and_share(spark, limit, tests):
+@pytest.mark.parametrize("family, tests", [("test", {"a": "ks", "b": "ks", "few": "chi_square", "c": "chi_square", "two": "z"}),
+                                          ("distance", {"a": "wasserstein", "b": "wasserstein", "few": "jensen_shannon", "c": "jensen_shannon", "two": "jensen_shannon"})])
+def test_choice_of_tests_and_share(spark, family, tests):
     ref, moved = mixed(spark, 1, 300), mixed(spark, 2, 300, shift=1.5)
-    rows = {r["column"]: r for r in C.column_drift(ref, moved, small_reference=limit).collect()}
+    rows = {r["column"]: r for r in C.column_drift(ref, moved, family=family).collect()}
     assert {c: r["test"] for c, r in rows.items()} == tests
     assert rows["a"]["drifted"]
-    share = C.drifted_share(ref, moved, small_reference=limit).first()["score"]
+    share = C.drifted_share(ref, moved, family=family).first()["score"]
     assert share == pytest.approx(sum(r["drifted"] for r in rows.values()) / 5)
 
 
 def test_same_table_has_no_drift(spark):
     ref = mixed(spark, 3, 200)
     assert C.drifted_share(ref, ref).first()["score"] == 0.0
+
+
+def test_unknown_family_is_refused(spark):
+    ref = mixed(spark, 3, 20)
+    with pytest.raises(ValueError, match="family"):
+        C.column_drift(ref, ref, family="auto")
