@@ -65,11 +65,16 @@ def one_hot(df: DataFrame, row_id: str, numeric: list[str], categories: dict[str
     an unknown category gives zeros."""
     blocks = [F.array(*[F.col(c).cast("float") for c in numeric])] if numeric else []
     for column, known in categories.items():
-        value = F.col(column).cast("string")
-        blocks.append(F.array(*[F.coalesce(value == F.lit(k), F.lit(False)).cast("float") for k in known]))
+        blocks.append(_flags(F.col(column).cast("string"), known))
     return df.select(F.col(row_id).alias("row_id"), F.concat(*blocks).alias("v"))
 
 
+def _flags(value: Column, known: list[str]) -> Column:
+    """0/1 for each known category: one expression over a literal array, however many there are."""
+    names = F.lit(known) if known else F.array().cast("array<string>")
+    return F.transform(names, lambda k: F.coalesce(value == k, F.lit(False)).cast("float"))
+
+
 # ---- vectors
 
 

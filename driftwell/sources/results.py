@@ -20,18 +20,32 @@ METRICS_SCHEMA = (
 
 
 def scores_as_json(scores: DataFrame) -> DataFrame:
-    """(value): one JSON line per detector, {detector: {alpha: [score of run 0, 1, ...]}}.
+    """(value): one JSON line per detector and intensity, {detector: {alpha: [score of run 0, 1, ...]}}.
 
-    An array holds one intensity's runs, a map one detector's grid; neither grows with
-    the scored tables.
+    An array holds one intensity's runs; it does not grow with the scored tables.
     """
     runs = scores.groupBy("detector", "alpha").agg(F.sort_array(F.collect_list(F.struct("run", "score"))).alias("r"))
-    grid = runs.groupBy("detector").agg(
-        F.map_from_entries(
-            F.sort_array(F.collect_list(F.struct(F.col("alpha").cast("double").cast("string").alias("k"), F.col("r.score").alias("v"))))
-        ).alias("m")
-    )
-    return grid.select(F.to_json(F.create_map("detector", "m")).alias("value"))
+    grid = F.create_map(F.col("alpha").cast("double").cast("string"), F.col("r.score"))
+    return runs.select(F.to_json(F.create_map(F.col("detector"), grid)).alias("value"))
+
+
+def calibration_as_json(calibration: DataFrame) -> DataFrame:
+    """(value): one JSON line per detector, {detector: [score of held-out run 0, 1, ...]}."""
+    runs = calibration.groupBy("detector").agg(F.sort_array(F.collect_list(F.struct("run", "score"))).alias("r"))
+    return runs.select(F.to_json(F.create_map(F.col("detector"), F.col("r.score"))).alias("value"))
+
+
+def write_calibration_json(calibration: DataFrame, path: str) -> None:
+    calibration_as_json(calibration).write.mode("overwrite").text(path)
+
+
+def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(document) of files that hold one or more JSON objects, each over one or more lines; text
+    that is no such object is an error."""
+    parts = F.explode(F.split("value", r"(?<=\})\s*\n(?=\{)")).alias("value")
+    found = spark.read.text(path, wholetext=True).select(parts).filter("trim(value) <> ''")
+    wrong = F.raise_error(F.concat(F.lit("not a score document: "), F.substring("value", 1, 80)))
+    return found.select(F.coalesce(F.from_json("value", schema), wrong.cast(schema)).alias("document"))
 
 
 def write_scores_json(scores: DataFrame, path: str) -> None:
@@ -41,10 +55,9 @@ def write_scores_json(scores: DataFrame, path: str) -> None:
 def read_scores_json(spark: SparkSession, path: str) -> DataFrame:
     """(detector, alpha, run, score) of one or more files; the text keys become numbers
     and the run is the position in the array."""
-    files = spark.read.text(path, wholetext=True)
-    documents = files.select(F.explode(F.split("value", r"(?<=\})\s*\n(?=\{)")).alias("value"))
     return (
-        documents.select(F.explode(F.from_json("value", SCORE_MAP)).alias("detector", "grid"))
+        _documents(spark, path, SCORE_MAP)
+        .select(F.explode("document").alias("detector", "grid"))
         .select("detector", F.explode("grid").alias("alpha", "runs"))
         .select("detector", F.col("alpha").cast("decimal(6,4)").alias("alpha"), F.posexplode("runs").alias("run", "score"))
     )
@@ -53,8 +66,8 @@ def read_scores_json(spark: SparkSession, path: str) -> DataFrame:
 def read_calibration_json(spark: SparkSession, path: str) -> DataFrame:
     """(detector, run, score) of {detector: [score, ...]}."""
     return (
-        spark.read.text(path, wholetext=True)
-        .select(F.explode(F.from_json("value", CALIBRATION_MAP)).alias("detector", "runs"))
+        _documents(spark, path, CALIBRATION_MAP)
+        .select(F.explode("document").alias("detector", "runs"))
         .select("detector", F.posexplode("runs").alias("run", "score"))
     )
 

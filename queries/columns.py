@@ -119,15 +119,46 @@ def proportion_z_by_column(spark, sf):
     return as_output(C.proportion_z_by_column(reference, pool, FLAGS, weights).drop("p_value"))
 
 
+#: The CTEs of SHARES_SQL after those of STEPS_SQL.
+MORE_SHARES_SQL = SHARES_SQL[SHARES_SQL.index("    rc AS") :].replace("rc AS", "rc2 AS").replace("tc AS", "tc2 AS").replace("counts AS", "counts2 AS").replace("FROM rc,", "FROM rc2,").replace("FROM tc)", "FROM tc2)").replace("FROM counts ", "FROM counts2 ")
+
 SHARE_SQL = (
     WASSERSTEIN_SQL
     + ", "
-    + SHARES_SQL[SHARES_SQL.index("    rc AS") :].replace("rc AS", "rc2 AS").replace("tc AS", "tc2 AS").replace("counts AS", "counts2 AS").replace("FROM rc,", "FROM rc2,").replace("FROM tc)", "FROM tc2)").replace("FROM counts ", "FROM counts2 ")
+    + MORE_SHARES_SQL
     + f""", js AS (SELECT alpha, run, "column", {JS_EXPR} AS statistic FROM shares GROUP BY 1, 2, 3)
     SELECT alpha, run, round(avg((statistic >= 0.1)::INT::DOUBLE), 6) AS score FROM (SELECT * FROM wd UNION ALL SELECT * FROM js) GROUP BY 1, 2"""
 )
 
 
+CHI_P_SQL = """SELECT alpha, run, "column", exp(-sum((t - r / ra * ta) * (t - r / ra * ta) / (r / ra * ta)) / 2) AS p
+  FROM shares WHERE "column" = 'l_returnflag' GROUP BY 1, 2, 3"""
+
+
+@query("chi_square_p_value", f'WITH {SHARES_SQL}, ch AS ({CHI_P_SQL}) SELECT alpha, run, "column", round(p, 6) AS p_value FROM ch')
+def chi_square_p_value(spark, sf):
+    """The three return flags: two degrees of freedom, where the tail has a closed form."""
+    reference, pool, weights = sides(spark, sf)
+    found = C.chi_square_by_column(reference, pool, ["l_returnflag"], weights)
+    return as_output(found.drop("statistic", "df"))
+
+
+@query(
+    "drifted_share_by_test",
+    f"""WITH {STEPS_SQL}, {MORE_SHARES_SQL},
+    d AS (SELECT alpha, run, "column", max(gap) AS d, sum(r) AS n, sum(t) AS m FROM steps GROUP BY 1, 2, 3),
+    l AS (SELECT *, d * d * n * m / (n + m) AS lam2 FROM d),
+    kp AS (SELECT alpha, run, "column", CASE WHEN max(lam2) < 0.04 THEN 1 ELSE
+      sum((CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END)::DOUBLE * exp(-2.0 * k * k * lam2)) END AS p FROM l, range(1, 101) t(k) GROUP BY 1, 2, 3),
+    ch AS ({CHI_P_SQL})
+    SELECT alpha, run, round(avg((p < 0.05)::INT::DOUBLE), 6) AS score FROM (SELECT * FROM kp UNION ALL SELECT * FROM ch) GROUP BY 1, 2""",
+)
+def drifted_share_by_test(spark, sf):
+    """The rule by p-values: Kolmogorov-Smirnov for numbers, chi-square for the flag."""
+    reference, pool, weights = sides(spark, sf)
+    return as_output(C.drifted_share(reference, pool, weights, columns=[*NUMBERS, "l_returnflag"], family="test"))
+
+
 @query("drifted_share", SHARE_SQL)
 def drifted_share(spark, sf):
     reference, pool, weights = sides(spark, sf)

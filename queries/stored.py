@@ -34,6 +34,19 @@ def scores_json_roundtrip(spark, sf):
     return as_output(results.read_scores_json(spark, path))
 
 
+@query(
+    "calibration_json_roundtrip",
+    f"""WITH {SCORES_SQL} SELECT detector, (row_number() OVER (PARTITION BY detector ORDER BY md5('rows:' || row_id::VARCHAR), row_id) - 1)::INT AS run,
+      round(score, 6) AS score FROM calibration""",
+)
+def calibration_json_roundtrip(spark, sf):
+    """Held-out scores written as JSON and read back as rows."""
+    path = fresh_folder(spark, "calibration")
+    numbered = number_rows(event_calibration(spark, sf), "row_id", ["detector"], out="run")
+    results.write_calibration_json(numbered.select("detector", F.col("run").cast("int").alias("run"), "score"), path)
+    return as_output(results.read_calibration_json(spark, path))
+
+
 @query(
     "metrics_csv_by_domain",
     f"""WITH {METRICS_SQL}, m AS (SELECT {ROUNDED_METRICS} FROM metrics)
@@ -92,6 +105,6 @@ def resumed_run(spark, sf):
     score depends on its own resample only, so it equals an uninterrupted run (see tests)."""
     domain = customer_domain(spark, sf)
     store = runs.Store(spark, fresh_folder(spark, "run"))
-    options = {"n_runs": 3, "detectors": ["distance", "columns"]}
+    options = {"n_runs": 3, "detectors": ["distance", "columns"], "alphas_per_save": 2}
     runs.run_domain(domain, store, alphas=[0.0, 0.5], **options)
     return as_output(runs.run_domain(domain, store, alphas=[0.0, 0.5, 1.0], **options))

@@ -42,7 +42,7 @@ def test_label_is_dropped_and_split_is_half(domain):
 
 
 def test_resumed_run_equals_an_uninterrupted_one(spark, domain, tmp_path):
-    options = {"n_runs": 3, "detectors": ["distance", "kl"]}
+    options = {"n_runs": 3, "detectors": ["distance", "kl"], "alphas_per_save": 9}
     whole = runs.run_domain(domain, runs.Store(spark, f"{tmp_path}/a"), alphas=[0.0, 0.005, 0.5], **options)
     store = runs.Store(spark, f"{tmp_path}/b")
     runs.run_domain(domain, store, alphas=[0.0], **options)
@@ -57,17 +57,50 @@ def test_resumed_run_equals_an_uninterrupted_one(spark, domain, tmp_path):
 
 def test_forced_run_keeps_the_other_detectors(spark, domain, tmp_path):
     store = runs.Store(spark, f"{tmp_path}/c")
-    runs.run_domain(domain, store, alphas=[0.0, 1.0], n_runs=3, detectors=["distance", "columns"])
+    runs.run_domain(domain, store, alphas=[0.0, 1.0], n_runs=3, detectors=["distance", "columns"], alphas_per_save=9)
     old = {(r["detector"], r["run"]): r["score"] for r in store.calibration().collect()}
-    metrics = runs.run_if_needed(domain, store, alphas=[0.0, 1.0], n_runs=3, detectors=["distance"], seed=7, force=True)
+    metrics = runs.run_if_needed(domain, store, alphas=[0.0, 1.0], n_runs=3, detectors=["distance"], seed=7, force=True, alphas_per_save=9)
     assert {k[0] for k in values(metrics)} == {"distance", "columns"}
     new = {(r["detector"], r["run"]): r["score"] for r in store.calibration().collect()}
     assert all(new[k] == old[k] for k in old if k[0] == "columns")
     assert any(new[k] != old[k] for k in old if k[0] == "distance")
 
 
+def test_other_setup_is_not_mixed_in(spark, domain, tmp_path):
+    """Held-out draws begin after the last run, so another number of runs starts anew."""
+    options = {"alphas": [0.0, 0.5], "detectors": ["distance"], "alphas_per_save": 9}
+    fresh = values(runs.run_domain(domain, runs.Store(spark, f"{tmp_path}/e"), n_runs=4, seed=1, **options))
+    store = runs.Store(spark, f"{tmp_path}/f")
+    runs.run_domain(domain, store, n_runs=2, seed=1, alphas=[0.0, 0.5, 1.0], detectors=["distance"], alphas_per_save=9)
+    again = runs.run_domain(domain, store, n_runs=4, seed=1, **options)
+    assert fresh == as_dict(again)  # the old intensity 1.0 has another setup
+    assert store.scores({"distance": runs.run_setup("distance", 4, 2)}).count() == 0
+
+
+def test_scores_are_saved_after_each_intensity(spark, domain, tmp_path):
+    """A detector that fails at the second intensity leaves the first one and its partial metrics."""
+    calls = []
+
+    @registry.register_detector("breaks")
+    def breaks(domain, weights):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("stopped")
+        return weights.groupBy("phase", "alpha", "run").agg(F.count("*").cast("double").alias("score"))
+
+    store = runs.Store(spark, f"{tmp_path}/g")
+    options = {"alphas": [0.0, 0.5], "n_runs": 2, "detectors": ["breaks"]}
+    try:
+        with pytest.raises(RuntimeError, match="stopped"):
+            runs.run_domain(domain, store, **options)
+        assert {float(r["alpha"]) for r in store.scores().collect()} == {0.0}
+        assert spark.read.option("header", True).csv(store.partial_path).count() == 1
+    finally:
+        del registry._DETECTORS["breaks"]
+
+
 def test_unshifted_and_fully_shifted(spark, domain, tmp_path):
-    metrics = runs.run_domain(domain, runs.Store(spark, f"{tmp_path}/d"), alphas=[0.0, 1.0], n_runs=5, detectors=["distance"])
+    metrics = runs.run_domain(domain, runs.Store(spark, f"{tmp_path}/d"), alphas=[0.0, 1.0], n_runs=5, detectors=["distance"], alphas_per_save=9)
     rows = values(metrics)
     assert rows["distance", 1.0][0] == 1.0
 
@@ -116,6 +149,10 @@ def test_scores_json(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"d": [0.3, 0.4]}')
     rows = results.read_calibration_json(spark, str(tmp_path / "c.json")).orderBy("run").collect()
     assert [tuple(r) for r in rows] == [("d", 0, 0.3), ("d", 1, 0.4)]
+    (tmp_path / "bad.json").write_text('{"d": [0.3,\n')
+    for read in (results.read_scores_json, results.read_calibration_json):
+        with pytest.raises(Exception, match="not a score document"):
+            read(spark, str(tmp_path / "bad.json")).collect()
 
 
 def test_missing_result_folder(spark, tmp_path):
