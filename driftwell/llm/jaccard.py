@@ -35,6 +35,8 @@ from driftwell.session import cut_lineage
 ORDER_BUCKETS = 1 << 16
 #: Texts of a tile before it is split into blocks.
 TILE_ROWS = 2048
+#: A class with more than this part of all copies is hot; there are fewer of these than the inverse.
+HOT_PART = 1 / 1024
 _SEEDS = (U(0x51ED270B9F9C1A35), U(0xA24BAED4963EE407))
 
 
@@ -349,9 +351,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .mapInArrow(_summed, "doc_id long, n long, shared long, s1 long, s2 long")
     )
     likely = sums.filter((F.col("n") > 0) & (F.col("shared") * 100 >= F.col("n") * percent))
-    firsts = likely.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = cut_lineage(likely.join(firsts, ["s1", "s2", "n"]).select("doc_id", "rep"))
-    reps = cut_lineage(firsts.select(F.col("rep").alias("doc_id")))
+    firsts = cut_lineage(
+        likely.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    )
+    reps = firsts.select(F.col("rep").alias("doc_id"))
 
     def sets(batches):
         for batch in slices(batches, "text"):
@@ -380,16 +383,24 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = _tiles(held.join(trees, "doc_id"), percent, width)
     comps = connected(links.mapInArrow(_exact(percent), "a long, b long"))
     comps = comps.select(F.col("node").alias("rep"), F.col("root").alias("component"))
+    named = firsts.join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # every text has a row in sums
+    return sums.join(_members(likely, cut_lineage(named)), "doc_id", "left").select(
+        F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+    )
+
+
+def _members(likely: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, component) of the texts of all classes; hot classes meet their texts without a shuffle."""
+    same = ["s1", "s2", "n"]
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    hot = F.col("copies") > total * HOT_PART
+    few = F.broadcast(classes.filter(hot).select(*same, F.col("component")))  # fewer than 1 / HOT_PART rows
+    rest = classes.filter(~hot).select(*same, "component")
     return (
-        rows.select("doc_id")
-        .join(sums.select("doc_id", "n"), "doc_id", "left")
-        .join(classes, "doc_id", "left")
-        .join(comps, "rep", "left")
-        .select(
-            F.col("doc_id").alias(key),
-            F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"),
-            F.coalesce("component", "rep", "doc_id").alias("component_id"),
-        )
+        likely.join(few, same)
+        .select("doc_id", "component")
+        .union(likely.join(few, same, "left_anti").join(rest, same).select("doc_id", "component"))
     )
 
 

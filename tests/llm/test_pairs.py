@@ -138,3 +138,17 @@ def test_very_long_word_and_text(spark):
     texts = [(1, long + " " + " ".join(str(i) for i in range(30000))), (2, long + " " + " ".join(str(i) for i in range(30000)))]
     row = substrings.kept_digests(frame(spark, texts)).filter(F.col("doc_id") == 2).first()
     assert (row["n_words"], row["n_removed"]) == (30001, 30001)
+
+
+def test_members_of_hot_and_small_classes(spark):
+    # 1,500 copies of one class, 1,500 classes of one text each, one class of two
+    likely = spark.range(3002).selectExpr(
+        "id AS doc_id",
+        "CASE WHEN id < 1500 THEN 0 WHEN id < 3000 THEN id ELSE -1 END AS s1",
+        "7L AS s2",
+        "9L AS n",
+    )
+    classes = likely.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("component"), F.count("*").alias("copies"))
+    found = {r["doc_id"]: r["component"] for r in jaccard._members(likely, classes).collect()}
+    assert found == {i: 0 if i < 1500 else min(i, 3000) for i in range(3002)}
+    assert not jaccard._members(likely.limit(0), classes.limit(0)).collect()
