@@ -9,6 +9,7 @@ product of the flag matrix of a batch with the landmarks' flags, then with the w
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,9 @@ from driftwell.llm.words import buffers
 #: Flags of a text, landmarks in all, sample rows of a language (about: the bound of the sample is twice this).
 FLAGS, LANDMARKS, SAMPLE = 1 << 13, 256, 400
 RIDGE = 1e-3
+#: Rejection: bytes of the pieces cut from each learning text, texts laid together, least margins of a size that set a
+#: limit, and the part of the way from the lowest clean margin to the median margin of random flags that is left free.
+PIECES, TOGETHER, LEAST, SLACK = (8, 16, 32, 64, 128, 256, 512, 1024), (2, 8, 32), 30, 0.25
 #: Bytes of a text whose n-grams are set at once.
 _STEP = 1 << 20
 
@@ -57,39 +61,113 @@ def _unpacked(rows: list[bytes]) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
 
 
-def _fitted(landmarks: int, ridge: float):
+def _model(names: list[str], lang: np.ndarray, x: np.ndarray, landmarks: int, ridge: float, noise: np.ndarray | None = None) -> dict:
+    """Ridge weights of the labelled rows; ``noise``: rows that belong to no language."""
+    # landmarks in turn of the languages, evenly over each one's rows
+    each = max(1, landmarks // len(names))
+    marks = np.concatenate([np.flatnonzero(lang == c)[:: max(1, int((lang == c).sum()) // each)][:each] for c in range(len(names))])
+    m = x[marks]
+    values, vectors = np.linalg.eigh(_kernel(m, m).astype(np.float64))
+    good = values > 1e-6
+    whiten = vectors[:, good] / np.sqrt(values[good])
+    classes = len(names)
+    if noise is not None:
+        x, lang, classes = np.vstack([x, noise]), np.append(lang, np.full(len(noise), classes)), classes + 1
+    z = np.hstack([_kernel(x, m) @ whiten, np.ones((len(x), 1))])
+    target = np.where(lang[:, None] == np.arange(len(names)), 1.0, -1.0)
+    weight = (len(lang) / (classes * np.maximum(np.bincount(lang, minlength=classes), 1)))[lang]  # rare languages count as much
+    inner = (z * weight[:, None]).T @ z + ridge * len(z) * np.eye(z.shape[1])
+    beta = np.linalg.solve(inner, (z * weight[:, None]).T @ target)
+    return {"names": names, "marks": np.packbits(m.astype(bool), axis=1), "map": whiten @ beta[:-1], "bias": beta[-1]}
+
+
+def _random(sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Random flags, about as many in each row as ``sizes`` says."""
+    return (rng.random((len(sizes), FLAGS), np.float32) < (sizes / FLAGS)[:, None]).astype(np.float32)
+
+
+def _margins(model: dict, marks: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return _kernel(x, marks) @ model["map"] + model["bias"]
+
+
+def _size(x: np.ndarray) -> np.ndarray:
+    """The power of two below the number of flags of each row."""
+    return np.log2(np.maximum(x.sum(1), 1)).astype(np.int64)
+
+
+def _limits(names: list[str], lang: np.ndarray, bits: np.ndarray, pieces: list[list[bytes]], landmarks: int, ridge: float) -> list[float]:
+    """The margin below which a text of a size (see ``_size``) is no language.
+
+    Each half of the rows is scored by a model of the other half: whole texts, pieces of them, and several of a
+    language together. The limit of a size lies SLACK of the way from the lowest of these margins to the median of
+    random flags of that size. Sizes that too few margins reach take the limit of the next smaller one; the
+    smallest, and all where a half lacks a language, have none.
+    """
+    low = np.full((2, FLAGS.bit_length()), np.inf)
+    count = np.zeros(FLAGS.bit_length(), np.int64)
+    chance = np.zeros(FLAGS.bit_length())
+    rng = np.random.default_rng(11)
+    half = np.empty(len(lang), np.int64)
+    for c in range(len(names)):
+        half[lang == c] = np.arange(int((lang == c).sum())) % 2
+    for side in (0, 1):
+        own, other = np.flatnonzero(half == side), np.flatnonzero(half != side)
+        if len(set(lang[own])) < len(names) or len(set(lang[other])) < len(names):
+            return []
+        x = np.unpackbits(bits[other], axis=1).astype(np.float32)
+        model = _model(names, lang[other], x, landmarks, ridge, _random(x.sum(1), rng))
+        marks = np.unpackbits(model["marks"], axis=1).astype(np.float32)
+        rows = [bits[i] for i in own] + [np.frombuffer(b, np.uint8) for i in own for b in pieces[i]]
+        for c in range(len(names)):
+            mine = own[lang[own] == c]
+            rows += [np.bitwise_or.reduce(bits[mine[k : k + n]], axis=0) for n in TOGETHER for k in range(0, len(mine) - n + 1, max(1, n // 4))]
+        for at in range(0, len(rows), 512):
+            x = np.unpackbits(np.stack(rows[at : at + 512]), axis=1).astype(np.float32)
+            size, best = _size(x), _margins(model, marks, x).max(1)
+            np.minimum.at(low[side], size, best)
+            count += np.bincount(size, minlength=len(count))
+        for k in range(len(chance)):
+            x = _random(np.full(64, min(1.4 * (1 << k), FLAGS)), rng)
+            chance[k] += np.median(_margins(model, marks, x).max(1)) / 2
+    limits = []
+    for k, clean in enumerate(low.min(0)):
+        before = limits[-1] if limits else -np.inf
+        limits.append(float(clean - SLACK * max(0.0, clean - chance[k])) if count[k] >= LEAST else before)
+    return limits
+
+
+def _fitted(landmarks: int, ridge: float, reject: bool = False):
     def fit(batches: Iterator[pa.RecordBatch]):
-        rows = sorted(r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        rows = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         if not rows:
             return
-        names = sorted({lang for lang, _ in rows})
-        lang = np.array([names.index(x) for x, _ in rows])
-        x = _unpacked([bits for _, bits in rows])
-        # landmarks in turn of the languages, evenly over each one's rows
-        each = max(1, landmarks // len(names))
-        marks = np.concatenate([np.flatnonzero(lang == c)[:: max(1, int((lang == c).sum()) // each)][:each] for c in range(len(names))])
-        m = x[marks]
-        values, vectors = np.linalg.eigh(_kernel(m, m).astype(np.float64))
-        good = values > 1e-6
-        whiten = vectors[:, good] / np.sqrt(values[good])
-        z = np.hstack([_kernel(x, m) @ whiten, np.ones((len(x), 1))])
-        target = np.where(lang[:, None] == np.arange(len(names)), 1.0, -1.0)
-        weight = (len(lang) / (len(names) * np.bincount(lang)))[lang]  # rare languages count as much
-        inner = (z * weight[:, None]).T @ z + ridge * len(z) * np.eye(z.shape[1])
-        beta = np.linalg.solve(inner, (z * weight[:, None]).T @ target)
-        model = {"names": names, "marks": np.packbits(m.astype(bool), axis=1), "map": whiten @ beta[:-1], "bias": beta[-1]}
+        names = sorted({r[0] for r in rows})
+        lang = np.array([names.index(r[0]) for r in rows])
+        x = _unpacked([r[1] for r in rows])
+        noise = _random(x.sum(1), np.random.default_rng(11)) if reject else None
+        model = _model(names, lang, x, landmarks, ridge, noise)
+        if reject:
+            model["limits"] = _limits(names, lang, np.packbits(x.astype(bool), axis=1), [r[2] for r in rows], landmarks, ridge)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     return fit
 
 
+def _pieces(text: str) -> list[str]:
+    """Pieces of growing length, each from another place of the text; whole texts are no pieces."""
+    raw = text.encode()
+    places = [(n, zlib.crc32(raw[:256] + bytes([i])) % (len(raw) - n)) for i, n in enumerate(PIECES) if n < len(raw)]
+    return [raw[at : at + n].decode(errors="ignore") for n, at in places]
+
+
 def fit_languages(
-    docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE
+    docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE, reject: bool = False
 ) -> dict | None:
     """A model from rows where ``usable`` holds and the language is known; None if there is none.
 
     The sample is bounded: of each language about ``sample`` rows (twice that at most), picked by a hash of the
-    key; every language with a row is in it. Languages are bounded by the labels' own number.
+    key; every language with a row is in it. Languages are bounded by the labels' own number. With ``reject`` random
+    flags are learned as no language, and the model has the margins below which a text is none.
     """
     rows = docs.filter(usable & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     counts = rows.select("lang").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000)
@@ -99,10 +177,14 @@ def fit_languages(
 
     def turned(batches):
         for batch in slices(batches, "text"):
-            bits = flags(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in bits], pa.binary())], names=["lang", "bits"])
-
-    found = picked.mapInArrow(turned, "lang string, bits binary").coalesce(1).mapInArrow(_fitted(landmarks, ridge), "model binary").collect()
+            columns = [batch.column(0), pa.array([r.tobytes() for r in flags(batch.column(1))], pa.binary())]
+            if reject:
+                cut = [[r.tobytes() for r in flags(pa.array(_pieces(t), pa.string()))] for t in batch.column(1).to_pylist()]
+                columns.append(pa.array(cut, pa.list_(pa.binary())))
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "bits", "pieces"][: len(columns)])
+
+    kind = "lang string, bits binary" + ", pieces array<binary>" * reject
+    found = picked.mapInArrow(turned, kind).coalesce(1).mapInArrow(_fitted(landmarks, ridge, reject), "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else None
 
 
@@ -157,21 +239,34 @@ def identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
     return found.select(F.col("doc_id").alias(key), held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def _recognised(model: dict | None, texts: pa.Array) -> np.ndarray:
+    """Whether the margin of each text's best language reaches the limit of the text's size."""
+    keep = np.ones(len(texts), bool)
+    if model is None or not model["limits"]:
+        return keep
+    limits = np.array(model["limits"])
+    marks = np.unpackbits(model["marks"], axis=1).astype(np.float32)
+    bits = flags(texts)
+    for low in range(0, len(texts), 512):
+        x = np.unpackbits(bits[low : low + 512], axis=1).astype(np.float32)
+        keep[low : low + 512] = _margins(model, marks, x).max(1) >= limits[_size(x)]
+    return keep
+
+
 def known_language(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that have a language: those with ``und`` go. Expects one row per key."""
-    model = fit_languages(docs, ~held_out(key), key, text, lang)
+    """The rows of ``docs`` whose text is in a language like those learned; rows stand for themselves.
+
+    Texts without a letter go, and those whose margin is below the limit of their size, which ``_limits`` draws from the
+    learning rows. If there is nothing to learn from every text with a letter stays.
+    """
+    model = fit_languages(docs, ~held_out(key), key, text, lang, reject=True)
     at = docs.schema.fieldNames().index(text)
 
     def run(batches):
-        inner = _scored(model)
-        for batch in batches:
-            texts = batch.column(at)
-            letters = batch.column(batch.num_columns - 1)
-            bare = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), texts, letters], names=["doc_id", "text", "letters"])
-            keep = [x != "und" for part in inner([bare]) for x in part.column(1).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(list(range(batch.num_columns - 1)))
-
-    lettered = docs.withColumn("__letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+        for batch in slices(batches, text):
+            yield batch.filter(pa.array(_recognised(model, batch.column(at)), pa.bool_()))
+
+    lettered = docs.filter(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     return lettered.mapInArrow(run, docs.schema)
 
 
