@@ -7,8 +7,7 @@ probability. Documents are scored by the sum of their tokens' conditional log-pr
 
 Training covers all documents: every task trains a copy of the parameters on its own rows, one pass, and the copies
 are averaged by tokens seen, in groups of bounded size level by level, so neither the driver nor a task ever holds
-more than a few copies. TRAIN_EVERY sets which part of the positions of every text is predicted in training (all
-texts, a constant rate); every token is context, and every token is scored.
+more than a few copies. Every token of every text is a target and context in training, and every token is scored.
 """
 
 from __future__ import annotations
@@ -28,8 +27,8 @@ from driftwell.session import cut_lineage
 
 #: Frequent words, buckets of other words, classes of the output, tokens to each side, width of the hidden layer.
 KNOWN, OTHERS, CLASSES, WINDOW, HIDDEN = 768, 254, 32, 2, 24
-#: One of so many positions is a training target; positions per step; step size; words counted before they are sent on.
-TRAIN_EVERY, BATCH, RATE, COUNTED = 8, 4096, 0.3, 200_000
+#: Positions per step; step size; words counted before they are sent on.
+BATCH, RATE, COUNTED = 4096, 0.3, 200_000
 #: Copies of the parameters that a task averages.
 FAN_IN = 16
 
@@ -172,12 +171,10 @@ def _trained(start: np.ndarray, known: dict[str, int]):
     """A copy of the network trained on a task's rows: (copy, weight, parameters)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        net, seen, offset = Network(start.copy()), 0, 0
+        net, seen = Network(start.copy()), 0
         for batch in slices(batches, "text"):
             tokens, _ = _contexts(batch, known)
             at = np.flatnonzero(tokens != _EDGE)
-            at = at[offset % TRAIN_EVERY :: TRAIN_EVERY]
-            offset += 1
             at = at[np.random.default_rng(len(at)).permutation(len(at))]
             for low in range(0, len(at), BATCH):
                 part = at[low : low + BATCH]
