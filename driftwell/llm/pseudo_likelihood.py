@@ -3,7 +3,9 @@
 A token is one of the most frequent words of all documents or a hash bucket of the others. The network sees the
 WINDOW tokens before and after a position, not the position itself: an embedding table per offset is summed (the
 first layer), tanh, and a two-step softmax (class of the token, token within the class) gives the conditional
-probability. Documents are scored by the sum of their tokens' conditional log-probabilities.
+probability. A word of a bucket has this times its share of the bucket's count, from a table of the counts of all words
+that grows with the corpus and is joined by hash. Documents are scored by the sum of their words' conditional
+log-probabilities.
 
 Training covers all documents: every task trains a copy of the parameters on its own rows, one pass, and the copies
 are averaged by tokens seen, in groups of bounded size level by level, so neither the driver nor a task ever holds
@@ -23,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.llm.shared import partitions, slices
+from driftwell.llm.words import word_hashes
 from driftwell.session import cut_lineage
 
 #: Frequent words, buckets of other words, classes of the output, tokens to each side, width of the hidden layer.
 KNOWN, OTHERS, CLASSES, WINDOW, HIDDEN = 768, 254, 32, 2, 24
-#: Positions per step; step size; words counted before they are sent on.
-BATCH, RATE, COUNTED = 4096, 0.3, 200_000
+#: Positions per step; step size; words counted before they are sent on, and occurrences added up before theirs are.
+BATCH, RATE, COUNTED, ADDED = 4096, 0.3, 200_000, 2_000_000
 #: Copies of the parameters that a task averages.
 FAN_IN = 16
 
@@ -55,13 +58,48 @@ def _word_counts(batches: Iterator[pa.RecordBatch]):
         yield out()
 
 
-def vocabulary(docs: DataFrame, text: str = "text", size: int = KNOWN) -> dict[str, int]:
-    """The ``size`` most frequent words of all texts, ties by word; the counts cover every word of every text."""
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.encode()) % OTHERS
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    lengths = np.array([0, *(len(w.encode()) for w in words)], np.int64)
+    limits = np.cumsum(lengths)
+    return word_hashes(np.frombuffer("".join(words).encode(), np.uint8), limits[:-1], limits[1:]).view(np.int64)
+
+
+def _with_hashes(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        words = batch.column(0).to_pylist()
+        if words:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(_hashes(words)), pa.array([_bucket(w) for w in words], pa.int32())], names=["word", "c", "h", "bucket"]
+            )
+
+
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, c, h, bucket), a written row for each distinct word of all texts."""
     counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_word_counts, "word string, c long")
-    top = counted.groupBy("word").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "word").limit(size).collect()
+    return cut_lineage(counted.groupBy("word").agg(F.sum("c").alias("c")).mapInArrow(_with_hashes, "word string, c long, h long, bucket int"))
+
+
+def vocabulary(docs: DataFrame, text: str = "text", size: int = KNOWN, counts: DataFrame | None = None) -> dict[str, int]:
+    """The ``size`` most frequent words of all texts, ties by word; the counts cover every word of every text."""
+    counts = word_counts(docs, text) if counts is None else counts
+    top = counts.select("word", "c").orderBy(F.desc("c"), "word").limit(size).collect()
     return {r["word"]: i for i, r in enumerate(top)}
 
 
+def _bucket_logs(counts: DataFrame, known: dict[str, int]) -> np.ndarray:
+    """Logarithm of the count of each bucket's words, those that are known by themselves left out."""
+    total = np.zeros(OTHERS)
+    for row in counts.groupBy("bucket").agg(F.sum("c").alias("c")).collect():  # OTHERS rows at most
+        total[row["bucket"]] = row["c"]
+    for row in counts.filter(F.col("word").isin(list(known))).select("bucket", "c").collect():  # KNOWN rows at most
+        total[row["bucket"]] -= row["c"]
+    return np.log(np.maximum(total, 1))
+
+
 class Network:
     """Parameters as one flat array: tables per offset, class layer, layers within the classes."""
 
@@ -143,10 +181,11 @@ class Network:
             self.tables[j][ids[first]] -= (rate / np.sqrt(n * counts))[:, None] * np.add.reduceat(d_h[order], first) / 4
 
 
-def _contexts(batch: pa.RecordBatch, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of all texts with edges between them, and the number of tokens of each text."""
+def _contexts(batch: pa.RecordBatch, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Tokens of all texts with edges between them, the number of tokens of each text, and the words in buckets in order."""
     ids: list[int] = []
     counts = []
+    others: list[str] = []
     edges = [_EDGE] * WINDOW
     get, crc = known.get, zlib.crc32
     for text in batch.column(1).to_pylist():
@@ -159,8 +198,9 @@ def _contexts(batch: pa.RecordBatch, known: dict[str, int]) -> tuple[np.ndarray,
             for i, w in enumerate(words):
                 if ids[at + i] < 0:
                     ids[at + i] = KNOWN + crc(w.encode()) % OTHERS
+                    others.append(w)
     ids += edges
-    return np.array(ids, np.int32), np.array(counts, np.int64)
+    return np.array(ids, np.int32), np.array(counts, np.int64), others
 
 
 def _around(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -173,7 +213,7 @@ def _trained(start: np.ndarray, known: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]):
         net, seen = Network(start.copy()), 0
         for batch in slices(batches, "text"):
-            tokens, _ = _contexts(batch, known)
+            tokens, _, _ = _contexts(batch, known)
             at = np.flatnonzero(tokens != _EDGE)
             at = at[np.random.default_rng(len(at)).permutation(len(at))]
             for low in range(0, len(at), BATCH):
@@ -220,35 +260,112 @@ def train(docs: DataFrame, known: dict[str, int], rounds: int = 1) -> Network:
     return net
 
 
+def _scores(net: Network, tokens: np.ndarray) -> np.ndarray:
+    """The log-probability of each token that is no edge."""
+    at = np.flatnonzero(tokens != _EDGE)
+    scores = np.empty(len(at))
+    for low in range(0, len(at), 4 * BATCH):
+        part = at[low : low + 4 * BATCH]
+        scores[low : low + len(part)] = net.log_prob(_around(tokens, part), tokens[part].astype(np.int64))
+    return scores
+
+
+def _totals(scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    sums = np.concatenate(([0.0], np.cumsum(scores)))
+    stops = np.cumsum(counts)
+    return sums[stops] - sums[stops - counts]
+
+
 def _scored(flat: np.ndarray, known: dict[str, int]):
+    """Texts scored by the network alone: a bucket counts as one token."""
+
     def run(batches: Iterator[pa.RecordBatch]):
         net = Network(flat)
         for batch in slices(batches, "text"):
-            tokens, counts = _contexts(batch, known)
-            at = np.flatnonzero(tokens != _EDGE)
-            scores = np.empty(len(at) + 1)
-            for low in range(0, len(at), 4 * BATCH):
-                part = at[low : low + 4 * BATCH]
-                scores[low : low + len(part)] = net.log_prob(_around(tokens, part), tokens[part].astype(np.int64))
-            sums = np.concatenate(([0.0], np.cumsum(scores[:-1])))
-            stops = np.cumsum(counts)
-            total = sums[stops] - sums[stops - counts]
+            tokens, counts, _ = _contexts(batch, known)
+            total = _totals(_scores(net, tokens), counts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(total)], names=["doc_id", "n_tokens", "log_prob"])
 
     return run
 
 
+_FOUND = "row long, doc_id long, n_tokens long, log_prob double, h long, at binary"
+
+
+def _asked(flat: np.ndarray, known: dict[str, int], bucket_logs: np.ndarray):
+    """A numbered row for each text, its words in buckets still without their counts; and one for each such word of a slice.
+
+    The latter has the hash, the number of the slice's first row and, for each occurrence, the row counted from there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        net, row = Network(flat), TaskContext.get().partitionId() << 33
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.binary()]
+        names = ["row", "doc_id", "n_tokens", "log_prob", "h", "at"]
+        for batch in slices(batches, "text"):
+            tokens, counts, others = _contexts(batch, known)
+            scores = _scores(net, tokens)
+            inner = tokens[tokens != _EDGE]
+            rare = np.flatnonzero(inner >= KNOWN)
+            scores[rare] -= bucket_logs[inner[rare] - KNOWN]
+            n = batch.num_rows
+            columns = [pa.array(row + np.arange(n)), batch.column(0), pa.array(counts), pa.array(_totals(scores, counts)), pa.nulls(n, kinds[4]), pa.nulls(n, kinds[5])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            if others:
+                h = _hashes(others)
+                order = np.argsort(h, kind="stable")
+                first = np.flatnonzero(np.concatenate(([True], np.diff(h[order]) != 0)))
+                places = np.repeat(np.arange(n, dtype=np.uint32), counts)[rare][order]
+                limits = (4 * np.append(first, len(order))).astype(np.int32)
+                m = len(first)
+                at = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(limits.tobytes()), pa.py_buffer(places.tobytes())])
+                columns = [pa.array(np.full(m, row)), *(pa.nulls(m, k) for k in kinds[1:4]), pa.array(h[order][first]), at]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+            row += n
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]):
+    """The logarithms of the words' counts added up for each row over (part of) a task."""
+    rows, logs, held = [], [], 0
+
+    def out():
+        ids, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate(logs))
+        rows.clear(), logs.clear()
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["row", "more"])
+
+    for batch in batches:
+        at = batch.column(1).to_pylist()
+        if not at:
+            continue
+        sizes = np.array([len(x) // 4 for x in at])
+        rows.append(np.repeat(batch.column(0).to_numpy(), sizes) + np.frombuffer(b"".join(at), np.uint32).astype(np.int64))
+        logs.append(np.repeat(np.log(batch.column(2).to_numpy()), sizes))
+        held += len(rows[-1])
+        if held > ADDED:
+            yield out()
+            held = 0
+    if held:
+        yield out()
+
+
 def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, log_prob, perplexity) of each row.
 
-    log_prob sums the conditional log-probabilities of all tokens of the whole text; perplexity is
+    log_prob sums the conditional log-probabilities of all words of the whole text; perplexity is
     exp(-log_prob / n_tokens), null for a text without tokens (null, empty or white space: 0 tokens, log_prob 0).
     Words are runs of non-space in lower case. Rows stand for themselves: null and repeated keys stay.
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    known = vocabulary(rows)
+    counts = word_counts(rows)
+    known = vocabulary(rows, counts=counts)
     net = train(rows, known)
-    found = rows.mapInArrow(_scored(net.flat, known), "doc_id long, n_tokens long, log_prob double")
+    asked = cut_lineage(rows.mapInArrow(_asked(net.flat, known, _bucket_logs(counts, known)), _FOUND))
+    words = asked.filter("h is not null").select("row", "at", "h").join(counts.select("h", "c").hint("shuffle_merge"), "h").select("row", "at", "c")
+    more = words.mapInArrow(_added, "row long, more double").groupBy("row").agg(F.sum("more").alias("more"))
+    found = asked.filter("h is null").join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
     return found.select(
         F.col("doc_id").alias(key), "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_prob") / F.col("n_tokens"))).alias("perplexity")
     )

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import random
+import zlib
+from collections import Counter
+
+import pytest
+
 from driftwell.llm import pseudo_likelihood
 
 
@@ -11,3 +18,29 @@ def test_every_token_is_a_target(spark):
     run = pseudo_likelihood._trained(pseudo_likelihood.Network().flat, pseudo_likelihood.vocabulary(df))
     copies = df.mapInArrow(run, "copy long, weight double, net binary").collect()
     assert sum(r["weight"] for r in copies) == sum(len(t.split()) for _, t, _ in texts) == 150
+
+
+def test_words_in_buckets_count_by_their_own_frequency(spark):
+    rng = random.Random(3)
+    words = [f"wort{i}ü" for i in range(3000)]
+    texts = [(i % 50 if i % 7 else None, " ".join(rng.choices(words, [1 / (k + 9) for k in range(3000)], k=rng.randrange(80)))) for i in range(200)]
+    df = spark.createDataFrame([*texts, (1, None), (1, "neu " * 3)], "doc_id long, text string").repartition(3)
+    known = pseudo_likelihood.vocabulary(df)
+    counts = Counter(w for r in df.collect() for w in (r["text"] or "").split())
+    buckets = Counter()
+    for w, c in counts.items():
+        if w not in known:
+            buckets[zlib.crc32(w.encode()) % pseudo_likelihood.OTHERS] += c
+    assert len(known) == pseudo_likelihood.KNOWN < len(counts)
+    net = pseudo_likelihood.train(df, known)
+    # the network's scores with the texts at hand
+    plain = df.selectExpr("xxhash64(doc_id, text) id", "text").mapInArrow(pseudo_likelihood._scored(net.flat, known), "id long, n long, s double").collect()
+    by_id = {r["id"]: r["s"] for r in plain}
+    want = []
+    for r in df.selectExpr("doc_id", "text", "xxhash64(doc_id, text) id").collect():
+        others = [w for w in (r["text"] or "").split() if w not in known]
+        share = sum(math.log(counts[w] / buckets[zlib.crc32(w.encode()) % pseudo_likelihood.OTHERS]) for w in others)
+        want.append((r["doc_id"] or -1, len((r["text"] or "").split()), by_id[r["id"]] + share))
+    got = [(r["doc_id"] or -1, r["n_tokens"], r["log_prob"]) for r in pseudo_likelihood.pseudo_likelihood(df).collect()]
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-3, abs=1e-3)
