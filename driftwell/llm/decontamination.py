@@ -3,6 +3,7 @@
 Numbers, names and units become typed placeholders; windows of canonical tokens of documents and benchmark items
 meet in a hash join; along each alignment the placeholders must translate consistently (one value of the item is one
 value of the document throughout), so an item with other numbers or names is found and a chance mixture is not.
+Windows that are nearly all placeholders, and items shorter than a window as a whole, meet by what was written.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ _DIGIT[48:58] = True
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?:\n"]] = True
 _NUMBER, _NAME, _UNIT = U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179), U(0x3C6EF372FE94F82B)
+_EXACT = U(0x510E527FADE682D1)
 
 
 def canonical(texts: pa.Array):
@@ -80,44 +82,59 @@ def _unit_hashes() -> np.ndarray:
     return word_hashes(data, starts, ends)
 
 
-def _windows(bits: np.ndarray | None, window: int, literals: int):
-    """Windows (all, or those that pass the filter): hash, id, place, values of the placeholders, tokens of the text."""
+def _windows(bits: np.ndarray | None, window: int, literals: int, short: list[int] | None = None):
+    """Windows (all, or those that pass the filter): hash, id, place, values of the placeholders, tokens of the text, exact.
+
+    Windows of fewer than ``literals`` tokens that are no placeholder are exact: the hash is of what was written. So
+    are texts shorter than a window, taken whole; ``short``: windows of these lengths instead, of every text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches, "text"):
             ids = batch.column(0).to_numpy()
             tokens, own, slot, doc, limits = canonical(batch.column(1))
-            n = len(tokens) - window + 1
-            if n <= 0:
+            if not len(tokens):
                 continue
             held = np.concatenate(([0], np.cumsum(~slot)))
-            keys = roll(tokens, window)
-            good = (doc[:n] == doc[window - 1 :]) & (held[window:] - held[:-window] >= literals)
-            if bits is not None:
-                at = (mix(keys) % U(FILTER_BITS)).astype(np.int64)
-                good &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            at = np.flatnonzero(good)
-            if not len(at):
-                continue
             begin = np.searchsorted(doc, np.arange(len(limits)))
             count = np.diff(begin)
             values = own.view(np.int64)
-            written = [values[i : i + window][slot[i : i + window]].tolist() for i in at]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys[at].view(np.int64)),
-                    pa.array(ids[doc[at]]),
-                    pa.array((at - begin[doc[at]]).astype(np.int32)),
-                    pa.array(written, pa.list_(pa.int64())),
-                    pa.array(count[doc[at]].astype(np.int32)),
-                ],
-                names=["w", "id", "at", "slots", "n"],
-            )
+            for size in (window, *(range(1, window) if short is None else short)):
+                n = len(tokens) - size + 1
+                if n <= 0:
+                    continue
+                good = doc[:n] == doc[size - 1 :]
+                exact = held[size:] - held[:-size] < literals
+                keys = mix(roll(own, size) ^ (_EXACT + U(size)))
+                if size == window:
+                    keys = np.where(exact, keys, roll(tokens, size))
+                else:
+                    exact[:] = True
+                    if short is None:
+                        good &= count[doc[:n]] == size
+                if bits is not None:
+                    at = (mix(keys) % U(FILTER_BITS)).astype(np.int64)
+                    good &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                at = np.flatnonzero(good)
+                if not len(at):
+                    continue
+                written = [values[i : i + size][slot[i : i + size]].tolist() for i in at]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys[at].view(np.int64)),
+                        pa.array(ids[doc[at]]),
+                        pa.array((at - begin[doc[at]]).astype(np.int32)),
+                        pa.array(written, pa.list_(pa.int64())),
+                        pa.array(count[doc[at]].astype(np.int32)),
+                        pa.array(exact[at]),
+                    ],
+                    names=["w", "id", "at", "slots", "n", "exact"],
+                )
 
     return run
 
 
-_ROWS = "w long, id long, at int, slots array<long>, n int"
+_ROWS = "w long, id long, at int, slots array<long>, n int, exact boolean"
 
 
 def leaks(
@@ -127,8 +144,9 @@ def leaks(
     """(doc_id, item_id, share, n_slots, n_changed): documents that hold at least ``share`` of an item's tokens.
 
     Covered tokens are those of windows shared along one alignment whose placeholders translate consistently;
-    where they do not, only windows without placeholders count. n_slots counts different placeholder values of
-    the item that were met, n_changed those written otherwise in the document. Items shorter than a window, rows
+    where they do not, only windows without placeholders and exact ones (see ``_windows``) count. n_slots counts
+    different placeholder values of the item that were met, n_changed those written otherwise in the document. Items
+    shorter than a window count where all their tokens stand in a row as written, but for capitals. Rows
     without key and null or empty texts on either side take no part; repeated rows of a key count as one text
     with all their windows.
     """
@@ -144,16 +162,17 @@ def leaks(
     for row in sought.select("w").mapInArrow(bit, "k long, b long").groupBy("k").agg(F.bit_or("b").alias("b")).toLocalIterator():
         bits[row["k"]] = row["b"]  # FILTER_BITS / 64 rows at most
     texts = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    met = texts.mapInArrow(_windows(bits.view(np.uint8), window, literals), _ROWS)
+    short = [r["n"] for r in sought.filter(F.col("n") < window).select("n").distinct().collect()]
+    met = texts.mapInArrow(_windows(bits.view(np.uint8), window, literals, short), _ROWS)
     hits = (
         met.select("w", F.col("id").alias("doc_id"), F.col("at").alias("d_at"), F.col("slots").alias("d_slots"))
-        .join(sought.select("w", F.col("id").alias("item_id"), F.col("at").alias("i_at"), F.col("slots").alias("i_slots"), "n"), "w")
+        .join(sought.select("w", F.col("id").alias("item_id"), F.col("at").alias("i_at"), F.col("slots").alias("i_slots"), "n", "exact"), "w")
         .withColumn("line", F.col("d_at") - F.col("i_at"))
     )
     lines = hits.groupBy("doc_id", "item_id", "line").agg(
         F.max("n").alias("n"),
         F.collect_set("i_at").alias("all_at"),
-        F.collect_set(F.when(F.size("i_slots") == 0, F.col("i_at"))).alias("bare_at"),
+        F.collect_set(F.when((F.size("i_slots") == 0) | F.col("exact"), F.col("i_at"))).alias("bare_at"),
         F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.col("i_slots").alias("i"), F.col("d_slots").alias("d"))))).alias("pairs"),
     )
     ok = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")
@@ -166,7 +185,7 @@ def leaks(
     both = lines.groupBy("doc_id", "item_id").agg(
         F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + window - 1)))))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, F.least(p + window, F.col("n")) - 1)))))
     return (
         both.select(
             "doc_id", "item_id", (covered / F.col("n")).alias("share"),
