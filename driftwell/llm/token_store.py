@@ -43,6 +43,8 @@ SHARD_BYTES = 32 << 20
 SEGMENT_KEYS, BITS, LEVELS = 4096, 2, 64
 #: Words sent to the tokenizer in one text; longer words go alone.
 TOGETHER, LONG_CHARS = 512, 256
+#: Short words whose ids a Python worker keeps from one slice to the next.
+KEPT_WORDS, KEPT_CHARS = 1 << 18, 32
 #: Ids read at once.
 READ_BYTES = 8 << 20
 SLOT = np.dtype([("mark", "<u8"), ("shard", "<i8"), ("last", "<i8"), ("doc", "<u8"), ("docs", "<u8"), ("at", "<u8"), ("ids", "<u8")])
@@ -89,6 +91,38 @@ def _word_ids(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), counts
 
 
+class _Kept:
+    """Ids of the first KEPT_WORDS different short words that this worker has met."""
+
+    def __init__(self):
+        self.words, self.ids = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.starts = self.counts = np.zeros(0, np.int64)
+
+    def of(self, path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start of each word's ids in them, their number) of different words."""
+        at = pc.index_in(words, self.words)
+        new = words.filter(pc.is_null(at))
+        ids, counts = _word_ids(path, new)
+        at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = len(self.words) + np.arange(len(new))
+        starts = np.append(self.starts, len(self.ids) + np.append(0, np.cumsum(counts))[:-1])
+        every, counts = np.append(self.ids, ids), np.append(self.counts, counts)
+        found = every, starts[at], counts[at]
+        short = np.flatnonzero(pc.utf8_length(new).to_numpy(zero_copy_only=False) <= KEPT_CHARS)[: KEPT_WORDS - len(self.words)]
+        if len(short):
+            kept = np.append(np.arange(len(self.words)), len(self.words) + short)
+            self.words = pa.concat_arrays([self.words, new.take(pa.array(short))])
+            self.counts, starts = counts[kept], starts[kept]
+            self.starts = np.append(0, np.cumsum(self.counts))[:-1]
+            self.ids = every[np.repeat(starts - self.starts, self.counts) + np.arange(self.counts.sum())]
+        return found
+
+
+@cache
+def _kept(path: str) -> _Kept:
+    return _Kept()
+
+
 def encode(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts (no nulls) end to end, each text closed by ``end_id``, and the number of ids of each.
 
@@ -97,9 +131,8 @@ def encode(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndar
     words = pc.ascii_split_whitespace(texts)
     per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     met = words.flatten().dictionary_encode()
-    known, known_counts = _word_ids(path, met.dictionary)
+    known, starts, known_counts = _kept(path).of(path, met.dictionary)
     which = met.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    starts = np.append(0, np.cumsum(known_counts))[:-1]
     # a closing id follows the words of each text: one more word with one id
     close = np.cumsum(per_text)
     which = np.insert(which, close, len(starts))
