@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.llm import bpe, decontamination, html, jaccard, language, licenses, pseudo_likelihood, substrings, token_store, topk, warc
+from driftwell.llm import bpe, decontamination, html, jaccard, language, licenses, pseudo_likelihood, substrings, token_store, topk, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": html.query,
     "op9_warc": warc.query,
     "op10_byte_bpe": bpe.query,
+    "op11_whitening": whitening.query,
     "op12_token_store": token_store.query,
 }
 SQL: dict[str, str] = {
