@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.llm import bpe, decontamination, html, jaccard, language, licenses, pseudo_likelihood, substrings, token_store, topk, warc, whitening
+from driftwell.llm import bpe, collocations, decontamination, html, jaccard, language, licenses, pseudo_likelihood, substrings, token_store, topk, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": bpe.query,
     "op11_whitening": whitening.query,
     "op12_token_store": token_store.query,
+    "op13_collocations": collocations.query,
 }
 SQL: dict[str, str] = {
     "op1_license_scan": licenses.SQL,
@@ -28,4 +29,5 @@ SQL: dict[str, str] = {
     "op5_substring_dedup": substrings.SQL,
     "op7_exact_topk": topk.SQL,
     "op9_warc": warc.SQL,
+    "op13_collocations": collocations.SQL,
 }
