@@ -43,8 +43,8 @@ def rows_of_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), key, "left_semi")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches of about SLICE_BYTES of ``column`` (null: empty), never less than a row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in record batches of about ``size`` bytes of ``column`` (null: empty), never less than a row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -54,7 +54,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
         lengths = pc.binary_length(full).to_pylist()
         first, held = 0, 0
         for i, n in enumerate(lengths):
-            if held and held + n > SLICE_BYTES:
+            if held and held + n > size:
                 yield batch.slice(first, i - first)
                 first, held = i, 0
             held += n + 16
