@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from driftwell.operators.ordered import exact_percentiles, running_totals
 
 HALF = 0.5
+#: Resamples whose weights share a row.
+SLOTS = 8
 TARGET_TPR = 0.8
 EXPORT_NAMES = {"alpha_at_80_tpr": "alpha@80%TPR", "tpr_at_alpha_05": "TPR@alpha=0.5"}
 
@@ -152,16 +154,30 @@ def auc_interval(
     scores: DataFrame, draws: DataFrame, *, row_id: str = "row_id", level: float = 0.95
 ) -> DataFrame:
     """(detector, auc_low, auc_high): percentile interval of AUC_ROC over bootstrap
-    resamples ``draws`` (run, row_id, w). Resamples with one kind only do not count."""
-    drawn = scores.join(draws, row_id)
-    keys = ["detector", "run"]
-    both = drawn.groupBy(*keys).agg(
-        F.max(F.col("alpha") > 0).alias("_p"), F.min(F.col("alpha") > 0).alias("_q")
+    resamples ``draws`` (run, row_id, w). Resamples with one kind only do not count.
+
+    One row holds the weights of up to ``SLOTS`` resamples, so scores are joined, added up
+    and sorted once per chunk of resamples; every running total is one number a slot.
+    """
+    chunk, slot = F.floor(F.col("run") / SLOTS), F.pmod(F.col("run"), F.lit(SLOTS))
+    weights = [F.sum(F.when(slot == i, F.col("w")).otherwise(0)).alias(f"w{i}") for i in range(SLOTS)]
+    drawn = scores.join(draws.groupBy(row_id, chunk.alias("chunk")).agg(*weights), row_id)
+    shifted = F.col("alpha") > 0
+    kinds = drawn.select(
+        "chunk",
+        "detector",
+        "score",
+        *[F.when(shifted, F.col(f"w{i}")).otherwise(0).alias(f"pos{i}") for i in range(SLOTS)],
+        *[F.when(shifted, 0).otherwise(F.col(f"w{i}")).alias(f"neg{i}") for i in range(SLOTS)],
     )
-    usable = both.filter(F.col("_p") & ~F.col("_q")).select(*keys)
-    aucs = auc_roc(drawn, keys, weight="w").join(usable, keys)
+    names = [f"{kind}{i}" for kind in ("pos", "neg") for i in range(SLOTS)]
+    totals = running_totals(kinds, ["chunk", "detector"], "score", names)
+    won = [F.sum(F.col(f"pos{i}").cast("double") * (F.col(f"neg{i}_before") + F.col(f"neg{i}") / F.lit(2.0))) for i in range(SLOTS)]
+    pairs = [F.max(f"pos{i}_all").cast("double") * F.max(f"neg{i}_all") for i in range(SLOTS)]
+    aucs = totals.groupBy("chunk", "detector").agg(F.array(*[F.when(p > 0, w / p) for w, p in zip(won, pairs, strict=True)]).alias("_a"))
+    each = aucs.select("detector", F.explode("_a").alias("AUC_ROC")).filter(F.col("AUC_ROC").isNotNull())
     tail = (1.0 - level) / 2.0
-    return exact_percentiles(aucs, ["detector"], "AUC_ROC", {"auc_low": tail, "auc_high": 1.0 - tail})
+    return exact_percentiles(each, ["detector"], "AUC_ROC", {"auc_low": tail, "auc_high": 1.0 - tail})
 
 
 def export_names(metrics: DataFrame) -> DataFrame:

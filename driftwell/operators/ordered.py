@@ -1,25 +1,36 @@
 """Running totals and exact percentiles over sorted values, without sorting a group in one task.
 
-Equal values are added up first. What is left is cut into value buckets on a
-logarithmic scale, which keeps the order; totals of earlier buckets are added to
-running totals inside each bucket. A group that holds most of the table is thus
-spread over thousands of small windows.
+Equal values are added up first. What is left is cut into value buckets at points that a
+quantile sketch of it gives; totals of earlier buckets are added to running totals inside
+each bucket. A bucket of a group holds about one part in ``BUCKETS`` of all rows at most,
+however its values lie, so a group that holds most of the table is spread over many small
+windows. The cuts decide only where the work is done, never a result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS_PER_DOUBLING = 1024
-SMALLEST_SCALE = 1e-6
+from driftwell.session import cut_lineage
 
+#: Buckets, and the sketch's accuracy: the rank of a cut is off by one row in so many.
+BUCKETS, ACCURACY = 1024, 8192
+INFINITY = float("inf")
 
-def value_bucket(value: Column) -> Column:
-    """Integer that never decreases when the value grows; NaN sorts last, as in Spark."""
-    size = F.log2(F.lit(1.0) + F.abs(value) / F.lit(SMALLEST_SCALE))
-    bucket = F.floor(F.signum(value) * F.least(size, F.lit(1e6)) * F.lit(BUCKETS_PER_DOUBLING)).cast("bigint")
-    return F.when(F.isnan(value.cast("double")), F.lit(2**62)).otherwise(bucket)
+
+def bucketed(values: DataFrame, value: str) -> DataFrame:
+    """``values`` with an integer ``_bucket`` that never decreases when the value grows; NaN sorts last, as in Spark.
+
+    ``values`` is read twice: once by the quantile sketch, whose cuts (at most ``BUCKETS`` - 1 numbers) are collected.
+    """
+    number = F.col(value).cast("double")
+    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    cuts = values.filter(~F.isnan(number)).agg(F.percentile_approx(number, shares, ACCURACY)).first()[0] or []
+    splits = sorted({c for c in cuts if abs(c) < INFINITY}) or [0.0]
+    place = Bucketizer(splits=[-INFINITY, *splits, INFINITY], inputCol="_number", outputCol="_bucket", handleInvalid="keep")
+    return place.transform(values.withColumn("_number", number)).drop("_number").withColumn("_bucket", F.col("_bucket").cast("int"))
 
 
 def running_totals(
@@ -29,7 +40,7 @@ def running_totals(
     ``s``, the total ``s_before`` over smaller values and the group's ``s_all``; with
     ``following`` also the next larger value of the group as ``following``."""
     summed = df.groupBy(*groups, value).agg(*[F.expr(f"sum({s}) AS {s}") for s in sums])
-    cut = summed.withColumn("_bucket", value_bucket(F.col(value)))
+    cut = bucketed(cut_lineage(summed), value)  # what leads to ``df`` runs once
     keys = [*groups, "_bucket"]
     # the window, the bucket sums and the join share one partitioning by bucket
     inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
