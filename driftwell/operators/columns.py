@@ -7,6 +7,8 @@ a third of the rows share is one row here.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from driftwell.operators.detectors import unit_weights, weight_columns, weight_k
 from driftwell.operators.ordered import running_totals
 from driftwell.operators.pairs import spread
 from driftwell.operators.views import numeric_columns
+from driftwell.session import cut_lineage
 
 FAMILIES = ("distance", "test")
 FEW_VALUES = 5
@@ -43,37 +46,45 @@ def _slots(n: int) -> list[str]:
     return [f"t{i}" for i in range(n)]
 
 
-def both_counts(
-    reference: DataFrame, pool: DataFrame, weights: DataFrame, columns: list[str], kind: str
-) -> tuple[DataFrame, DataFrame, int]:
-    """Counts of both sides by value: (chunk, column, value, r, t0, t1, ...), then the
-    resample keys of each (chunk, slot) and the number of slots.
+@dataclass(frozen=True)
+class Drawn:
+    """Pool rows with their weights: one row holds those of up to ``SLOTS`` resamples, so the
+    values are melted, shuffled and sorted once per chunk of resamples."""
 
-    One row holds the counts of up to ``SLOTS`` resamples, so the values are melted,
-    shuffled and sorted once per chunk of resamples and not once per resample.
-    """
+    rows: DataFrame  # (chunk, t0, t1, ..., pool columns)
+    grid: DataFrame  # (keys..., chunk, slot)
+    width: int
+    chunks: int
+
+
+def drawn_rows(pool: DataFrame, weights: DataFrame, columns: list[str]) -> Drawn:
+    """The join of weights and pool; where several statistics read it, cut its lineage."""
     grid, n = weight_columns(weights)
     width = min(n, SLOTS)
     place = [(F.col("col") / width).cast("int").alias("chunk"), F.pmod(F.col("col"), F.lit(width)).alias("slot")]
-    slots = _slots(width)
     wide = (
         weights.join(F.broadcast(grid), weight_keys(weights))
         .select("row_id", "w", *place)
         .groupBy("row_id", "chunk")
-        .agg(*[F.expr(f"sum(if(slot = {i}, w, 0)) AS {s}") for i, s in enumerate(slots)])
+        .agg(*[F.expr(f"sum(if(slot = {i}, w, 0)) AS {s}") for i, s in enumerate(_slots(width))])
     )
-    drawn = wide.join(pool.select("row_id", *columns), "row_id")
-    zero = F.lit(0).cast("bigint")
+    rows = wide.join(pool.select("row_id", *columns), "row_id").drop("row_id")
+    return Drawn(rows, grid.select(*weight_keys(weights), *place), width, (n - 1) // width + 1)
+
+
+def both_counts(reference: DataFrame, drawn: Drawn, columns: list[str], kind: str) -> DataFrame:
+    """Counts of both sides by value: (chunk, column, value, r, t0, t1, ...)."""
+    slots, zero = _slots(drawn.width), F.lit(0).cast("bigint")
     theirs = (
-        melted(drawn, columns, kind, keep=["chunk", *slots])
+        melted(drawn.rows, columns, kind, keep=["chunk", *slots])
         .groupBy("chunk", "column", "value")
         .agg(*[F.expr(f"sum({s}) AS {s}") for s in slots])
         .withColumn("r", zero)
     )
     ours = value_counts(reference, columns, kind).select(
-        spread(0, (n - 1) // width).alias("chunk"), "column", "value", *[zero.alias(s) for s in slots], F.col("n").alias("r")
+        spread(0, drawn.chunks - 1).alias("chunk"), "column", "value", *[zero.alias(s) for s in slots], F.col("n").alias("r")
     )
-    return ours.unionByName(theirs), grid.select(*weight_keys(weights), *place), width
+    return ours.unionByName(theirs)
 
 
 def _by_resample(found: DataFrame, grid: DataFrame, parts: list[str]) -> DataFrame:
@@ -90,15 +101,16 @@ def _defaults(pool: DataFrame, weights: DataFrame | None) -> DataFrame:
 
 
 def numeric_statistics(
-    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None
+    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None, *, drawn: Drawn | None = None
 ) -> DataFrame:
-    """(keys..., column, ks, ks_p, wasserstein) of numeric columns from one pass.
+    """(keys..., column, ks, ks_p, wasserstein) of numeric columns from one pass; ``drawn``
+    stands for ``pool`` and ``weights`` where the caller has joined them.
 
     ks is the largest gap of the two distribution functions, wasserstein the area
     between them over the reference's standard deviation.
     """
-    counts, grid, width = both_counts(reference, pool, _defaults(pool, weights), columns, "double")
-    slots = _slots(width)
+    drawn = drawn or drawn_rows(pool, _defaults(pool, weights), columns)
+    counts, grid, slots = both_counts(reference, drawn, columns, "double"), drawn.grid, _slots(drawn.width)
     steps = running_totals(counts, ["chunk", "column"], "value", ["r", *slots], following=True)
     step = "coalesce(following - value, 0.0D)"
 
@@ -128,7 +140,7 @@ def numeric_statistics(
 
 
 def categorical_statistics(
-    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None
+    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None, *, drawn: Drawn | None = None
 ) -> DataFrame:
     """(keys..., column, js, chi_square, df, z) of categorical columns from one pass.
 
@@ -136,8 +148,8 @@ def categorical_statistics(
     test counts with reference shares; z is the pooled two-proportion statistic of the
     first of two categories, null for more than two.
     """
-    counts, grid, width = both_counts(reference, pool, _defaults(pool, weights), columns, "string")
-    slots = _slots(width)
+    drawn = drawn or drawn_rows(pool, _defaults(pool, weights), columns)
+    counts, grid, slots = both_counts(reference, drawn, columns, "string"), drawn.grid, _slots(drawn.width)
     keys = ["chunk", "column"]
     sums = ["r", *slots]
     counts = counts.groupBy(*keys, "value").agg(*[F.expr(f"sum({c}) AS {c}") for c in sums])
@@ -266,18 +278,21 @@ def column_drift(
     keys = [*weight_keys(weights), "column"]
     small = family == "test"
     parts: list[DataFrame] = []
+    drawn = drawn_rows(pool, weights, columns)
+    if numeric and categorical:
+        drawn = replace(drawn, rows=cut_lineage(drawn.rows))  # both kinds read it
 
     def add(found: DataFrame, test, statistic, drifted) -> None:
         parts.append(found.select(*keys, test.alias("test"), statistic.alias("statistic"), drifted.alias("drifted")))
 
     if numeric:
-        found = numeric_statistics(reference, pool, numeric, weights)
+        found = numeric_statistics(reference, pool, numeric, weights, drawn=drawn)
         if small:
             add(found, F.lit("ks"), F.col("ks"), F.col("ks_p") < p_level)
         else:
             add(found, F.lit("wasserstein"), F.col("wasserstein"), F.col("wasserstein") >= distance_level)
     if categorical:
-        found = categorical_statistics(reference, pool, categorical, weights)
+        found = categorical_statistics(reference, pool, categorical, weights, drawn=drawn)
         if small:
             tested = found.withColumn("_chi_p", chi_square_p("chi_square", "df")).withColumn(
                 "_z_p", normal_two_sided_p(F.coalesce("z", F.lit(0.0)))

@@ -22,7 +22,8 @@ FLAGS = ["l_returnflag", "l_linestatus"]
 
 def sides(spark, sf):
     """(reference, pool, weights) of lineitem with the share of returned items raised."""
-    rows = split_by_fraction(line_items(spark, sf).select("row_id", *NUMBERS, *FLAGS), "row_id", 0.5, seed=SEED)
+    keyed = cut_lineage(line_items(spark, sf).select("row_id", *NUMBERS, *FLAGS))
+    rows = cut_lineage(split_by_fraction(keyed, "row_id", 0.5, seed=SEED))
     reference = rows.filter("is_reference").drop("is_reference")
     pool = rows.filter("NOT is_reference").drop("is_reference")
     weights = S.subgroup_shift_weights(pool, in_subgroup("l_returnflag", "R"), GRID, n_runs=RUNS, seed=SEED)

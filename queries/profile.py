@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from driftwell.operators import profile as P
 from driftwell.operators import report as R
+from driftwell.operators.columns import ks_by_column
+from driftwell.operators.ordered import exact_percentiles
 from queries import query
 from queries.common import as_output, table
 from queries.metrics import box_sql
@@ -134,3 +136,36 @@ def box_by_group(spark, sf):
 def subgroup_candidates(spark, sf):
     tests = {"returned": F.col("l_returnflag") == "R", "open": F.col("l_linestatus") == "O"}
     return as_output(P.share_percentage(table(spark, sf, "lineitem"), tests))
+
+
+# ---- epoch seconds: many distinct values in a narrow band far from zero
+
+
+def event_seconds(spark, sf):
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")
+    return table(spark, sf, "events").select(F.col("event_id").alias("row_id"), "event_type", seconds.alias("seconds"))
+
+
+SECONDS_SQL = "secs AS (SELECT event_type, floor(epoch(ts))::DOUBLE AS seconds FROM events)"
+
+
+@query(
+    "event_time_percentiles",
+    f"""WITH {SECONDS_SQL} SELECT event_type, round(quantile_cont(seconds, 0.05), 6) AS p05, round(quantile_cont(seconds, 0.5), 6) AS p50,
+    round(quantile_cont(seconds, 0.95), 6) AS p95 FROM secs GROUP BY 1""",
+)
+def event_time_percentiles(spark, sf):
+    return as_output(exact_percentiles(event_seconds(spark, sf), ["event_type"], "seconds", {"p05": 0.05, "p50": 0.5, "p95": 0.95}))
+
+
+@query(
+    "event_time_ks",
+    f"""WITH {SECONDS_SQL}, counts AS (SELECT seconds, count(*) FILTER (event_type = 'error') AS r,
+      count(*) FILTER (event_type <> 'error') AS t FROM secs GROUP BY 1)
+    SELECT 'seconds' AS "column", round(max(gap), 6) AS statistic FROM (
+      SELECT abs(sum(r) OVER w / sum(r) OVER () - sum(t) OVER w / sum(t) OVER ()) AS gap FROM counts WINDOW w AS (ORDER BY seconds))""",
+)
+def event_time_ks(spark, sf):
+    rows = event_seconds(spark, sf)
+    errors = F.col("event_type") == "error"
+    return as_output(ks_by_column(rows.filter(errors), rows.filter(~errors), ["seconds"]).select("column", "statistic"))
