@@ -1,8 +1,9 @@
 """License scan by diagonal voting, with DataFrame functions only.
 
 Rolling word k-gram hashes of every text meet the positions of the templates in a join; hits add up by diagonal
-(place in the text minus place in the template); diagonals that lie close together merge, so insertions and losses
-do not break a match; spans are verified word by word. Phrases (short templates) must stand whole on one diagonal.
+(place in the text minus place in the template); a diagonal merges with those up to GAP beyond it, so insertions and
+losses do not break a match, and a band's score is the share of the template's words that its spans, verified word by
+word, prove. Phrases (short templates) must stand whole on one diagonal.
 """
 
 from __future__ import annotations
@@ -83,11 +84,22 @@ def words_of(text: Column) -> Column:
     return F.filter(cut, lambda w: w != "")
 
 
-def grams(words: Column, k: int) -> Column:
-    """The k-gram hashes of a word array, in order; none for fewer than k words."""
-    last = F.size(words) - k
-    places = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(F.slice(words, i, F.lit(k)), F.lit(k)))
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def grams(hashes: Column, k: int) -> Column:
+    """The k-gram hashes of an array of word hashes (a column: it is read for every place), in order."""
+    last = F.size(hashes) - k
+    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)], F.lit(k)))
+
+
+def hits(k: int, known: list[int]) -> Column:
+    """(d_at, hash, gram) of the places of the word array ``w`` (hashes ``wh``) whose k-gram hash is among ``known``."""
+    places = F.transform(grams(F.col("wh"), k), lambda h, i: F.struct(i.alias("d_at"), h.alias("hash")))
+    found = F.filter(places, lambda g: g["hash"].isin(known))
+    return F.transform(found, lambda g: F.struct(g["d_at"].alias("d_at"), g["hash"].alias("hash"), F.slice(F.col("w"), g["d_at"] + 1, F.lit(k)).alias("gram")))
 
 
 def template_positions(spark: SparkSession, templates: list[tuple[str, str, bool]]) -> DataFrame:
@@ -98,11 +110,11 @@ def template_positions(spark: SparkSession, templates: list[tuple[str, str, bool
     rows = spark.createDataFrame(
         [(i, label, base, text) for i, (label, text, base) in enumerate(templates)], "template int, label string, base boolean, text string"
     )
-    words = rows.withColumn("w", words_of(F.col("text"))).withColumn("words", F.size("w"))
+    words = rows.withColumn("w", words_of(F.col("text"))).withColumn("wh", word_hashes(F.col("w"))).withColumn("words", F.size("w"))
     out = None
     for k, which in ((PHRASE_K, F.col("words") < _LONG_WORDS), (LONG_K, F.col("words") >= _LONG_WORDS)):
         part = words.filter(which & (F.col("words") >= k)).select(
-            "template", "label", "base", "words", F.col("w").alias("all_words"), F.posexplode(grams(F.col("w"), k)).alias("at", "hash")
+            "template", "label", "base", "words", F.col("w").alias("all_words"), F.posexplode(grams(F.col("wh"), k)).alias("at", "hash")
         )
         part = part.withColumn("gram", F.slice("all_words", F.col("at") + 1, F.lit(k))).drop("all_words").withColumn("k", F.lit(k))
         out = part if out is None else out.union(part)
@@ -114,60 +126,49 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", base: list[tu
 
     n_base counts all places of base phrases, first_word and last_word are the least and greatest start (words
     from 0; null without any). Labels are distinct, sorted and joined by commas ("" without any); those of long
-    templates need SHARE of the template's words in merged diagonals. score is the greatest part found of any
+    templates need SHARE of the template's words, each counted once, in a band of GAP + 1 diagonals. score is the greatest part found of any
     template that gives a label, 0 without. Null text is empty. Rows stand for themselves: null and repeated keys
     stay, each with its own result.
     """
     spark = docs.sparkSession
-    known = [(label, phrase, True) for label, phrase in base] + [(label, phrase, False) for label, phrase in templates]
-    table = template_positions(spark, known)
+    every = [(label, phrase, True) for label, phrase in base] + [(label, phrase, False) for label, phrase in templates]
+    table = template_positions(spark, every)
     rows = docs.select(F.col(f"`{key}`").alias("key"), words_of(F.col(f"`{text}`")).alias("w")).select(
         "key", "w", F.size("w").cast("long").alias("n_words"), F.monotonically_increasing_id().alias("row")
     )
-    both = F.concat(
-        F.transform(grams(F.col("w"), PHRASE_K), lambda h, i: F.struct(i.alias("d_at"), h.alias("hash"))),
-        F.transform(grams(F.col("w"), LONG_K), lambda h, i: F.struct(i.alias("d_at"), h.alias("hash"))),
-    )
-    hits = (
-        rows.select("row", "key", "n_words", "w", F.explode_outer(both).alias("g"))
-        .select("row", "key", "n_words", "w", "g.d_at", "g.hash")
-        .join(F.broadcast(table), "hash", "left")
-        # a row without words or hits passes once, with its first gram
-        .filter(F.col("template").isNotNull() | F.coalesce(F.col("d_at") == 0, F.lit(True)))
-        .withColumn("same", F.coalesce(F.slice("w", F.col("d_at") + 1, F.col("k")) == F.col("gram"), F.lit(False)))
-        .select(
-            "row", "key", "n_words",
-            *[F.when(F.col("same"), F.col(c)).alias(c) for c in ("template", "label", "base", "words", "k")],
-            F.when(F.col("same"), F.col("at")).alias("at"),
-            F.when(F.col("same"), F.col("d_at") - F.col("at")).alias("line"),
-        )
-    )
-    votes = cut_lineage(
-        hits.groupBy("row", "key", "n_words", "template", "label", "base", "words", "k", "line").agg(
-            F.count("at").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high")
-        )
+    # hashes that no template has (a list bounded by MAX_TEMPLATE_WORDS) make no row; a text is one row of its hits
+    known = {k: [] for k in (PHRASE_K, LONG_K)}
+    for r in table.select("k", "hash").distinct().collect():
+        known[r["k"]].append(r["hash"])
+    rows = rows.withColumn("wh", word_hashes(F.col("w")))
+    rows = cut_lineage(rows.select("row", "key", "n_words", F.concat(*[hits(k, v) for k, v in known.items() if v]).alias("hits")))
+    votes = (
+        rows.select("row", F.explode("hits").alias("g"))
+        .select("row", "g.*")
+        .join(F.broadcast(table.withColumnRenamed("gram", "own")), "hash")
+        .filter(F.col("gram") == F.col("own"))
+        .groupBy("row", "template", "label", "base", "words", "k", (F.col("d_at") - F.col("at")).alias("line"))
+        .agg(F.count("at").alias("votes"), F.collect_set("at").alias("at"))
     )
+    votes = cut_lineage(votes)
     phrases = (
         votes.filter((F.col("words") < _LONG_WORDS) & (F.col("votes") == F.col("words") - F.col("k") + 1))
         .groupBy("row", "label", "base")
         .agg(F.count("*").alias("places"), F.min("line").alias("first"), F.max("line").alias("last"))
         .withColumn("score", F.lit(1.0))
     )
-    by_line = Window.partitionBy("row", "template").orderBy("line")
-    long = votes.filter(F.col("words") >= _LONG_WORDS)
-    long = long.withColumn("new", F.coalesce((F.col("line") - F.lag("line").over(by_line) > GAP).cast("int"), F.lit(1)))
-    long = long.withColumn("band", F.sum("new").over(by_line))
-    # each vote proves its words; k-grams that follow one another share all but one of them
+    # a band is a diagonal and those up to GAP beyond it; a template's word counts once, however many places prove it
+    band = Window.partitionBy("row", "template").orderBy("line").rangeBetween(0, GAP)
+    long = votes.filter(F.col("words") >= _LONG_WORDS).withColumn("at", F.array_distinct(F.flatten(F.collect_list("at").over(band))))
+    proved = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + F.col("k") - 1))))
     long = (
-        long.groupBy("row", "template", "label", "words", "band")
-        .agg((F.sum(F.col("votes") + F.col("k") - 1) / F.first("words")).alias("part"))
+        long.withColumn("part", F.size(proved) / F.col("words"))
         .filter(F.col("part") >= SHARE)
         .groupBy("row", "label")
-        .agg(F.least(F.max("part"), F.lit(1.0)).alias("score"))
+        .agg(F.max("part").alias("score"))
         .select("row", "label", F.lit(False).alias("base"), F.lit(0).cast("long").alias("places"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), "score")
     )
     found = phrases.select("row", "label", "base", "places", "first", "last", "score").union(long)
-    each = votes.select("row", "key", "n_words").distinct()
     found = found.groupBy("row").agg(
         F.sum(F.when(F.col("base"), F.col("places"))).alias("n_base"),
         F.min(F.when(F.col("base"), F.col("first"))).alias("first_word"),
@@ -176,7 +177,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", base: list[tu
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("score").alias("score"),
     )
-    return each.join(found, "row", "left").select(
+    return rows.join(found, "row", "left").select(
         F.col("key").alias(key), "n_words",
         F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
         F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
