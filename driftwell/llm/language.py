@@ -2,7 +2,8 @@
 
 A text is the set of its byte n-grams of 1 to 4 (letters lower-case, all else of ASCII one space), hashed to a fixed
 number of flags; the kernel of two texts is the part of flags they share, normalised by both set sizes. A bounded
-sample of labelled texts gives landmarks and the ridge weights; the fit runs in one task on that sample. Scoring is a
+sample of labelled texts, drawn in the scan tasks and written, gives landmarks and the ridge weights; the fit runs in
+one task on that sample alone. Scoring is a
 product of the flag matrix of a batch with the landmarks' flags, then with the weights.
 """
 
@@ -14,14 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.llm.shared import slices
 from driftwell.llm.words import buffers
+from driftwell.session import cut_lineage
 
-#: Flags of a text, landmarks in all, sample rows of a language (about: the bound of the sample is twice this).
-FLAGS, LANDMARKS, SAMPLE = 1 << 13, 256, 400
+#: Flags of a text, landmarks in all, sample rows of a language at most, languages at most (more are an error).
+FLAGS, LANDMARKS, SAMPLE, LANGUAGES = 1 << 13, 256, 400, 1000
+#: Rows whose flags are unpacked at once.
+ROWS = 512
 RIDGE = 1e-3
 #: Rejection: bytes of the pieces cut from each learning text, texts laid together, least margins of a size that set a
 #: limit, and the part of the way from the lowest clean margin to the median margin of random flags that is left free.
@@ -38,9 +42,10 @@ _FOLD[65:91] = np.arange(97, 123)
 def flags(texts: pa.Array) -> np.ndarray:
     """The n-gram flags of each text of an array without nulls, packed to bits."""
     data, limits = buffers(texts)
-    out = np.zeros((len(limits) - 1, FLAGS), bool)
+    out = np.zeros((len(limits) - 1, FLAGS // 8), np.uint8)
+    row = np.empty(FLAGS, bool)
     for i, (low, high) in enumerate(zip(limits, limits[1:], strict=False)):
-        row = out[i]
+        row[:] = False
         for at in range(low, high, _STEP):
             b = _FOLD[data[at : min(high, at + _STEP + 3)]].astype(np.uint32)
             code = np.zeros(len(b), np.uint32)
@@ -49,7 +54,8 @@ def flags(texts: pa.Array) -> np.ndarray:
                     break
                 code = code[: len(b) - n + 1] * np.uint32(257) + b[n - 1 :] + np.uint32(n)
                 row[((code * np.uint32(2654435761)) >> np.uint32(32 - 13)).astype(np.int32)] = True
-    return np.packbits(out, axis=1)
+        out[i] = np.packbits(row)
+    return out
 
 
 def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,33 +63,46 @@ def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / np.sqrt(np.maximum(a.sum(1), 1)[:, None] * np.maximum(b.sum(1), 1)[None, :])
 
 
-def _unpacked(rows: list[bytes]) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
+def _chunks(bits: np.ndarray) -> Iterator[np.ndarray]:
+    """Packed flags as 0/1 in float32, ROWS rows at a time."""
+    for low in range(0, len(bits), ROWS):
+        yield np.unpackbits(bits[low : low + ROWS], axis=1).astype(np.float32)
 
 
-def _model(names: list[str], lang: np.ndarray, x: np.ndarray, landmarks: int, ridge: float, noise: np.ndarray | None = None) -> dict:
-    """Ridge weights of the labelled rows; ``noise``: rows that belong to no language."""
+def _products(bits: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Kernel of packed rows with the landmarks' flags."""
+    return np.vstack([_kernel(x, marks) for x in _chunks(bits)])
+
+
+def _model(names: list[str], lang: np.ndarray, bits: np.ndarray, landmarks: int, ridge: float, noise: np.ndarray | None = None) -> dict:
+    """Ridge weights of the labelled rows (packed flags); ``noise``: rows that belong to no language."""
     # landmarks in turn of the languages, evenly over each one's rows
     each = max(1, landmarks // len(names))
     marks = np.concatenate([np.flatnonzero(lang == c)[:: max(1, int((lang == c).sum()) // each)][:each] for c in range(len(names))])
-    m = x[marks]
+    m = np.unpackbits(bits[marks], axis=1).astype(np.float32)
     values, vectors = np.linalg.eigh(_kernel(m, m).astype(np.float64))
     good = values > 1e-6
     whiten = vectors[:, good] / np.sqrt(values[good])
     classes = len(names)
+    products = _products(bits, m)
     if noise is not None:
-        x, lang, classes = np.vstack([x, noise]), np.append(lang, np.full(len(noise), classes)), classes + 1
-    z = np.hstack([_kernel(x, m) @ whiten, np.ones((len(x), 1))])
+        products, lang, classes = np.vstack([products, _products(noise, m)]), np.append(lang, np.full(len(noise), classes)), classes + 1
+    z = np.hstack([products @ whiten, np.ones((len(products), 1))])
     target = np.where(lang[:, None] == np.arange(len(names)), 1.0, -1.0)
     weight = (len(lang) / (classes * np.maximum(np.bincount(lang, minlength=classes), 1)))[lang]  # rare languages count as much
     inner = (z * weight[:, None]).T @ z + ridge * len(z) * np.eye(z.shape[1])
     beta = np.linalg.solve(inner, (z * weight[:, None]).T @ target)
-    return {"names": names, "marks": np.packbits(m.astype(bool), axis=1), "map": whiten @ beta[:-1], "bias": beta[-1]}
+    return {"names": names, "marks": bits[marks], "map": whiten @ beta[:-1], "bias": beta[-1]}
 
 
 def _random(sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Random flags, about as many in each row as ``sizes`` says."""
-    return (rng.random((len(sizes), FLAGS), np.float32) < (sizes / FLAGS)[:, None]).astype(np.float32)
+    """Packed random flags, about as many in each row as ``sizes`` says."""
+    rows = [np.packbits(rng.random((len(part), FLAGS), np.float32) < (part / FLAGS)[:, None], axis=1) for part in (sizes[a : a + ROWS] for a in range(0, len(sizes), ROWS))]
+    return np.concatenate(rows) if rows else np.zeros((0, FLAGS // 8), np.uint8)
+
+
+def _sizes(bits: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits).sum(1).astype(np.int64)
 
 
 def _margins(model: dict, marks: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -114,20 +133,19 @@ def _limits(names: list[str], lang: np.ndarray, bits: np.ndarray, pieces: list[l
         own, other = np.flatnonzero(half == side), np.flatnonzero(half != side)
         if len(set(lang[own])) < len(names) or len(set(lang[other])) < len(names):
             return []
-        x = np.unpackbits(bits[other], axis=1).astype(np.float32)
-        model = _model(names, lang[other], x, landmarks, ridge, _random(x.sum(1), rng))
+        model = _model(names, lang[other], bits[other], landmarks, ridge, _random(_sizes(bits[other]), rng))
         marks = np.unpackbits(model["marks"], axis=1).astype(np.float32)
         rows = [bits[i] for i in own] + [np.frombuffer(b, np.uint8) for i in own for b in pieces[i]]
         for c in range(len(names)):
             mine = own[lang[own] == c]
             rows += [np.bitwise_or.reduce(bits[mine[k : k + n]], axis=0) for n in TOGETHER for k in range(0, len(mine) - n + 1, max(1, n // 4))]
-        for at in range(0, len(rows), 512):
-            x = np.unpackbits(np.stack(rows[at : at + 512]), axis=1).astype(np.float32)
+        for at in range(0, len(rows), ROWS):
+            x = np.unpackbits(np.stack(rows[at : at + ROWS]), axis=1).astype(np.float32)
             size, best = _size(x), _margins(model, marks, x).max(1)
             np.minimum.at(low[side], size, best)
             count += np.bincount(size, minlength=len(count))
         for k in range(len(chance)):
-            x = _random(np.full(64, min(1.4 * (1 << k), FLAGS)), rng)
+            x = np.unpackbits(_random(np.full(64, min(1.4 * (1 << k), FLAGS)), rng), axis=1).astype(np.float32)
             chance[k] += np.median(_margins(model, marks, x).max(1)) / 2
     limits = []
     for k, clean in enumerate(low.min(0)):
@@ -143,11 +161,11 @@ def _fitted(landmarks: int, ridge: float, reject: bool = False):
             return
         names = sorted({r[0] for r in rows})
         lang = np.array([names.index(r[0]) for r in rows])
-        x = _unpacked([r[1] for r in rows])
-        noise = _random(x.sum(1), np.random.default_rng(11)) if reject else None
-        model = _model(names, lang, x, landmarks, ridge, noise)
+        bits = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
+        noise = _random(_sizes(bits), np.random.default_rng(11)) if reject else None
+        model = _model(names, lang, bits, landmarks, ridge, noise)
         if reject:
-            model["limits"] = _limits(names, lang, np.packbits(x.astype(bool), axis=1), [r[2] for r in rows], landmarks, ridge)
+            model["limits"] = _limits(names, lang, bits, [r[2] for r in rows], landmarks, ridge)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     return fit
@@ -165,15 +183,21 @@ def fit_languages(
 ) -> dict | None:
     """A model from rows where ``usable`` holds and the language is known; None if there is none.
 
-    The sample is bounded: of each language about ``sample`` rows (twice that at most), picked by a hash of the
-    key; every language with a row is in it. Languages are bounded by the labels' own number. With ``reject`` random
+    The sample is bounded: of each language the ``sample`` rows with the smallest hash of key and text, equal rows
+    once; every language with a row is in it. More than LANGUAGES languages are an error. With ``reject`` random
     flags are learned as no language, and the model has the margins below which a text is none.
     """
-    rows = docs.filter(usable & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = rows.select("lang").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000)
-    share = counts.select("lang", (F.lit(float(sample)) / F.col("count")).alias("share"))
-    draw = F.pmod(F.xxhash64("k", F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.join(F.broadcast(share), "lang").filter((draw < F.col("share")) | (F.col("share") >= 0.5)).select("lang", "text")
+    rows = docs.filter(usable & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
+    counts = cut_lineage(rows.groupBy("lang").count())
+    if counts.count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    # tasks pass on about 4 samples of a language, of equal rows one each; the smallest hashes of these are the sample
+    some = F.broadcast(counts.select("lang", (F.lit(4.0 * sample) / F.col("count")).alias("share")))
+    rows = rows.withColumn("draw", F.xxhash64("k", "text", F.lit("language")))
+    passed = rows.join(some, "lang").filter(F.col("draw") < F.lit(2.0**64) * F.col("share") - F.lit(2.0**63))
+    smallest = Window.partitionBy("lang").orderBy("draw")
+    picked = passed.groupBy("lang", "draw").agg(F.min("text").alias("text")).withColumn("at", F.row_number().over(smallest))
+    picked = cut_lineage(picked.filter(F.col("at") <= sample).select("lang", "text"))
 
     def turned(batches):
         for batch in slices(batches, "text"):
@@ -184,7 +208,7 @@ def fit_languages(
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "bits", "pieces"][: len(columns)])
 
     kind = "lang string, bits binary" + ", pieces array<binary>" * reject
-    found = picked.mapInArrow(turned, kind).coalesce(1).mapInArrow(_fitted(landmarks, ridge, reject), "model binary").collect()
+    found = picked.mapInArrow(turned, kind).repartition(1).mapInArrow(_fitted(landmarks, ridge, reject), "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else None
 
 
