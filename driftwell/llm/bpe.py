@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.shared import slices
+from driftwell.llm.shared import give_back, slices
 
 #: Fixed value: the pattern whose pieces ``cut_places`` finds without the regex engine; others go through it.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -437,6 +437,8 @@ def _coded(path: str, pattern: str, ids_too: bool):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[1:], strict=True)]], names=names
             )
+        codec.pieces.clear()  # the worker may live on through other stages
+        give_back()
 
     return run
 

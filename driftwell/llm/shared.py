@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,8 +45,22 @@ def rows_of_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), key, "left_semi")
 
 
+@cache
+def _trim():
+    """The C library's call that gives free memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return memory that nothing holds any more: Python workers live on from task to task and from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of about ``size`` bytes of ``column`` (null: empty), never less than a row."""
+    give_back()  # what the task before has left
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -59,11 +75,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYT
                 first, held = i, 0
             held += n + 16
         yield batch.slice(first)
+    give_back()
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of whole runs of ``key`` from batches sorted by it; several small runs share a table."""
     held: list[pa.RecordBatch] = []
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -87,6 +105,8 @@ def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]
         held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held)
+        held = []
+    give_back()
 
 
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
