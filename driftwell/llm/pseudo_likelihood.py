@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.shared import partitions, slices
+from driftwell.llm.shared import groups_of, partitions, slices
 from driftwell.llm.words import word_hashes
 from driftwell.session import cut_lineage
 
 #: Frequent words, buckets of other words, classes of the output, tokens to each side, width of the hidden layer.
 KNOWN, OTHERS, CLASSES, WINDOW, HIDDEN = 768, 254, 32, 2, 24
-#: Positions per step; step size; words counted before they are sent on, and occurrences added up before theirs are.
-BATCH, RATE, COUNTED, ADDED = 4096, 0.3, 200_000, 2_000_000
+#: Positions per step; step size; words counted before they are sent on.
+BATCH, RATE, COUNTED = 4096, 0.3, 200_000
 #: Copies of the parameters that a task averages.
 FAN_IN = 16
 
@@ -122,91 +123,110 @@ class Network:
             at += n
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.tables[0][context[0]]
+        total = self.tables[0].take(context[0], 0, mode="clip")
         for j in range(1, len(context)):
-            total += self.tables[j][context[j]]
+            total += self.tables[j].take(context[j], 0, mode="clip")
         total += self.bias
         return np.tanh(total, out=total)
 
     @staticmethod
     def _softmax(x: np.ndarray) -> np.ndarray:
-        x -= x.max(1, keepdims=True)
+        """In place, over the first axis: a column is a position, so each reduction runs along whole rows."""
+        x -= x.max(0)
         np.exp(x, out=x)
-        x /= x.sum(1, keepdims=True)
+        x /= x.sum(0)
         return x
 
+    def _forward(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Probabilities (class x position, token of the position's class x position) and the runs (class, first, stop).
+
+        Positions come sorted by their class, so a class is one slice of every array and one softmax does for all.
+        """
+        limits = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+        runs = [(c, i, k) for c, (i, k) in enumerate(zip(limits, limits[1:], strict=False)) if i < k]
+        top = self.top.T @ h.T
+        top += self.top_bias[:, None]
+        low = np.empty((_PER_CLASS, len(h)), h.dtype)
+        for c, i, k in runs:
+            np.matmul(self.low[c].T, h[i:k].T, out=low[:, i:k])
+            low[:, i:k] += self.low_bias[c][:, None]
+        return self._softmax(top), self._softmax(low), runs
+
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h = self.hidden(context)
+        """Of positions sorted by their target."""
         group, inner = np.divmod(target, _PER_CLASS)
-        out = np.log(self._softmax(h @ self.top + self.top_bias)[np.arange(len(h)), group] + 1e-12)
-        order = np.argsort(group, kind="stable")
-        limits = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[limits[c] : limits[c + 1]]
-            if len(rows):
-                p = self._softmax(h[rows] @ self.low[c] + self.low_bias[c])
-                out[rows] += np.log(p[np.arange(len(rows)), inner[rows]] + 1e-12)
-        return out
+        top, low, _ = self._forward(self.hidden(context), group)
+        at = np.arange(len(target))
+        return np.log(top[group, at] + 1e-12) + np.log(low[inner, at] + 1e-12)
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One step of gradient descent on the mean loss of the positions."""
+        """One step of gradient descent on the mean loss of the positions, which come sorted by their target."""
         n = len(target)
         h = self.hidden(context)
         group, inner = np.divmod(target, _PER_CLASS)
-        d_top = self._softmax(h @ self.top + self.top_bias)
-        d_top[np.arange(n), group] -= 1
-        d_h = d_top @ self.top.T
-        order = np.argsort(group, kind="stable")
-        limits = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        d_top, d_low, runs = self._forward(h, group)
+        at = np.arange(n)
+        d_top[group, at] -= 1
+        d_low[inner, at] -= 1
+        d_h = d_top.T @ self.top.T
         scale = rate / n
-        for c in range(CLASSES):
-            rows = order[limits[c] : limits[c + 1]]
-            if not len(rows):
-                continue
-            d = self._softmax(h[rows] @ self.low[c] + self.low_bias[c])
-            d[np.arange(len(rows)), inner[rows]] -= 1
-            d_h[rows] += d @ self.low[c].T
-            self.low[c] -= scale * CLASSES * (h[rows].T @ d)
-            self.low_bias[c] -= scale * CLASSES * d.sum(0)
-        self.top -= scale * (h.T @ d_top)
-        self.top_bias -= scale * d_top.sum(0)
+        for c, i, k in runs:
+            d = d_low[:, i:k]
+            d_h[i:k] += d.T @ self.low[c].T
+            self.low[c] -= scale * CLASSES * (h[i:k].T @ d.T)
+            self.low_bias[c] -= scale * CLASSES * d.sum(1)
+        self.top -= scale * (h.T @ d_top.T)
+        self.top_bias -= scale * d_top.sum(1)
         d_h *= 1 - h * h
         self.bias -= scale * d_h.sum(0)
-        for j in range(len(context)):
-            order = np.argsort(context[j], kind="stable")
-            ids = context[j][order]
-            first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-            counts = np.diff(np.append(first, n))
-            # rare tokens move by the root of their share, so they learn too
-            self.tables[j][ids[first]] -= (rate / np.sqrt(n * counts))[:, None] * np.add.reduceat(d_h[order], first) / 4
+        # one sort for the tokens of all offsets; rare tokens move by the root of their share, so they learn too
+        width = len(context)
+        ids = (context + (VOCABULARY * np.arange(width, dtype=np.int16))[:, None]).ravel()
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        counts = np.diff(np.append(first, len(ids)))
+        sums = np.add.reduceat(d_h.take(order % n, 0), first)
+        sums *= (rate / 4 / np.sqrt(n * counts)).astype(np.float32)[:, None]
+        self.tables.reshape(width * VOCABULARY, HIDDEN)[ids[first]] -= sums
+
+
+class _Tokens(dict):
+    """Tokens of words: the known ones, and buckets of the others as they come."""
+
+    def __missing__(self, word: str) -> int:
+        token = self[word] = KNOWN + _bucket(word)
+        return token
 
 
 def _contexts(batch: pa.RecordBatch, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Tokens of all texts with edges between them, the number of tokens of each text, and the words in buckets in order."""
+    """Tokens of all texts with edges between them, the number of tokens of each text, and all words in order."""
     ids: list[int] = []
     counts = []
-    others: list[str] = []
+    every: list[str] = []
     edges = [_EDGE] * WINDOW
-    get, crc = known.get, zlib.crc32
+    token = _Tokens(known).__getitem__
     for text in batch.column(1).to_pylist():
         words = text.lower().split()
         counts.append(len(words))
         ids += edges
-        ids += [get(w, -1) for w in words]
-        if -1 in ids[-len(words) :] if words else False:
-            at = len(ids) - len(words)
-            for i, w in enumerate(words):
-                if ids[at + i] < 0:
-                    ids[at + i] = KNOWN + crc(w.encode()) % OTHERS
-                    others.append(w)
+        ids += map(token, words)
+        every += words
     ids += edges
-    return np.array(ids, np.int32), np.array(counts, np.int64), others
+    return np.array(ids, np.int16), np.array(counts, np.int64), every
 
 
 def _around(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([tokens[at + d] for d in (*range(-WINDOW, 0), *range(1, WINDOW + 1))])
 
 
+def _by_target(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the positions by their tokens (16 bits: a radix sort), and the tokens in it."""
+    target = tokens[at]
+    order = np.argsort(target, kind="stable")
+    return order, target[order]
+
+
 def _trained(start: np.ndarray, known: dict[str, int]):
     """A copy of the network trained on a task's rows: (copy, weight, parameters)."""
 
@@ -218,7 +238,8 @@ def _trained(start: np.ndarray, known: dict[str, int]):
             at = at[np.random.default_rng(len(at)).permutation(len(at))]
             for low in range(0, len(at), BATCH):
                 part = at[low : low + BATCH]
-                net.step(_around(tokens, part), tokens[part].astype(np.int64), RATE * min(1.0, len(part) / BATCH))
+                order, target = _by_target(tokens, part)
+                net.step(_around(tokens, part[order]), target, RATE * min(1.0, len(part) / BATCH))
                 seen += len(part)
         if seen:
             yield pa.RecordBatch.from_arrays(
@@ -266,7 +287,8 @@ def _scores(net: Network, tokens: np.ndarray) -> np.ndarray:
     scores = np.empty(len(at))
     for low in range(0, len(at), 4 * BATCH):
         part = at[low : low + 4 * BATCH]
-        scores[low : low + len(part)] = net.log_prob(_around(tokens, part), tokens[part].astype(np.int64))
+        order, target = _by_target(tokens, part)
+        scores[low + order] = net.log_prob(_around(tokens, part[order]), target)
     return scores
 
 
@@ -303,7 +325,7 @@ def _asked(flat: np.ndarray, known: dict[str, int], bucket_logs: np.ndarray):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.binary()]
         names = ["row", "doc_id", "n_tokens", "log_prob", "h", "at"]
         for batch in slices(batches, "text"):
-            tokens, counts, others = _contexts(batch, known)
+            tokens, counts, words = _contexts(batch, known)
             scores = _scores(net, tokens)
             inner = tokens[tokens != _EDGE]
             rare = np.flatnonzero(inner >= KNOWN)
@@ -311,8 +333,8 @@ def _asked(flat: np.ndarray, known: dict[str, int], bucket_logs: np.ndarray):
             n = batch.num_rows
             columns = [pa.array(row + np.arange(n)), batch.column(0), pa.array(counts), pa.array(_totals(scores, counts)), pa.nulls(n, kinds[4]), pa.nulls(n, kinds[5])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
-            if others:
-                h = _hashes(others)
+            if len(rare):
+                h = _hashes(list(compress(words, inner >= KNOWN)))
                 order = np.argsort(h, kind="stable")
                 first = np.flatnonzero(np.concatenate(([True], np.diff(h[order]) != 0)))
                 places = np.repeat(np.arange(n, dtype=np.uint32), counts)[rare][order]
@@ -327,28 +349,15 @@ def _asked(flat: np.ndarray, known: dict[str, int], bucket_logs: np.ndarray):
 
 
 def _added(batches: Iterator[pa.RecordBatch]):
-    """The logarithms of the words' counts added up for each row over (part of) a task."""
-    rows, logs, held = [], [], 0
-
-    def out():
-        ids, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(logs))
-        rows.clear(), logs.clear()
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["row", "more"])
-
-    for batch in batches:
-        at = batch.column(1).to_pylist()
-        if not at:
-            continue
-        sizes = np.array([len(x) // 4 for x in at])
-        rows.append(np.repeat(batch.column(0).to_numpy(), sizes) + np.frombuffer(b"".join(at), np.uint32).astype(np.int64))
-        logs.append(np.repeat(np.log(batch.column(2).to_numpy()), sizes))
-        held += len(rows[-1])
-        if held > ADDED:
-            yield out()
-            held = 0
-    if held:
-        yield out()
+    """The logarithms of the words' counts added up for each row, from batches sorted by slice: one row out per text."""
+    for table in groups_of(batches, "row"):
+        at = table.column("at").combine_chunks()
+        limits = np.frombuffer(at.buffers()[1], np.int32)[at.offset : at.offset + len(at) + 1]
+        places = np.frombuffer(at.buffers()[2], np.uint8)[limits[0] : limits[-1]].view(np.uint32).astype(np.int64)
+        sizes = np.diff(limits) // 4
+        ids, inverse = np.unique(np.repeat(table.column("row").to_numpy(), sizes) + places, return_inverse=True)
+        total = np.bincount(inverse, weights=np.repeat(np.log(table.column("c").to_numpy()), sizes))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["row", "more"])
 
 
 def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -364,7 +373,8 @@ def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text")
     net = train(rows, known)
     asked = cut_lineage(rows.mapInArrow(_asked(net.flat, known, _bucket_logs(counts, known)), _FOUND))
     words = asked.filter("h is not null").select("row", "at", "h").join(counts.select("h", "c").hint("shuffle_merge"), "h").select("row", "at", "c")
-    more = words.mapInArrow(_added, "row long, more double").groupBy("row").agg(F.sum("more").alias("more"))
+    # a slice's words meet again, so that a text's sum leaves one task as one row
+    more = words.repartition("row").sortWithinPartitions("row").mapInArrow(_added, "row long, more double")
     found = asked.filter("h is null").join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
     return found.select(
         F.col("doc_id").alias(key), "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_prob") / F.col("n_tokens"))).alias("perplexity")
