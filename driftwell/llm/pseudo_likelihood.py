@@ -179,16 +179,16 @@ class Network:
         self.top_bias -= scale * d_top.sum(1)
         d_h *= 1 - h * h
         self.bias -= scale * d_h.sum(0)
-        # one sort for the tokens of all offsets; rare tokens move by the root of their share, so they learn too
-        width = len(context)
-        ids = (context + (VOCABULARY * np.arange(width, dtype=np.int16))[:, None]).ravel()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        counts = np.diff(np.append(first, len(ids)))
-        sums = np.add.reduceat(d_h.take(order % n, 0), first)
-        sums *= (rate / 4 / np.sqrt(n * counts)).astype(np.float32)[:, None]
-        self.tables.reshape(width * VOCABULARY, HIDDEN)[ids[first]] -= sums
+        # sums by token, a hidden unit at a time; rare tokens move by the root of their share, so they learn too
+        size = len(context) * VOCABULARY
+        ids = (context + VOCABULARY * np.arange(len(context))[:, None]).ravel()
+        rates = rate / 4 / np.sqrt(n * np.maximum(np.bincount(ids, minlength=size), 1))
+        tables = self.tables.reshape(size, HIDDEN)
+        sums = np.empty((HIDDEN, size))
+        for k, moved in enumerate(np.tile(d_h.T.astype(np.float64), len(context))):
+            sums[k] = np.bincount(ids, moved, size)
+        sums *= rates
+        tables -= sums.T
 
 
 class _Tokens(dict):
