@@ -19,7 +19,12 @@ def _as_column(part: Column | str | int) -> Column:
 
 def hash_key(*parts: Column | str | int) -> Column:
     """md5 (hex) of the parts joined by colons."""
-    return F.md5(F.concat_ws(":", *[_as_column(p).cast("string") for p in parts]))
+    return F.md5(hash_text(*parts))
+
+
+def hash_text(*parts: Column | str | int) -> Column:
+    """The parts joined by colons, nulls left out."""
+    return F.concat_ws(":", *[_as_column(p).cast("string") for p in parts])
 
 
 def unit_draw(*parts: Column | str | int) -> Column:

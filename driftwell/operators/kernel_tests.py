@@ -4,26 +4,41 @@ least-squares density difference (Sugiyama et al., 2013).
 The score is 1 - p, p being the share of random relabellings of reference and test
 rows whose statistic reaches the observed one. A relabelling is just another integer
 weight vector over the same rows, so each block of kernel values is made once and
-multiplied with all weight vectors of a chunk of resamples.
+multiplied with all weight vectors of a chunk of resamples. Relabellings are never
+stored: a row's side follows from its hash and the relabelling's cut, a number that is
+found beforehand, so each task draws them for its own rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from driftwell.functions.distances import squared_distances
-from driftwell.functions.hashing import hash_key
-from driftwell.operators.detectors import unit_weights, weight_columns, weight_keys
+from driftwell.functions.hashing import hash_key, hash_text
+from driftwell.operators.detectors import packed_weights, unit_weights, weight_columns, weight_keys
 from driftwell.operators.numbering import sample_rows
-from driftwell.operators.pairs import Block, PairPlan, empty_table, hash_block, own_columns, spread
+from driftwell.operators.pairs import (
+    Block,
+    as_array,
+    block_pairs,
+    diagonal,
+    empty_table,
+    n_blocks,
+    pieces,
+    self_pairs,
+    spread,
+    triangle,
+    triangle_groups,
+)
 from driftwell.session import cut_lineage
 
 KERNEL_BLOCK_ROWS = 1024
@@ -47,26 +62,25 @@ def median_squared_distance(reference: DataFrame) -> float:
     n = rows.count()
     if n < 2:
         raise ValueError("a bandwidth needs two reference rows")
-    plan = PairPlan(rows, rows)
     # every unordered pair counts twice and n zero self-distances come first
     pairs = n * (n - 1)
     ranks = [n + pairs // 2 - 1, n + pairs // 2]
 
-    def largest(x: Block, y: Block) -> pa.Table:
+    def largest(x: Block, y: Block, times: int) -> pa.Table:
         return pa.table({"top": [float(squared_distances(x.x, y.x).max())]})
 
-    low, high = 0.0, plan.run(largest, "top double").agg(F.max("top")).first()[0]
+    low, high = 0.0, self_pairs(rows, n, largest, "top double").agg(F.max("top")).first()[0]
     below, inside = 0, n * n
     while inside > FEW_PAIRS and high > low:
         edges = np.linspace(low, high, HISTOGRAM_BINS + 1)
 
-        def count(x: Block, y: Block, edges: np.ndarray = edges) -> pa.Table:
+        def count(x: Block, y: Block, times: int, edges: np.ndarray = edges) -> pa.Table:
             counts, _ = np.histogram(squared_distances(x.x, y.x), edges)
             kept = np.nonzero(counts)[0]
-            return pa.table({"bin": kept.astype(np.int32), "n": counts[kept].astype(np.int64)})
+            return pa.table({"bin": kept.astype(np.int32), "n": times * counts[kept].astype(np.int64)})
 
         counts = np.zeros(HISTOGRAM_BINS, dtype=np.int64)
-        for r in plan.run(count, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        for r in self_pairs(rows, n, count, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect():
             counts[r["bin"]] = r["n"]
         upto = below + np.cumsum(counts)
         first, last = (int(np.searchsorted(upto, r, side="right")) for r in ranks)
@@ -79,12 +93,12 @@ def median_squared_distance(reference: DataFrame) -> float:
         if np.nextafter(low, high) >= high:
             break
 
-    def tally(x: Block, y: Block) -> pa.Table:
+    def tally(x: Block, y: Block, times: int) -> pa.Table:
         d2 = squared_distances(x.x, y.x).ravel()
         values, n_equal = np.unique(d2[(d2 >= low) & (d2 <= high)], return_counts=True)
-        return pa.table({"d2": values, "n": n_equal.astype(np.int64)})
+        return pa.table({"d2": values, "n": times * n_equal.astype(np.int64)})
 
-    left = plan.run(tally, "d2 double, n bigint").groupBy("d2").agg(F.sum("n").alias("n")).orderBy("d2").collect()
+    left = self_pairs(rows, n, tally, "d2 double, n bigint").groupBy("d2").agg(F.sum("n").alias("n")).orderBy("d2").collect()
     upto = below + np.cumsum([r["n"] for r in left])
     return float(np.mean([left[int(np.searchsorted(upto, r, side="right"))]["d2"] for r in ranks]))
 
@@ -92,24 +106,17 @@ def median_squared_distance(reference: DataFrame) -> float:
 # ---- weight vectors
 
 
-def _tagged(reference: DataFrame, pool: DataFrame) -> DataFrame:
-    """Both sides in one table; the same row may stand on both."""
-    sides = [
+def _tagged(reference: DataFrame, pool: DataFrame) -> list[DataFrame]:
+    """Both sides under keys of their own; the same row may stand on both."""
+    return [
         df.select(F.concat_ws(":", F.lit(side), F.col("row_id").cast("string")).alias("row_id"), "v")
         for side, df in (("r", reference), ("t", pool))
     ]
-    return sides[0].unionByName(sides[1])
 
 
-def relabelled_counts(
-    reference: DataFrame, pool: DataFrame, weights: DataFrame, n_permutations: int, *, seed: int = 42
-) -> DataFrame:
-    """(keys..., perm, row_id, n): how many copies of a row each relabelling puts on the
-    reference side. The copies with the m smallest hashes are taken, m being the
-    reference size; a histogram of leading hash digits finds the one bucket in which
-    the cut lies, and only that bucket is ranked."""
+def _relabelled_items(reference: DataFrame, weights: DataFrame, n_permutations: int, seed: int) -> DataFrame:
+    """(keys..., perm, row_id, copy, _h): every copy of a row under every relabelling, with its hash."""
     keys = weight_keys(weights)
-    m = reference.count()
     grid, n_keys = weight_columns(weights)  # one row per resample of the run grid
     ref_items = (
         reference.select(
@@ -124,36 +131,117 @@ def relabelled_counts(
         F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))).alias("copy"),
     )
     items = ref_items.withColumn("copy", F.lit(1)).unionByName(pool_items)
-    drawn_by = [F.col(k) for k in keys if k != "alpha"]
-    hashed = (
-        items.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
-        .withColumn("_h", hash_key("perm", seed, *drawn_by, F.col("perm"), F.col("row_id"), F.col("copy")))
-        .withColumn("_b", F.substring("_h", 1, LABEL_DIGITS))
+    return items.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1)))).withColumn(
+        "_h", hash_key(*_draw_parts(keys, seed), F.col("perm"), F.col("row_id"), F.col("copy"))
     )
+
+
+def _draw_parts(keys: list[str], seed: int) -> list[Column | str | int]:
+    """Leading parts of a relabelling's hash key; the same for all intensities."""
+    return ["perm", seed, *[F.col(k) for k in keys if k != "alpha"]]
+
+
+def relabelling_cuts(reference: DataFrame, weights: DataFrame, n_permutations: int, *, seed: int = 42) -> DataFrame:
+    """(keys..., perm, cut): the m-th smallest hash of each relabelling, m being the reference
+    size; copies up to it stand on the reference side. A histogram of leading hash digits finds
+    the one bucket in which the cut lies, and only that bucket is ranked. The result has a
+    row for each resample and relabelling, whatever the number of rows."""
+    keys = weight_keys(weights)
+    m = reference.count()
     group = [*keys, "perm"]
+    hashed = _relabelled_items(reference, weights, n_permutations, seed).select(
+        *group, "_h", F.substring("_h", 1, LABEL_DIGITS).alias("_b")
+    )
     upto = F.sum("_n").over(Window.partitionBy(*group).orderBy("_b"))
-    cut = (
+    cut = cut_lineage(
         hashed.groupBy(*group, "_b")
         .agg(F.count("*").alias("_n"))
         .withColumn("_upto", upto)
         .filter((F.col("_upto") >= m) & (F.col("_upto") - F.col("_n") < m))
-        .select(*group, F.col("_b").alias("_cut"), (F.lit(m) - F.col("_upto") + F.col("_n")).alias("_take"))
+        .select(*group, "_b", (F.lit(m) - F.col("_upto") + F.col("_n")).alias("_take"))
     )
-    placed = hashed.join(cut, group).filter(F.col("_b") <= F.col("_cut"))
-    sure = placed.filter(F.col("_b") < F.col("_cut")).select(*group, "row_id")
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("_h", "row_id", "copy"))
-    rest = (
-        placed.filter(F.col("_b") == F.col("_cut"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("_h"))
+    return (
+        hashed.join(F.broadcast(cut), [*group, "_b"])
         .withColumn("_rank", rank)
-        .filter(F.col("_rank") <= F.col("_take"))
-        .select(*group, "row_id")
+        .filter(F.col("_rank") == F.col("_take"))
+        .select(*group, F.col("_h").alias("cut"))
     )
-    return sure.unionByName(rest).groupBy(*group, "row_id").agg(F.count("*").alias("n"))
+
+
+def relabelled_counts(
+    reference: DataFrame, pool: DataFrame, weights: DataFrame, n_permutations: int, *, seed: int = 42
+) -> DataFrame:
+    """(keys..., perm, row_id, n): how many copies of a row each relabelling puts on the
+    reference side. The detectors do not need this table: their tasks hash their own rows."""
+    group = [*weight_keys(weights), "perm"]
+    cuts = relabelling_cuts(reference, weights, n_permutations, seed=seed)
+    items = _relabelled_items(reference, weights, n_permutations, seed)
+    return items.join(F.broadcast(cuts), group).filter("_h <= cut").groupBy(*group, "row_id").agg(F.count("*").alias("n"))
+
+
+@dataclass
+class _Draws:
+    """Heads of the hash keys, one a resample, and the cuts (resample x relabelling x two halves of 128 bits)."""
+
+    heads: list[str]
+    cuts: np.ndarray
+
+    def add(self, ids: list[str], copies: np.ndarray, first: int, moved: np.ndarray) -> None:
+        """Add to ``moved`` (row x resample x relabelling) the copies of each row that stand on the
+        reference side; ``copies`` is row x resample. Resamples with one head share their hashes."""
+        shared: dict[str, list[int]] = {}
+        for at in range(copies.shape[1]):
+            shared.setdefault(self.heads[first + at], []).append(at)
+        for head, members in shared.items():
+            most = copies[:, members].max(axis=1, initial=0)
+            for copy in range(1, int(most.max(initial=0)) + 1):
+                rows = np.flatnonzero(most >= copy)
+                tails = [f":{ids[i]}:{copy}".encode() for i in rows]
+                for perm in range(moved.shape[2]):
+                    start = f"{head}:{perm}".encode()
+                    hashes = np.frombuffer(b"".join([md5(start + t).digest() for t in tails]), ">u8").reshape(-1, 2)
+                    for at in members:
+                        high, low = self.cuts[first + at, perm]
+                        under = (hashes[:, 0] < high) | ((hashes[:, 0] == high) & (hashes[:, 1] <= low))
+                        moved[rows, at, perm] += under & (copies[rows, at] >= copy)
+
+
+@dataclass
+class _Vectors:
+    """Makes the weight vectors of a block of rows, in a task."""
+
+    per_chunk: int
+    n_keys: int
+    n_permutations: int
+    draws: _Draws | None
+
+    def of(self, table: pa.Table, chunk: int) -> np.ndarray:
+        """rows x columns of one chunk; small whole numbers."""
+        first = chunk * self.per_chunk
+        n = min(self.per_chunk, self.n_keys - first)
+        ids = table.column("row_id").to_pylist()
+        out = np.zeros((len(ids), 1 + self.per_chunk * (1 + self.n_permutations)), np.float32)
+        cols, ws = as_array(table.column("cols")), as_array(table.column("ws"))
+        at = np.asarray(cols.flatten(), dtype=np.int64) - first
+        rows = np.repeat(np.arange(len(ids)), np.asarray(cols.value_lengths(), dtype=np.int64))
+        here = (at >= 0) & (at < n)
+        out[rows[here], 1 + at[here]] = np.asarray(ws.flatten())[here]
+        out[:, 0] = [i.startswith("r:") for i in ids]
+        if self.draws is not None:
+            copies = (out[:, 1 : 1 + n] + out[:, :1]).astype(np.int64)
+            moved = out[:, 1 + self.per_chunk :].reshape(len(ids), self.per_chunk, self.n_permutations)
+            added = np.zeros(moved.shape, np.float32)
+            self.draws.add(ids, copies, first, added)
+            moved += added
+            out[:, 1 + self.per_chunk :] = moved.reshape(len(ids), -1)
+        return out
 
 
 class _Columns:
     """Layout of the weight vectors: per chunk the reference, then the resamples, then
-    their relabellings."""
+    their relabellings. Rows carry their resamples only; ``vectors`` makes the matrix of a
+    block in the task and draws the relabellings there, from the cuts."""
 
     def __init__(self, weights: DataFrame, n_permutations: int):
         self.keys = weight_keys(weights)
@@ -163,40 +251,28 @@ class _Columns:
         self.n_chunks = -(-self.n_keys // self.per_chunk)
         self.width = 1 + self.per_chunk * (1 + n_permutations)
 
-    def packed(self, reference: DataFrame, weights: DataFrame, relabelled: DataFrame | None) -> DataFrame:
-        """(row_id, chunk, cols, ws) over the tagged rows of both sides."""
-        chunk = F.floor(F.col("col") / self.per_chunk).cast("int").alias("chunk")
-        local = F.pmod(F.col("col"), F.lit(self.per_chunk))
-        columns = F.broadcast(self.table)
-        entries = [
-            reference.select(
-                F.concat_ws(":", F.lit("r"), F.col("row_id").cast("string")).alias("row_id"),
-                spread(0, self.n_chunks - 1).alias("chunk"),
-                F.lit(0).alias("at"),
-                F.lit(1.0).alias("w"),
-            ),
-            weights.join(columns, self.keys).select(
-                F.concat_ws(":", F.lit("t"), F.col("row_id").cast("string")).alias("row_id"),
-                chunk,
-                (local + 1).cast("int").alias("at"),
-                F.col("w").cast("double").alias("w"),
-            ),
-        ]
-        if relabelled is not None:
-            at = 1 + self.per_chunk + local * self.n_permutations + F.col("perm")
-            entries.append(
-                relabelled.join(columns, self.keys).select(
-                    "row_id", chunk, at.cast("int").alias("at"), F.col("n").cast("double").alias("w")
-                )
-            )
-        every = entries[0]
-        for e in entries[1:]:
-            every = every.unionByName(e)
-        return (
-            every.groupBy("row_id", "chunk")
-            .agg(F.collect_list(F.struct("at", "w")).alias("e"))
-            .select("row_id", "chunk", F.col("e.at").alias("cols"), F.col("e.w").alias("ws"))
+    def rows(self, reference: DataFrame, pool: DataFrame, weights: DataFrame) -> DataFrame:
+        """(row_id, v, cols, ws): tagged rows of both sides with the resamples they occur in."""
+        tagged = packed_weights(weights, self.table).withColumn(
+            "row_id", F.concat_ws(":", F.lit("t"), F.col("row_id").cast("string"))
         )
+        nothing = [F.array().cast(f"array<{kind}>").alias(c) for c, kind in (("cols", "int"), ("ws", "double"))]
+        ref, own = _tagged(reference, pool)
+        return ref.select("row_id", "v", *nothing).unionByName(own.join(tagged, "row_id").select("row_id", "v", "cols", "ws"))
+
+    def draws(self, reference: DataFrame, weights: DataFrame, seed: int) -> _Draws | None:
+        """What the tasks need to relabel rows: a hash per resample and relabelling."""
+        if not self.n_permutations:
+            return None
+        heads = self.table.select("col", hash_text(*_draw_parts(self.keys, seed)).alias("head")).collect()
+        cuts = relabelling_cuts(reference, weights, self.n_permutations, seed=seed).join(F.broadcast(self.table), self.keys)
+        limits = np.zeros((self.n_keys, self.n_permutations, 2), np.uint64)
+        for r in cuts.select("col", "perm", "cut").collect():
+            limits[r["col"], r["perm"]] = int(r["cut"][:16], 16), int(r["cut"][16:], 16)
+        return _Draws([r["head"] for r in sorted(heads)], limits)
+
+    def vectors(self, draws: _Draws | None) -> _Vectors:
+        return _Vectors(self.per_chunk, self.n_keys, self.n_permutations, draws)
 
     def col(self) -> Column:
         """Resample number of a (chunk, at) row."""
@@ -219,41 +295,39 @@ def _totals(w: np.ndarray, per_chunk: int, n_permutations: int) -> np.ndarray:
     return np.concatenate([ref, np.repeat(ref, per_chunk, axis=1), moved], axis=1)
 
 
-def _kernel_forms(
-    rows: DataFrame, packed: DataFrame, layout: _Columns, gamma: float, block_rows: int
-) -> DataFrame:
+def _kernel_forms(rows: DataFrame, layout: _Columns, draws: _Draws | None, gamma: float, block_rows: int) -> DataFrame:
     """(chunk, at, quad, cross): w'Kw and w'Kt for every weight vector, from the blocks on
-    and above the diagonal."""
-    n_blocks = max(1, -(-rows.count() // block_rows))
-    blocks = cut_lineage(hash_block(rows.join(packed, "row_id"), "_b", n_blocks))
-    left = blocks.withColumn("_i", F.col("_b")).withColumn("_j", spread(F.col("_b"), n_blocks - 1)).drop("_b")
-    right = own_columns(blocks).withColumn("_j", F.col("_b")).withColumn("_i", spread(0, F.col("_b"))).drop("_b")
-    width, per_chunk, n_permutations = layout.width, layout.per_chunk, layout.n_permutations
+    and above the diagonal. A task walks the blocks of two groups, chunk by chunk; where
+    groups are few, chunks are dealt to several tasks ("lanes")."""
+    rows = cut_lineage(rows)
+    busy = rows.sparkSession.sparkContext.defaultParallelism
+    groups = triangle_groups(n_blocks(rows.count(), block_rows), busy)
+    lanes = min(layout.n_chunks, max(1, -(-2 * busy // (groups * (groups + 1)))))
+    left, right = (side.withColumn("_lane", spread(0, lanes - 1)) for side in triangle(rows, groups))
+    width, per_chunk, n_permutations, n_chunks = layout.width, layout.per_chunk, layout.n_permutations, layout.n_chunks
+    vectors = rows.sparkSession.sparkContext.broadcast(layout.vectors(draws))
     schema = "chunk int, at int, quad double, cross double"
     empty = empty_table(schema)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
+        if not a.num_rows or not (b.num_rows or diagonal(a)):
             return empty
-        x, y = Block.of(a), Block.of(b)
-        k = np.exp(-gamma * squared_distances(x.x, y.x))
-        wx, wy = x.dense_weights(width), y.dense_weights(width)
-        kw = k @ wy
-        quad = np.einsum("ij,ij->j", wx, kw)
-        cross = np.einsum("ij,ij->j", _totals(wx, per_chunk, n_permutations), kw)
-        if a.column("_i")[0].as_py() != a.column("_j")[0].as_py():
-            quad = 2.0 * quad
-            cross = cross + np.einsum("ij,ij->j", wx, k @ _totals(wy, per_chunk, n_permutations))
-        return pa.table(
-            {
-                "chunk": np.full(width, a.column("chunk")[0].as_py(), dtype=np.int32),
-                "at": np.arange(width, dtype=np.int32),
-                "quad": quad,
-                "cross": cross,
-            }
-        )
-
-    key = ["chunk", "_i", "_j"]
+        lane, out = a.column("_lane")[0].as_py(), []
+        for chunk in range(lane, n_chunks, lanes):
+            sides = [[(Block.of(t), vectors.value.of(t, chunk)) for t in pieces(side, block_rows)] for side in (a, b)]
+            quad, cross = np.zeros(width), np.zeros(width)
+            for (x, wx), (y, wy), times in block_pairs(*sides):
+                k = np.exp(-gamma * squared_distances(x.x, y.x))
+                wx, wy = wx.astype(np.float64), wy.astype(np.float64)
+                kw = k @ wy
+                quad += times * np.einsum("ij,ij->j", wx, kw)
+                cross += np.einsum("ij,ij->j", _totals(wx, per_chunk, n_permutations), kw)
+                if times == 2:
+                    cross += np.einsum("ij,ij->j", wx, k @ _totals(wy, per_chunk, n_permutations))
+            out.append(pa.table({"chunk": np.full(width, chunk, np.int32), "at": np.arange(width, dtype=np.int32), "quad": quad, "cross": cross}))
+        return pa.concat_tables(out) if out else empty
+
+    key = ["_lane", "_i", "_j"]
     forms = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema)
     # one row per weight vector, read several times below
     return cut_lineage(forms.groupBy("chunk", "at").agg(F.sum("quad").alias("quad"), F.sum("cross").alias("cross")))
@@ -274,12 +348,9 @@ def mmd_statistics(
     weights = unit_weights(pool) if weights is None else weights
     median_d2 = median_squared_distance(reference) if median_d2 is None else median_d2
     layout = _Columns(weights, n_permutations)
-    relabelled = (
-        relabelled_counts(reference, pool, weights, n_permutations, seed=seed) if n_permutations else None
-    )
-    packed = layout.packed(reference, weights, relabelled)
+    draws = layout.draws(reference, weights, seed)
     gamma = 1.0 / median_d2 if median_d2 > 0 else 0.0
-    forms = _kernel_forms(_tagged(reference, pool), packed, layout, gamma, block_rows)
+    forms = _kernel_forms(layout.rows(reference, pool, weights), layout, draws, gamma, block_rows)
     k = layout.per_chunk
     own = forms.filter(F.col("at") == 0).select("chunk", F.col("quad").alias("rr"))
     sizes = weights.groupBy(*layout.keys).agg(F.sum("w").cast("double").alias("n"))
@@ -366,22 +437,18 @@ def lsdd_statistics(
     sigma2 = max(median_d2 / 2.0, np.finfo(float).tiny)
     centres = Block.of(sample_rows(reference.select("row_id", "v"), "row_id", n_centres, seed=seed, tag="centres").toArrow()).x
     layout = _Columns(weights, n_permutations)
-    relabelled = (
-        relabelled_counts(reference, pool, weights, n_permutations, seed=seed) if n_permutations else None
-    )
-    packed = layout.packed(reference, weights, relabelled)
-    rows = _tagged(reference, pool).join(packed, "row_id")
-    shared, width = reference.sparkSession.sparkContext.broadcast(centres), layout.width
+    draws = layout.draws(reference, weights, seed)
+    sc = reference.sparkSession.sparkContext
+    shared, vectors, n_chunks = sc.broadcast(centres), sc.broadcast(layout.vectors(draws)), layout.n_chunks
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for chunk in table.column("chunk").unique().to_pylist():
-                block = Block.of(table.filter(pc.equal(table.column("chunk"), chunk)))
-                k = np.exp(-squared_distances(block.x, c) / (2.0 * sigma2))
-                sums[chunk] = sums.get(chunk, 0.0) + block.dense_weights(width).T @ k
+            for table in pieces(pa.Table.from_batches([batch]), KERNEL_BLOCK_ROWS):
+                k = np.exp(-squared_distances(Block.of(table).x, c) / (2.0 * sigma2))
+                for chunk in range(n_chunks):
+                    sums[chunk] = sums.get(chunk, 0.0) + vectors.value.of(table, chunk).astype(np.float64).T @ k
         for chunk, h in sums.items():
             n = h.shape[0]
             yield pa.RecordBatch.from_pydict(
@@ -393,6 +460,7 @@ def lsdd_statistics(
                 }
             )
 
+    rows = layout.rows(reference, pool, weights).repartition(sc.defaultParallelism)
     parts = rows.mapInArrow(project, "chunk int, at int, pos int, h double")
     sums = cut_lineage(parts.groupBy("chunk", "at", "pos").agg(F.sum("h").alias("h")))
     k = layout.per_chunk

@@ -4,15 +4,20 @@ A pair never becomes a row. Rows carry their vector to a block; a task holds one
 block of each side as two matrices and returns per-row or per-block results. A
 side within ``SHARED_ROWS`` rows and ``SHARED_BYTES`` bytes, both counted first, is
 sent to the executors once and the other side streams past it without a shuffle.
-Beyond that both sides are cut into hash blocks of about ``BLOCK_ROWS`` rows, and
-the blocks meet on an equi-key (left block, right block). Block sizes depend only
-on how evenly the row keys hash, so no value, source or class can make one large.
+Beyond that both sides are cut into hash groups that meet on an equi-key (left group,
+right group), a square grid: a side of B blocks of ``BLOCK_ROWS`` rows makes about the
+root of B groups, so a row is copied that often and not once per block, and a task walks
+its two groups block by block. Pairs of a row set with itself take the triangle of
+that grid. Group sizes depend only on how evenly the row keys hash, so no value, source
+or class can make one large.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,8 @@ SHARED_BYTES = 64 << 20
 BLOCK_ROWS = 2048
 STREAM_ROWS = 1024
 
+T = TypeVar("T")
+
 
 @dataclass
 class Block:
@@ -59,6 +66,23 @@ def as_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
 
 
 Kernel = Callable[[Block, Block], "pa.Table | None"]
+SelfKernel = Callable[[Block, Block, int], "pa.Table | None"]
+Fold = Callable[[list[pa.Table]], pa.Table]
+
+
+def grid_groups(n_blocks: int, busy: int) -> int:
+    """Groups of a side: the root of its blocks, more only while that keeps ``busy`` tasks at work."""
+    return min(n_blocks, max(math.isqrt(n_blocks - 1) + 1, math.isqrt(max(busy, 1) - 1) + 1))
+
+
+def n_blocks(n_rows: int, block_rows: int) -> int:
+    return max(1, -(-n_rows // block_rows))
+
+
+def pieces(table: pa.Table, block_rows: int) -> Iterator[pa.Table]:
+    """A task's group in blocks of at most ``block_rows`` rows."""
+    for start in range(0, table.num_rows, block_rows):
+        yield table.slice(start, block_rows)
 
 
 class PairPlan:
@@ -74,12 +98,13 @@ class PairPlan:
             n_bytes += 12 * (right.agg(F.sum(F.size("ws"))).first()[0] or 0)
         small = self.n_right <= SHARED_ROWS and n_bytes <= SHARED_BYTES
         self.share = small if share is None else share
-        self.right_blocks = max(1, -(-self.n_right // block_rows))
+        self.right_blocks = n_blocks(self.n_right, block_rows)
         self.whole = self.share or self.right_blocks == 1
 
-    def run(self, kernel: Kernel, schema: str) -> DataFrame:
-        """Apply ``kernel`` to blocks that together cover every pair once."""
-        return self._shared(kernel, schema) if self.share else self._tiled(kernel, schema)
+    def run(self, kernel: Kernel, schema: str, fold: Fold | None = None) -> DataFrame:
+        """Apply ``kernel`` to blocks that together cover every pair once. ``fold`` makes one
+        table of the results of one left block with several right blocks of a task."""
+        return self._shared(kernel, schema) if self.share else self._tiled(kernel, schema, fold or pa.concat_tables)
 
     def _shared(self, kernel: Kernel, schema: str) -> DataFrame:
         small = self.left.sparkSession.sparkContext.broadcast(self.right.toArrow())
@@ -95,19 +120,73 @@ class PairPlan:
 
         return self.left.mapInArrow(run, schema)
 
-    def _tiled(self, kernel: Kernel, schema: str) -> DataFrame:
-        left_blocks = max(1, -(-self.left.count() // self.block_rows))
-        a = hash_block(self.left, "_i", left_blocks).withColumn("_j", spread(0, self.right_blocks - 1))
-        b = hash_block(self.right, "_j", self.right_blocks).withColumn("_i", spread(0, left_blocks - 1))
+    def _tiled(self, kernel: Kernel, schema: str, fold: Fold) -> DataFrame:
+        busy, block_rows = self.left.sparkSession.sparkContext.defaultParallelism, self.block_rows
+        left_groups = grid_groups(n_blocks(self.left.count(), block_rows), busy)
+        right_groups = grid_groups(self.right_blocks, busy)
+        a = hash_block(self.left, "_i", left_groups).withColumn("_j", spread(0, right_groups - 1))
+        b = hash_block(self.right, "_j", right_groups).withColumn("_i", spread(0, left_groups - 1))
         empty = empty_table(schema)
 
         def run(x: pa.Table, y: pa.Table) -> pa.Table:
-            result = kernel(Block.of(x), Block.of(y)) if x.num_rows and y.num_rows else None
-            return empty if result is None else result
+            right = [Block.of(part) for part in pieces(y, block_rows)]
+            out = []
+            for part in pieces(x, block_rows) if right else ():
+                block = Block.of(part)
+                met = [r for r in (kernel(block, other) for other in right) if r is not None]
+                if met:
+                    out.append(fold(met) if len(met) > 1 else met[0])
+            return pa.concat_tables(out) if out else empty
 
         return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInArrow(run, schema)
 
 
+def triangle(rows: DataFrame, n_groups: int) -> tuple[DataFrame, DataFrame]:
+    """Two sides that meet on (_i, _j), _i <= _j, over the groups of one row set. A group meets
+    itself on the left side alone, so the right side is empty where _i = _j."""
+    grouped = hash_block(rows, "_g", n_groups)
+    left = grouped.withColumn("_i", F.col("_g")).withColumn("_j", spread(F.col("_g"), n_groups - 1)).drop("_g")
+    later = own_columns(grouped).filter("_g > 0")
+    return left, later.withColumn("_j", F.col("_g")).withColumn("_i", spread(0, F.col("_g") - 1)).drop("_g")
+
+
+def triangle_groups(blocks: int, busy: int) -> int:
+    """As ``grid_groups``; g groups make g (g + 1) / 2 tasks."""
+    return grid_groups(blocks, 2 * busy)
+
+
+def block_pairs(left: list[T], right: list[T]) -> Iterator[tuple[T, T, int]]:
+    """Pairs of a task's blocks and how often each stands for its pairs of rows: twice unless a
+    block meets itself; without a right side the blocks of the left one meet each other."""
+    if right:
+        yield from ((x, y, 2) for x in left for y in right)
+        return
+    for i, x in enumerate(left):
+        yield x, x, 1
+        yield from ((x, y, 2) for y in left[i + 1 :])
+
+
+def self_pairs(rows: DataFrame, n_rows: int, kernel: SelfKernel, schema: str, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Apply ``kernel`` (block, block, times) to blocks of one row set; each unordered pair of
+    different blocks meets once and counts twice."""
+    groups = triangle_groups(n_blocks(n_rows, block_rows), rows.sparkSession.sparkContext.defaultParallelism)
+    left, right = triangle(rows, groups)
+    empty = empty_table(schema)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = ([Block.of(part) for part in pieces(t, block_rows)] for t in (a, b))
+        # a group without rows has nothing to meet, on either side
+        met = block_pairs(x, y) if x and (y or diagonal(a)) else ()
+        out = [r for r in (kernel(*pair) for pair in met) if r is not None]
+        return pa.concat_tables(out) if out else empty
+
+    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(run, schema)
+
+
+def diagonal(table: pa.Table) -> bool:
+    return table.column("_i")[0].as_py() == table.column("_j")[0].as_py()
+
+
 def own_columns(df: DataFrame) -> DataFrame:
     """The same columns under new identities, so that both sides may stem from one table."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
@@ -140,7 +219,10 @@ def mean_distances(left: DataFrame, right: DataFrame, *, share: bool | None = No
         d = distances(x.x, y.x)
         return pa.table({"row_id": x.ids, "total": d.sum(axis=1)})
 
-    sums = plan.run(kernel, f"{id_field(left)}, total double")
+    def fold(met: list[pa.Table]) -> pa.Table:
+        return pa.table({"row_id": met[0].column("row_id"), "total": sum(t.column("total").to_numpy() for t in met)})
+
+    sums = plan.run(kernel, f"{id_field(left)}, total double", fold)
     if not plan.whole:
         sums = sums.groupBy("row_id").agg(F.sum("total").alias("total"))
     return sums.select("row_id", (F.col("total") / F.lit(float(plan.n_right))).alias("mean_distance"))
@@ -163,7 +245,14 @@ def nearest_distances(left: DataFrame, right: DataFrame, k: int, *, share: bool
         ids = as_array(x.ids).take(pa.array(np.repeat(np.arange(len(d)), top)))
         return pa.table({"row_id": ids, "d": near.ravel()})
 
-    near = plan.run(kernel, f"{id_field(left)}, d double")
+    def fold(met: list[pa.Table]) -> pa.Table:
+        # each table holds as many distances for every left row, in the order of the rows
+        ids = met[0].column("row_id").unique()
+        d = np.concatenate([t.column("d").to_numpy().reshape(len(ids), -1) for t in met], axis=1)
+        top = min(k, d.shape[1])
+        return pa.table({"row_id": ids.take(pa.array(np.repeat(np.arange(len(ids)), top))), "d": np.partition(d, top - 1, axis=1)[:, :top].ravel()})
+
+    near = plan.run(kernel, f"{id_field(left)}, d double", fold)
     if whole:
         return near.withColumnRenamed("d", "kth_distance")
     ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("row_id").orderBy("d")))
