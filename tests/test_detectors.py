@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,18 @@ def test_scores_are_shares_of_relabellings(data):
 
 def test_no_vector_is_lost_without_weights(data):
     assert pairs.mean_distances(data["pool_df"], data["ref_df"]).agg(F.count("*")).first()[0] == 90
+
+
+def test_grid_covers_every_pair_once(spark):
+    """Groups of several blocks: every ordered pair of rows counts once, and a row is copied once per group."""
+    df = frame(spark, np.arange(50.0)[:, None])
+
+    def kernel(x, y, times):
+        same = (x.x[:, 0][:, None] == y.x[:, 0][None]).sum()
+        return pa.table({"pairs": [times * len(x.x) * len(y.x)], "same": [int(same)]})
+
+    got = pairs.self_pairs(df, 50, kernel, "pairs bigint, same bigint", block_rows=3).agg(F.sum("pairs"), F.sum("same")).first()
+    assert tuple(got) == (2500, 50)
+    left, right = pairs.triangle(df, 4)
+    assert left.count() + right.count() == 4 * 50
+    assert [pairs.grid_groups(b, 8) for b in (1, 2, 9, 100, 10_000)] == [1, 2, 3, 10, 100]
