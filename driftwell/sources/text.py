@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 MAX_FEATURES = 500
 
-# A token and the default list of English function words.
+# A token, and a short list of English function words of our own; pass ``stop_words`` to use a published one.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 STOP_WORDS = """
 about above after again all also am an and any are as at be because been before being below between both but by
