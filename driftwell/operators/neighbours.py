@@ -9,10 +9,23 @@ from pyspark.sql import functions as F
 
 from driftwell.functions.distances import distances
 from driftwell.operators.detectors import packed_weights, unit_weights, weight_columns, weight_keys
-from driftwell.operators.pairs import Block, PairPlan, as_array, id_field, nearest_distances
+from driftwell.operators.pairs import (
+    Block,
+    PairPlan,
+    as_array,
+    dense_weights,
+    hash_block,
+    id_field,
+    n_blocks,
+    nearest_distances,
+    nearest_rows,
+)
 from driftwell.session import cut_lineage
 
 DISTANCE_FLOOR = 1e-12
+#: Length of a row's list as a multiple of k, and rows whose lists one task walks at a time.
+LISTED = 8
+WALK_ROWS = 128
 
 
 def resampled_neighbour_distances(
@@ -22,12 +35,69 @@ def resampled_neighbour_distances(
     resample, the row's own copies coming first.
 
     Copies count: it is the distance at which the weights, added up from near to far,
-    reach k. A block returns, per row and resample, just the nearest copies up to k;
-    merging those of all blocks is exact.
+    reach k. Where every row sees the whole pool in one block, the block says so. Beyond
+    that the pairs are met once, for a list of the ``LISTED * k`` nearest pool rows of
+    each row whatever the number of resamples; each resample adds its weights along the
+    list. A list that ends before k (a resample that leaves out most rows near by) is
+    followed by all blocks, for that row and those resamples alone.
     """
     columns, n_columns = weight_columns(weights)
     packed = cut_lineage(pool.select("row_id", "v").join(packed_weights(weights, columns), "row_id"))
     plan = PairPlan(packed, packed, share=share)
+    if plan.whole:
+        kth = _walk_blocks(plan, k, n_columns)
+    else:
+        walked = cut_lineage(_walk_lists(packed, nearest_rows(packed, packed, LISTED * k, share=False), plan.n_right, k, n_columns))
+        kth = walked.filter("kth_distance IS NOT NULL")
+        early = walked.filter("kth_distance IS NULL")
+        if not early.isEmpty():
+            asked = early.groupBy("row_id").agg(F.collect_list("col").alias("cols"))
+            left = packed.select("row_id", "v").join(asked, "row_id").withColumn("ws", F.transform("cols", lambda c: F.lit(1.0)))
+            kth = kth.union(_walk_blocks(PairPlan(left, packed, share=False), k, n_columns))
+    return kth.join(F.broadcast(columns), "col").drop("col")
+
+
+def _walk_lists(packed: DataFrame, near: DataFrame, n_rows: int, k: int, n_columns: int) -> DataFrame:
+    """(row_id, col, kth_distance) for each resample a row occurs in, null where its list ends before k.
+
+    Tasks take some ``WALK_ROWS`` rows at a time, dealt by hash: their lists with the weights of the rows
+    listed, and their own weights (without a distance)."""
+    others = packed.select(F.col("row_id").alias("other"), "cols", "ws")
+    entries = near.join(others, "other").select("row_id", "d", "cols", "ws")
+    own = packed.select("row_id", F.lit(None).cast("double").alias("d"), "cols", "ws")
+    dealt = hash_block(entries.union(own), "_walk", n_blocks(n_rows, WALK_ROWS))
+
+    def walk(t: pa.Table) -> pa.Table:
+        ids = as_array(t.column("row_id")).dictionary_encode()
+        row, n = ids.indices.to_numpy(), len(ids.dictionary)
+        w = dense_weights(t, n_columns)
+        itself = t.column("d").is_null().to_numpy()
+        present = np.zeros((n, n_columns), bool)
+        present[row[itself]] = w[itself] > 0
+        listed = np.flatnonzero(~itself)
+        d = t.column("d").to_numpy()
+        listed = listed[np.lexsort((d[listed], row[listed]))]
+        place = np.arange(len(listed)) - np.searchsorted(row[listed], row[listed])
+        width = place.max(initial=0) + 1
+        far, copies = np.full((n, width), np.inf), np.zeros((n, width, n_columns))
+        far[row[listed], place], copies[row[listed], place] = d[listed], w[listed]
+        reached = np.cumsum(copies, axis=1) >= k
+        kth = np.take_along_axis(far, reached.argmax(axis=1), axis=1)
+        i, c = np.nonzero(present)
+        return pa.table(
+            {
+                "row_id": ids.dictionary.take(pa.array(i)),
+                "col": c.astype(np.int32),
+                "kth_distance": pa.array(kth[i, c], mask=~reached[i, -1, c]),
+            }
+        )
+
+    return dealt.groupBy("_walk").applyInArrow(walk, f"{id_field(packed)}, col int, kth_distance double")
+
+
+def _walk_blocks(plan: PairPlan, k: int, n_columns: int) -> DataFrame:
+    """(row_id, col, kth_distance) from all blocks. A block returns, per row and resample, just the
+    nearest copies up to k; merging those of all blocks is exact."""
     whole = plan.whole
 
     def kernel(x: Block, y: Block) -> pa.Table | None:
@@ -48,20 +118,16 @@ def resampled_neighbour_distances(
             }
         )
 
-    near = plan.run(kernel, f"{id_field(pool)}, col int, d double, n bigint")
+    near = plan.run(kernel, f"{id_field(plan.left)}, col int, d double, n bigint")
     if whole:
-        kth = near.select("row_id", "col", F.col("d").alias("kth_distance"))
-    else:
-        upto = F.sum("n").over(
-            Window.partitionBy("row_id", "col").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-        )
-        kth = (
-            near.withColumn("_upto", upto)
-            .filter(F.col("_upto") >= k)
-            .groupBy("row_id", "col")
-            .agg(F.min("d").alias("kth_distance"))
-        )
-    return kth.join(F.broadcast(columns), "col").drop("col")
+        return near.select("row_id", "col", F.col("d").alias("kth_distance"))
+    upto = F.sum("n").over(Window.partitionBy("row_id", "col").orderBy("d").rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        near.withColumn("_upto", upto)
+        .filter(F.col("_upto") >= k)
+        .groupBy("row_id", "col")
+        .agg(F.min("d").alias("kth_distance"))
+    )
 
 
 def _near_copies(

@@ -52,13 +52,17 @@ class Block:
         return cls(table.column("row_id"), x.reshape(n, x.size // n if n else 0), table)
 
     def dense_weights(self, n_columns: int) -> np.ndarray:
-        """rows x n_columns matrix from the packed arrays ``cols`` and ``ws``."""
-        out = np.zeros((len(self.x), n_columns))
-        cols, ws = as_array(self.table.column("cols")), as_array(self.table.column("ws"))
-        counts = np.asarray(cols.value_lengths(), dtype=np.int64)
-        rows = np.repeat(np.arange(len(counts)), counts)
-        out[rows, np.asarray(cols.flatten())] = np.asarray(ws.flatten())
-        return out
+        return dense_weights(self.table, n_columns)
+
+
+def dense_weights(table: pa.Table, n_columns: int) -> np.ndarray:
+    """rows x n_columns matrix from the packed arrays ``cols`` and ``ws``."""
+    out = np.zeros((table.num_rows, n_columns))
+    cols, ws = as_array(table.column("cols")), as_array(table.column("ws"))
+    counts = np.asarray(cols.value_lengths(), dtype=np.int64)
+    rows = np.repeat(np.arange(len(counts)), counts)
+    out[rows, np.asarray(cols.flatten())] = np.asarray(ws.flatten())
+    return out
 
 
 def as_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
@@ -126,19 +130,26 @@ class PairPlan:
         right_groups = grid_groups(self.right_blocks, busy)
         a = hash_block(self.left, "_i", left_groups).withColumn("_j", spread(0, right_groups - 1))
         b = hash_block(self.right, "_j", right_groups).withColumn("_i", spread(0, left_groups - 1))
-        empty = empty_table(schema)
+        return meet(a, b, ["_i", "_j"], kernel, schema, fold, block_rows)
+
 
-        def run(x: pa.Table, y: pa.Table) -> pa.Table:
-            right = [Block.of(part) for part in pieces(y, block_rows)]
-            out = []
-            for part in pieces(x, block_rows) if right else ():
-                block = Block.of(part)
-                met = [r for r in (kernel(block, other) for other in right) if r is not None]
-                if met:
-                    out.append(fold(met) if len(met) > 1 else met[0])
-            return pa.concat_tables(out) if out else empty
+def meet(
+    left: DataFrame, right: DataFrame, on: list[str], kernel: Kernel, schema: str, fold: Fold, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Apply ``kernel`` to the blocks of both sides that share a key."""
+    empty = empty_table(schema)
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        others = [Block.of(part) for part in pieces(y, block_rows)]
+        out = []
+        for part in pieces(x, block_rows) if others else ():
+            block = Block.of(part)
+            met = [r for r in (kernel(block, other) for other in others) if r is not None]
+            if met:
+                out.append(fold(met) if len(met) > 1 else met[0])
+        return pa.concat_tables(out) if out else empty
 
-        return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInArrow(run, schema)
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, schema)
 
 
 def triangle(rows: DataFrame, n_groups: int) -> tuple[DataFrame, DataFrame]:
@@ -228,6 +239,57 @@ def mean_distances(left: DataFrame, right: DataFrame, *, share: bool | None = No
     return sums.select("row_id", (F.col("total") / F.lit(float(plan.n_right))).alias("mean_distance"))
 
 
+def list_kernel(length: int) -> tuple[Kernel, Fold]:
+    """Kernel and fold for (row_id, other, d): the ``length`` nearest right rows of each left row."""
+
+    def table(ids: pa.Array, others: np.ndarray, of: pa.Array, d: np.ndarray) -> pa.Table:
+        rows = np.repeat(np.arange(len(d)), d.shape[1])
+        return pa.table({"row_id": ids.take(pa.array(rows)), "other": of.take(pa.array(others.ravel())), "d": d.ravel()})
+
+    def nearest(d: np.ndarray) -> np.ndarray:
+        top = min(length, d.shape[1])
+        return np.argpartition(d, top - 1, axis=1)[:, :top]
+
+    def kernel(x: Block, y: Block) -> pa.Table | None:
+        if not len(x.x) or not len(y.x):
+            return None
+        d = distances(x.x, y.x)
+        at = nearest(d)
+        return table(as_array(x.ids), at, as_array(y.ids), np.take_along_axis(d, at, axis=1))
+
+    def fold(met: list[pa.Table]) -> pa.Table:
+        # each table holds as many entries for every left row, in the order of the rows
+        ids = as_array(met[0].column("row_id")).unique()
+        d = np.concatenate([t.column("d").to_numpy().reshape(len(ids), -1) for t in met], axis=1)
+        starts = np.cumsum([0] + [t.num_rows for t in met])
+        places = np.concatenate([np.arange(a, b).reshape(len(ids), -1) for a, b in zip(starts, starts[1:], strict=False)], axis=1)
+        at = nearest(d)
+        of = as_array(pa.chunked_array([c for t in met for c in t.column("other").chunks]))
+        return table(ids, np.take_along_axis(places, at, axis=1), of, np.take_along_axis(d, at, axis=1))
+
+    return kernel, fold
+
+
+def list_schema(left: DataFrame, right: DataFrame) -> str:
+    return f"{id_field(left)}, other {right.schema['row_id'].dataType.simpleString()}, d double"
+
+
+def shortest(near: DataFrame, length: int) -> DataFrame:
+    """The ``length`` nearest entries of each row; a row has at most that many per task it took part in."""
+    listed = near.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("d", "other"))).alias("_e"))
+    return listed.select("row_id", F.inline(F.slice("_e", 1, length))).select("row_id", "other", "d")
+
+
+def nearest_rows(left: DataFrame, right: DataFrame, length: int, *, share: bool | None = None) -> DataFrame:
+    """(row_id, other, d): the ``length`` nearest right rows of each left row (all, if fewer).
+    Which of several rows at the last distance are listed is left open."""
+    left, right = left.select("row_id", "v"), right.select("row_id", "v")
+    plan = PairPlan(left, right, share=share)
+    kernel, fold = list_kernel(length)
+    near = plan.run(kernel, list_schema(left, right), fold)
+    return near if plan.whole else shortest(near, length)
+
+
 def nearest_distances(left: DataFrame, right: DataFrame, k: int, *, share: bool | None = None) -> DataFrame:
     """(row_id, kth_distance): distance of each left row to its k-th nearest right row.
 

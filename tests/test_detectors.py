@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftwell.functions.distances import squared_distances
 from driftwell.operators import kernel_tests as K
-from driftwell.operators import pairs
+from driftwell.operators import neighbours, pairs
 from driftwell.operators.neighbours import neighbour_kl_scores
 from driftwell.operators.projected import distance_scores
 from driftwell.operators.views import pca_views
@@ -81,6 +81,36 @@ def test_kl_with_one_row_drawn_very_often(spark, data):
     assert got == pytest.approx(kl_of(data["ref"], np.repeat(data["pool"], w, axis=0)), rel=1e-9)
 
 
+@pytest.mark.parametrize("listed", [1, 8])
+def test_lists_that_end_early_go_on_in_the_blocks(spark, data, listed, monkeypatch):
+    """One resample takes every tenth row, one all its rows from two: short lists miss those."""
+    monkeypatch.setattr(pairs.PairPlan.__init__, "__kwdefaults__", {"share": None, "block_rows": 13})
+    monkeypatch.setattr(neighbours, "LISTED", listed)
+    monkeypatch.setattr(neighbours, "WALK_ROWS", 7)
+    drawn = [{i: 1 for i in range(90)}, {i: 1 for i in range(0, 90, 10)}, {4: 45, 77: 5}]
+    weights = spark.createDataFrame(
+        [(r, i, w) for r, rows in enumerate(drawn) for i, w in rows.items()], "run int, row_id bigint, w int"
+    )
+    got = neighbours.resampled_neighbour_distances(data["pool_df"], weights, 6, share=False).collect()
+    assert len(got) == sum(map(len, drawn))
+    d = dist(data["pool"], data["pool"])
+    for r in got:
+        copies = np.repeat(list(drawn[r["run"]]), list(drawn[r["run"]].values()))
+        assert r["kth_distance"] == pytest.approx(np.sort(d[r["row_id"], copies])[5], rel=1e-9)
+
+
+def test_rows_of_the_pair_stage_do_not_grow_with_resamples(data, monkeypatch):
+    monkeypatch.setattr(pairs.PairPlan.__init__, "__kwdefaults__", {"share": None, "block_rows": 13})
+    asked = []
+    plain = neighbours.nearest_rows
+    monkeypatch.setattr(neighbours, "nearest_rows", lambda *a, **b: asked.append(plain(*a, **b)) or asked[-1])
+    for runs in (1, 3):
+        weights = data["w_df"].filter(F.col("run") < runs).union(data["w_df"].filter(F.col("run") < runs).withColumn("run", F.col("run") + 9))
+        neighbours.resampled_neighbour_distances(data["pool_df"], weights, 3, share=False).count()
+    drawn = [np.count_nonzero(data["w"][0]), np.count_nonzero(sum(data["w"].values()))]
+    assert [n.count() for n in asked] == [24 * n for n in drawn]
+
+
 def test_kl_refuses_too_few_rows(data):
     with pytest.raises(ValueError, match="neighbours need"):
         neighbour_kl_scores(data["ref_df"], data["pool_df"], data["w_df"], n_neighbors=100)
