@@ -32,6 +32,7 @@ SHARED_ROWS = 4096
 SHARED_BYTES = 64 << 20
 BLOCK_ROWS = 2048
 STREAM_ROWS = 1024
+INDEX_BLOCKS = 16
 
 T = TypeVar("T")
 
@@ -280,23 +281,39 @@ def shortest(near: DataFrame, length: int) -> DataFrame:
     return listed.select("row_id", F.inline(F.slice("_e", 1, length))).select("row_id", "other", "d")
 
 
-def nearest_rows(left: DataFrame, right: DataFrame, length: int, *, share: bool | None = None) -> DataFrame:
+def nearest_rows(
+    left: DataFrame, right: DataFrame, length: int, *, share: bool | None = None, index: bool | None = None
+) -> DataFrame:
     """(row_id, other, d): the ``length`` nearest right rows of each left row (all, if fewer).
-    Which of several rows at the last distance are listed is left open."""
+    Which of several rows at the last distance are listed is left open.
+
+    ``index``: exclude pairs by pivots first; by default from ``INDEX_BLOCKS`` blocks of right rows on.
+    """
     left, right = left.select("row_id", "v"), right.select("row_id", "v")
     plan = PairPlan(left, right, share=share)
+    if not plan.whole and plan.right_blocks >= INDEX_BLOCKS if index is None else index:
+        from driftwell.operators.pivots import indexed_nearest_rows
+
+        found = indexed_nearest_rows(left, right, length)
+        if found.near is not None:
+            return found.near
     kernel, fold = list_kernel(length)
     near = plan.run(kernel, list_schema(left, right), fold)
     return near if plan.whole else shortest(near, length)
 
 
-def nearest_distances(left: DataFrame, right: DataFrame, k: int, *, share: bool | None = None) -> DataFrame:
+def nearest_distances(
+    left: DataFrame, right: DataFrame, k: int, *, share: bool | None = None, index: bool | None = None
+) -> DataFrame:
     """(row_id, kth_distance): distance of each left row to its k-th nearest right row.
 
-    A block returns its k smallest distances per row; the k-th of their union is exact.
+    A block returns its k smallest distances per row; the k-th of their union is exact. ``index`` as in ``nearest_rows``.
     """
     plan = PairPlan(left.select("row_id", "v"), right.select("row_id", "v"), share=share)
     whole = plan.whole
+    if not whole and plan.right_blocks >= INDEX_BLOCKS if index is None else index:
+        near = nearest_rows(left, right, k, share=share, index=index)
+        return near.groupBy("row_id").agg(F.max("d").alias("kth_distance"))
 
     def kernel(x: Block, y: Block) -> pa.Table:
         d = distances(x.x, y.x)

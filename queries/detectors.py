@@ -92,6 +92,20 @@ def knn_kth_distance_tiled(spark, sf):
     return as_output(nearest_distances(rows, rows, 5, share=False))
 
 
+PART_KTH_SQL = """WITH x AS (SELECT p_partkey AS row_id, [p_size::DOUBLE, p_retailprice / 20] AS v FROM part),
+  d AS (SELECT a.row_id, list_distance(a.v, b.v) AS d FROM x a, x b),
+  r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d) AS k FROM d)
+  SELECT row_id, round(d, 6) AS kth_distance FROM r WHERE k = 5"""
+
+
+@query("knn_kth_distance_indexed", PART_KTH_SQL)
+def knn_kth_distance_indexed(spark, sf):
+    """Parts by size and price through the pivot index, which excludes most pairs there."""
+    sizes = F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 20)
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), sizes.alias("v"))
+    return as_output(nearest_distances(rows, rows, 5, share=False, index=True))
+
+
 KL_SQL = """,
   dr AS (SELECT p.row_id, list_distance(p.v, r.v) AS d FROM pool p, ref r),
   rho AS (SELECT row_id, greatest(d, 1e-12) AS rho FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d) AS k FROM dr) WHERE k = 5),
