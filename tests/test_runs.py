@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from driftwell.operators import views as V
 from driftwell.plans import domains, registry, runs
+from driftwell.plans.commits import CommitConflict, CommitLog
 from driftwell.session import ensure_checkpoint_dir
 from driftwell.sources import delimited, results
 from driftwell.sources.text import tfidf_vectors
@@ -99,6 +102,48 @@ def test_scores_are_saved_after_each_intensity(spark, domain, tmp_path):
         del registry._DETECTORS["breaks"]
 
 
+def test_a_step_shows_whole_or_not_at_all(spark, domain, tmp_path, monkeypatch):
+    """Stopped after the data of a step are written and before its commit."""
+    options = {"alphas": [0.0, 0.5], "n_runs": 2, "detectors": ["distance"]}
+    whole = values(runs.run_domain(domain, runs.Store(spark, f"{tmp_path}/whole"), **options))
+    store = runs.Store(spark, f"{tmp_path}/cut")
+    commit, calls = CommitLog.commit, []
+
+    def stops(self, content, after):
+        calls.append(after)
+        if len(calls) in (1, 3):
+            raise RuntimeError("stopped")
+        return commit(self, content, after)
+
+    monkeypatch.setattr(CommitLog, "commit", stops)
+    with pytest.raises(RuntimeError, match="stopped"):
+        runs.run_domain(domain, store, **options)
+    assert list((tmp_path / "cut" / "data").iterdir())  # written, but part of nothing
+    assert store.scores().count() == store.calibration().count() == 0
+    with pytest.raises(RuntimeError, match="stopped"):
+        runs.run_domain(domain, store, **options)
+    assert [float(a) for a, in store.scores().select("alpha").distinct().collect()] == [0.0]
+    assert store.calibration().count() == 2 and not store.has_metrics()
+    monkeypatch.setattr(CommitLog, "commit", commit)
+    assert whole == as_dict(runs.run_domain(domain, store, **options)) and store.has_metrics()
+    named = str(store.log.newest()[1])
+    assert {p.name for p in (tmp_path / "cut" / "data").iterdir()} == {f.name for f in (tmp_path / "cut" / "data").iterdir() if f.name in named}
+    assert len(list((tmp_path / "cut" / "commits").glob("*.draft"))) == 0
+    assert not list(Path(ensure_checkpoint_dir(spark).removeprefix("file:")).glob("scratch-*"))
+
+
+def test_commits_of_two_runs_do_not_mix(spark, tmp_path):
+    log = CommitLog(spark, f"{tmp_path}/log")
+    assert log.newest() == (0, {})
+    assert log.commit({"a": "data/x"}, 0) == 1
+    with pytest.raises(CommitConflict):
+        log.commit({"a": "data/y"}, 0)
+    for name in ("x", "y"):
+        spark.range(1).write.parquet(f"{tmp_path}/log/data/{name}")
+    log.sweep()
+    assert log.newest() == (1, {"a": "data/x"}) and log.exists("data/x") and not log.exists("data/y")
+
+
 def test_unshifted_and_fully_shifted(spark, domain, tmp_path):
     metrics = runs.run_domain(domain, runs.Store(spark, f"{tmp_path}/d"), alphas=[0.0, 1.0], n_runs=5, detectors=["distance"], alphas_per_save=9)
     rows = values(metrics)
