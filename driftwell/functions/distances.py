@@ -2,30 +2,107 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 ROUNDING_RISK = 1e-5
+#: The same where distances are only added up: a closer pair is off by 1e-11 of the rows' length at most.
+SUM_RISK = 1e-9
+#: Far above the rounding of a product, as a part of its scale.
+SLACK = 1e-12
+#: Rows and columns of a part of a distance matrix that stays in cache.
+TILE_ROWS, TILE_COLUMNS = 128, 2048
+
+
+def products(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances in product form, and for each row of ``a`` the scale that their rounding grows with."""
+    centre = b.mean(axis=0) if len(b) else 0.0
+    ac, bc = a - centre, b - centre
+    na, nb = np.einsum("ij,ij->i", ac, ac), np.einsum("ij,ij->i", bc, bc)
+    d2 = np.column_stack([ac, na, np.ones(len(a))]) @ np.vstack([-2.0 * bc.T, np.ones(len(b)), nb])
+    return d2, na + nb.max(initial=0.0)
 
 
-def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def by_differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of rows that stand side by side."""
+    diff = a - b
+    return np.einsum("ij,ij->i", diff, diff)
+
+
+def squared_distances(a: np.ndarray, b: np.ndarray, risk: float = ROUNDING_RISK) -> np.ndarray:
     """All squared Euclidean distances of the rows of ``a`` and ``b``.
 
     The product form is fast but loses digits for rows that lie close together
     compared with their length; those pairs are computed again by differences,
     so equal rows are at distance exactly zero.
     """
-    centre = b.mean(axis=0) if len(b) else 0.0
-    ac, bc = a - centre, b - centre
-    na, nb = np.einsum("ij,ij->i", ac, ac), np.einsum("ij,ij->i", bc, bc)
-    scale = na[:, None] + nb[None, :]
-    d2 = scale - 2.0 * (ac @ bc.T)
-    i, j = np.nonzero(d2 <= ROUNDING_RISK * scale)
-    for start in range(0, len(i), 65536):
-        p, q = i[start : start + 65536], j[start : start + 65536]
-        diff = a[p] - b[q]
-        d2[p, q] = np.einsum("ij,ij->i", diff, diff)
-    return np.maximum(d2, 0.0)
-
-
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(squared_distances(a, b))
+    d2, scale = products(a, b)
+    flat = d2.reshape(-1)
+    close = np.flatnonzero((d2 <= (risk * scale)[:, None]).reshape(-1))
+    for start in range(0, len(close), 65536):
+        at = close[start : start + 65536]
+        flat[at] = by_differences(a[at // len(b)], b[at % len(b)])
+    return d2  # what is left lies above the limit, so it is not negative
+
+
+def distances(a: np.ndarray, b: np.ndarray, risk: float = ROUNDING_RISK) -> np.ndarray:
+    d2 = squared_distances(a, b, risk)
+    return np.sqrt(d2, out=d2)
+
+
+def tiles(n_left: int, n_right: int) -> Iterator[tuple[slice, slice]]:
+    """Parts of a matrix that stay in a processor's cache, all right parts of some left rows one after another."""
+    for i in range(0, n_left, TILE_ROWS):
+        for j in range(0, n_right, TILE_COLUMNS):
+            yield slice(i, i + TILE_ROWS), slice(j, j + TILE_COLUMNS)
+
+
+def distance_sums(a: np.ndarray, b: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """For each row of ``a`` the sum of its distances to the rows of ``b``, each counted ``copies`` times."""
+    out = np.zeros(len(a))
+    for i, j in tiles(len(a), len(b)):
+        out[i] += distances(a[i], b[j], SUM_RISK) @ copies[j]
+    return out
+
+
+def nearest(a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, distances) of the ``length`` nearest rows of ``b`` (all, if fewer) for each row of ``a``; NaN is
+    farthest. After the first tile only what lies below a row's last distance so far is sorted."""
+    top = min(length, len(b))
+    at, best = np.zeros((len(a), top), np.int64), np.full((len(a), top), np.nan)
+    for i, j in tiles(len(a), len(b)):
+        if j.start < top:  # lists are not full yet
+            d2 = squared_distances(a[i], b[j])
+            joined = np.concatenate([best[i, : j.start], d2], axis=1)
+            places = np.concatenate([at[i, : j.start], np.broadcast_to(np.arange(j.start, j.start + d2.shape[1]), d2.shape)], axis=1)
+            pick = _smallest(joined, min(top, joined.shape[1]))
+            width = pick.shape[1]
+            best[i, :width], at[i, :width] = np.take_along_axis(joined, pick, 1), np.take_along_axis(places, pick, 1)
+            continue
+        d2, scale = products(a[i], b[j])
+        last = best[i, -1]
+        last = np.where(np.isnan(last), np.inf, last)
+        found = np.flatnonzero((d2 < (last + SLACK * scale)[:, None]).reshape(-1))
+        row, column = found // d2.shape[1], found % d2.shape[1]
+        d = by_differences(a[i][row], b[j][column])
+        nearer = np.flatnonzero(d < last[row])
+        if not len(nearer):
+            continue
+        row, column, d = row[nearer], column[nearer], d[nearer]
+        rows = np.unique(row)
+        owner = np.concatenate([np.repeat(rows, top), row])
+        d, place = np.concatenate([best[i][rows].ravel(), d]), np.concatenate([at[i][rows].ravel(), column + j.start])
+        order = np.lexsort((d, owner))
+        kept = order[np.searchsorted(owner[order], rows)[:, None] + np.arange(top)]
+        best[i.start + rows], at[i.start + rows] = d[kept], place[kept]
+    return at, np.sqrt(best, out=best)
+
+
+def _smallest(d: np.ndarray, width: int) -> np.ndarray:
+    """Columns of the ``width`` smallest values of each row, in rising order."""
+    if not width:
+        return np.zeros((len(d), 0), np.int64)
+    pick = np.argpartition(d, width - 1, axis=1)[:, :width]
+    order = np.argsort(np.take_along_axis(d, pick, 1), axis=1, kind="stable")
+    return np.take_along_axis(pick, order, 1)

@@ -16,6 +16,7 @@ from driftwell.operators.pairs import (
     dense_weights,
     hash_block,
     id_field,
+    merged_rows,
     n_blocks,
     nearest_distances,
     nearest_rows,
@@ -172,6 +173,7 @@ def neighbour_kl_scores(
     smallest = n_test.agg(F.min("n")).first()[0] or 0
     if m < n_neighbors or smallest < n_neighbors + 1:
         raise ValueError(f"{n_neighbors} neighbours need {n_neighbors} reference and {n_neighbors + 1} test rows")
+    pool, weights = merged_rows(pool.select("row_id", "v"), weights)
     rho = nearest_distances(pool, reference, n_neighbors, share=share).withColumnRenamed("kth_distance", "rho")
     nu = resampled_neighbour_distances(pool, weights, n_neighbors + 1, share=share)
     ratio = F.log(F.greatest("rho", F.lit(DISTANCE_FLOOR))) - F.log(F.greatest("kth_distance", F.lit(DISTANCE_FLOOR)))

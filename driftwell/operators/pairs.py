@@ -26,13 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from driftwell.functions.distances import distances
+from driftwell.functions.distances import distance_sums, nearest
+from driftwell.session import cut_lineage
 
 SHARED_ROWS = 4096
 SHARED_BYTES = 64 << 20
 BLOCK_ROWS = 2048
 STREAM_ROWS = 1024
 INDEX_BLOCKS = 16
+#: Rows, and rows for each different vector, from which equal vectors are looked for and meet as one.
+DIFFERENT_ROWS, COPIES = 16 * BLOCK_ROWS, 2
 
 T = TypeVar("T")
 
@@ -72,7 +75,6 @@ def as_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
 
 Kernel = Callable[[Block, Block], "pa.Table | None"]
 SelfKernel = Callable[[Block, Block, int], "pa.Table | None"]
-Fold = Callable[[list[pa.Table]], pa.Table]
 
 
 def grid_groups(n_blocks: int, busy: int) -> int:
@@ -106,10 +108,10 @@ class PairPlan:
         self.right_blocks = n_blocks(self.n_right, block_rows)
         self.whole = self.share or self.right_blocks == 1
 
-    def run(self, kernel: Kernel, schema: str, fold: Fold | None = None) -> DataFrame:
-        """Apply ``kernel`` to blocks that together cover every pair once. ``fold`` makes one
-        table of the results of one left block with several right blocks of a task."""
-        return self._shared(kernel, schema) if self.share else self._tiled(kernel, schema, fold or pa.concat_tables)
+    def run(self, kernel: Kernel, schema: str, *, by_group: bool = False) -> DataFrame:
+        """Apply ``kernel`` to blocks that together cover every pair once; with ``by_group`` a left block
+        meets all right rows of its task as one block, for kernels that walk it in parts themselves."""
+        return self._shared(kernel, schema) if self.share else self._tiled(kernel, schema, by_group)
 
     def _shared(self, kernel: Kernel, schema: str) -> DataFrame:
         small = self.left.sparkSession.sparkContext.broadcast(self.right.toArrow())
@@ -125,29 +127,27 @@ class PairPlan:
 
         return self.left.mapInArrow(run, schema)
 
-    def _tiled(self, kernel: Kernel, schema: str, fold: Fold) -> DataFrame:
+    def _tiled(self, kernel: Kernel, schema: str, by_group: bool) -> DataFrame:
         busy, block_rows = self.left.sparkSession.sparkContext.defaultParallelism, self.block_rows
         left_groups = grid_groups(n_blocks(self.left.count(), block_rows), busy)
         right_groups = grid_groups(self.right_blocks, busy)
         a = hash_block(self.left, "_i", left_groups).withColumn("_j", spread(0, right_groups - 1))
         b = hash_block(self.right, "_j", right_groups).withColumn("_i", spread(0, left_groups - 1))
-        return meet(a, b, ["_i", "_j"], kernel, schema, fold, block_rows)
+        return meet(a, b, ["_i", "_j"], kernel, schema, block_rows, by_group=by_group)
 
 
 def meet(
-    left: DataFrame, right: DataFrame, on: list[str], kernel: Kernel, schema: str, fold: Fold, block_rows: int = BLOCK_ROWS
+    left: DataFrame, right: DataFrame, on: list[str], kernel: Kernel, schema: str, block_rows: int = BLOCK_ROWS, *, by_group: bool = False
 ) -> DataFrame:
     """Apply ``kernel`` to the blocks of both sides that share a key."""
     empty = empty_table(schema)
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
-        others = [Block.of(part) for part in pieces(y, block_rows)]
+        others = [Block.of(part) for part in pieces(y, max(y.num_rows, 1) if by_group else block_rows)]
         out = []
         for part in pieces(x, block_rows) if others else ():
             block = Block.of(part)
-            met = [r for r in (kernel(block, other) for other in others) if r is not None]
-            if met:
-                out.append(fold(met) if len(met) > 1 else met[0])
+            out += [r for r in (kernel(block, other) for other in others) if r is not None]
         return pa.concat_tables(out) if out else empty
 
     return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, schema)
@@ -223,52 +223,96 @@ def id_field(df: DataFrame) -> str:
     return f"row_id {df.schema['row_id'].dataType.simpleString()}"
 
 
+# ---- equal vectors
+
+
+def different_vectors(rows: DataFrame) -> DataFrame | None:
+    """(row_id, v, n): each different vector of ``rows`` (row_id, v) once, under a number of its own, with the rows that
+    have it; None where few rows are equal or there are few rows, so that it is not worth the shuffle."""
+    size = rows.agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("v")).alias("different")).first()
+    if size["n"] < DIFFERENT_ROWS or size["n"] < COPIES * size["different"]:
+        return None
+    counted = rows.groupBy("v").agg(F.count("*").alias("n"))
+    return cut_lineage(counted.select(F.monotonically_increasing_id().alias("row_id"), "v", "n"))
+
+
+def members(rows: DataFrame, different: DataFrame) -> DataFrame:
+    """(row_id, of): the number of each row's vector in ``different``."""
+    named = different.select(F.col("row_id").alias("of"), F.col("v").alias("_v"))
+    return rows.select("row_id", "v").join(named, F.col("v").eqNullSafe(F.col("_v"))).select("row_id", "of")
+
+
+def of_members(rows: DataFrame, different: DataFrame, found: DataFrame) -> DataFrame:
+    """What was ``found`` (row_id, ...) of the different vectors, for each row that has one."""
+    return members(rows, different).join(found.withColumnRenamed("row_id", "of"), "of").drop("of")
+
+
+def merged_rows(rows: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (row_id, v) and resample weights (keys..., row_id, w) with equal vectors as one row that has their weights in
+    all; as they are where that is not worth it."""
+    different = different_vectors(rows)
+    if different is None:
+        return rows, weights
+    keys = [c for c in weights.columns if c not in ("row_id", "w")]
+    merged = weights.join(members(rows, different), "row_id").groupBy(*keys, F.col("of").alias("row_id")).agg(F.sum("w").alias("w"))
+    return different.select("row_id", "v"), cut_lineage(merged)
+
+
+def with_copies(rows: DataFrame) -> DataFrame:
+    """(row_id, v, n): the different vectors, or each row as one of its own."""
+    different = different_vectors(rows)
+    return rows.select("row_id", "v", F.lit(1).cast("bigint").alias("n")) if different is None else different
+
+
+def copies_of(block: Block) -> np.ndarray:
+    return block.table.column("n").to_numpy().astype(np.float64)
+
+
+# ---- distances of rows to rows
+
+
 def mean_distances(left: DataFrame, right: DataFrame, *, share: bool | None = None) -> DataFrame:
-    """(row_id, mean_distance): mean Euclidean distance of each left row to all right rows."""
-    plan = PairPlan(left.select("row_id", "v"), right.select("row_id", "v"), share=share)
+    """(row_id, mean_distance): mean Euclidean distance of each left row to all right rows. Equal vectors meet once."""
+    same = left is right
+    left, right = left.select("row_id", "v"), right.select("row_id", "v")
+    n_right, different = right.count(), different_vectors(left)
+    copies = with_copies(right) if not same or different is None else different
+    plan = PairPlan(left if different is None else different.select("row_id", "v"), copies, share=share)
 
     def kernel(x: Block, y: Block) -> pa.Table:
-        d = distances(x.x, y.x)
-        return pa.table({"row_id": x.ids, "total": d.sum(axis=1)})
+        return pa.table({"row_id": x.ids, "total": distance_sums(x.x, y.x, copies_of(y))})
 
-    def fold(met: list[pa.Table]) -> pa.Table:
-        return pa.table({"row_id": met[0].column("row_id"), "total": sum(t.column("total").to_numpy() for t in met)})
-
-    sums = plan.run(kernel, f"{id_field(left)}, total double", fold)
+    sums = plan.run(kernel, f"{id_field(plan.left)}, total double", by_group=True)
     if not plan.whole:
         sums = sums.groupBy("row_id").agg(F.sum("total").alias("total"))
-    return sums.select("row_id", (F.col("total") / F.lit(float(plan.n_right))).alias("mean_distance"))
+    if different is not None:
+        sums = of_members(left, different, sums)
+    return sums.select("row_id", (F.col("total") / F.lit(float(n_right))).alias("mean_distance"))
 
 
-def list_kernel(length: int) -> tuple[Kernel, Fold]:
-    """Kernel and fold for (row_id, other, d): the ``length`` nearest right rows of each left row."""
+def mean_pair_distance(rows: DataFrame) -> float | None:
+    """Mean distance of all pairs of ``rows``, the zero distances to themselves included; a pair meets once."""
+    n, copies = rows.count(), with_copies(rows.select("row_id", "v"))
 
-    def table(ids: pa.Array, others: np.ndarray, of: pa.Array, d: np.ndarray) -> pa.Table:
-        rows = np.repeat(np.arange(len(d)), d.shape[1])
-        return pa.table({"row_id": ids.take(pa.array(rows)), "other": of.take(pa.array(others.ravel())), "d": d.ravel()})
+    def kernel(x: Block, y: Block, times: int) -> pa.Table:
+        return pa.table({"total": [float(times * (copies_of(x) @ distance_sums(x.x, y.x, copies_of(y))))]})
+
+    total = self_pairs(copies, copies.count(), kernel, "total double").agg(F.sum("total")).first()[0]
+    return total / n**2 if n else None
 
-    def nearest(d: np.ndarray) -> np.ndarray:
-        top = min(length, d.shape[1])
-        return np.argpartition(d, top - 1, axis=1)[:, :top]
+
+def list_kernel(length: int) -> Kernel:
+    """Kernel for (row_id, other, d): the ``length`` nearest right rows of each left row."""
 
     def kernel(x: Block, y: Block) -> pa.Table | None:
         if not len(x.x) or not len(y.x):
             return None
-        d = distances(x.x, y.x)
-        at = nearest(d)
-        return table(as_array(x.ids), at, as_array(y.ids), np.take_along_axis(d, at, axis=1))
-
-    def fold(met: list[pa.Table]) -> pa.Table:
-        # each table holds as many entries for every left row, in the order of the rows
-        ids = as_array(met[0].column("row_id")).unique()
-        d = np.concatenate([t.column("d").to_numpy().reshape(len(ids), -1) for t in met], axis=1)
-        starts = np.cumsum([0] + [t.num_rows for t in met])
-        places = np.concatenate([np.arange(a, b).reshape(len(ids), -1) for a, b in zip(starts, starts[1:], strict=False)], axis=1)
-        at = nearest(d)
-        of = as_array(pa.chunked_array([c for t in met for c in t.column("other").chunks]))
-        return table(ids, np.take_along_axis(places, at, axis=1), of, np.take_along_axis(d, at, axis=1))
+        at, d = nearest(x.x, y.x, length)
+        rows = np.repeat(np.arange(len(d)), d.shape[1])
+        ids, others = as_array(x.ids).take(pa.array(rows)), as_array(y.ids).take(pa.array(at.ravel()))
+        return pa.table({"row_id": ids, "other": others, "d": d.ravel()})
 
-    return kernel, fold
+    return kernel
 
 
 def list_schema(left: DataFrame, right: DataFrame) -> str:
@@ -297,8 +341,7 @@ def nearest_rows(
         found = indexed_nearest_rows(left, right, length)
         if found.near is not None:
             return found.near
-    kernel, fold = list_kernel(length)
-    near = plan.run(kernel, list_schema(left, right), fold)
+    near = plan.run(list_kernel(length), list_schema(left, right), by_group=True)
     return near if plan.whole else shortest(near, length)
 
 
@@ -309,30 +352,36 @@ def nearest_distances(
 
     A block returns its k smallest distances per row; the k-th of their union is exact. ``index`` as in ``nearest_rows``.
     """
-    plan = PairPlan(left.select("row_id", "v"), right.select("row_id", "v"), share=share)
+    same = left is right
+    left, right = left.select("row_id", "v"), right.select("row_id", "v")
+    different = different_vectors(left)
+    asking = left if different is None else different.select("row_id", "v")
+    copies = with_copies(right) if not same or different is None else different
+    plan = PairPlan(asking, copies, share=share)
     whole = plan.whole
     if not whole and plan.right_blocks >= INDEX_BLOCKS if index is None else index:
-        near = nearest_rows(left, right, k, share=share, index=index)
-        return near.groupBy("row_id").agg(F.max("d").alias("kth_distance"))
-
-    def kernel(x: Block, y: Block) -> pa.Table:
-        d = distances(x.x, y.x)
-        top = min(k, d.shape[1])
-        near = np.partition(d, top - 1, axis=1)[:, :top]
-        if whole:
-            return pa.table({"row_id": x.ids, "d": near[:, -1]})
-        ids = as_array(x.ids).take(pa.array(np.repeat(np.arange(len(d)), top)))
-        return pa.table({"row_id": ids, "d": near.ravel()})
-
-    def fold(met: list[pa.Table]) -> pa.Table:
-        # each table holds as many distances for every left row, in the order of the rows
-        ids = met[0].column("row_id").unique()
-        d = np.concatenate([t.column("d").to_numpy().reshape(len(ids), -1) for t in met], axis=1)
-        top = min(k, d.shape[1])
-        return pa.table({"row_id": ids.take(pa.array(np.repeat(np.arange(len(ids)), top))), "d": np.partition(d, top - 1, axis=1)[:, :top].ravel()})
-
-    near = plan.run(kernel, f"{id_field(left)}, d double", fold)
-    if whole:
-        return near.withColumnRenamed("d", "kth_distance")
-    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("row_id").orderBy("d")))
-    return ranked.filter(F.col("_r") <= k).groupBy("row_id").agg(F.max("d").alias("kth_distance"))
+        near = nearest_rows(asking, copies, k, share=share, index=index).join(
+            copies.select(F.col("row_id").alias("other"), "n"), "other"
+        )
+        found = _kth(near, k)
+    else:
+
+        def kernel(x: Block, y: Block) -> pa.Table:
+            at, d = nearest(x.x, y.x, k)
+            n = copies_of(y).astype(np.int64)[at]
+            if whole:
+                last = np.minimum((np.cumsum(n, axis=1) < k).sum(axis=1), d.shape[1] - 1)
+                return pa.table({"row_id": x.ids, "d": np.take_along_axis(d, last[:, None], 1)[:, 0], "n": np.ones(len(d), np.int64)})
+            ids = as_array(x.ids).take(pa.array(np.repeat(np.arange(len(d)), d.shape[1])))
+            return pa.table({"row_id": ids, "d": d.ravel(), "n": n.ravel()})
+
+        near = plan.run(kernel, f"{id_field(asking)}, d double, n bigint", by_group=True)
+        found = near.select("row_id", F.col("d").alias("kth_distance")) if whole else _kth(near, k)
+    return found if different is None else of_members(left, different, found)
+
+
+def _kth(near: DataFrame, k: int) -> DataFrame:
+    """(row_id, kth_distance) from entries (row_id, d, n): where the copies reach k, else the farthest entry."""
+    before = F.sum("n").over(Window.partitionBy("row_id").orderBy("d").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = near.withColumn("_before", F.coalesce(before, F.lit(0)))
+    return ranked.filter(F.col("_before") < k).groupBy("row_id").agg(F.max("d").alias("kth_distance"))

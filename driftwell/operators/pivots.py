@@ -149,9 +149,8 @@ def _met(left: DataFrame, right: DataFrame, asked: np.ndarray, held: np.ndarray,
     a = a.withColumn("_i", F.pmod(F.xxhash64("row_id"), F.col("lefts")).cast("int")).withColumn("_j", spread(0, F.col("rights") - 1))
     b = own_columns(right).join(groups, "cell")
     b = b.withColumn("_j", F.pmod(F.xxhash64("row_id"), F.col("rights")).cast("int")).withColumn("_i", spread(0, F.col("lefts") - 1))
-    kernel, fold = list_kernel(length)
     columns = ["row_id", "v", "cell", "_i", "_j"]
-    return meet(a.select(*columns), b.select(*columns), ["cell", "_i", "_j"], kernel, list_schema(left, right), fold)
+    return meet(a.select(*columns), b.select(*columns), ["cell", "_i", "_j"], list_kernel(length), list_schema(left, right), by_group=True)
 
 
 @dataclass

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.operators.detectors import unit_weights, weighted_mean
-from driftwell.operators.pairs import mean_distances
+from driftwell.operators.pairs import mean_distances, mean_pair_distance, merged_rows
 from driftwell.operators.views import pca_views
 
 
 def mean_self_distance(reference: DataFrame) -> float:
     """Mean distance of all reference pairs, the zero distances to itself included."""
-    return mean_distances(reference, reference).agg(F.avg("mean_distance")).first()[0]
+    return mean_pair_distance(reference)
 
 
 def distance_scores(
@@ -25,5 +25,6 @@ def distance_scores(
         reference, pool = pca_views(reference, pool, n_components)
     weights = unit_weights(pool) if weights is None else weights
     within = mean_self_distance(reference)
+    pool, weights = merged_rows(pool, weights)
     crossing = weighted_mean(mean_distances(pool, reference), weights, "mean_distance", "crossing")
     return crossing.withColumn("score", F.abs(F.col("crossing") - F.lit(within))).drop("crossing")
