@@ -21,16 +21,29 @@ under until up upon us very was we were what when where which while who whom why
 """.split()
 
 
-def tokens(docs: DataFrame, *, row_id: str = "row_id", text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
-    """(row_id, term, tf): lower-cased words of two or more characters with their counts."""
+def words(docs: DataFrame, *, row_id: str = "row_id", text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
+    """(row_id, term): every lower-cased word of two or more characters."""
     stop = STOP_WORDS if stop_words is None else stop_words
-    words = docs.select(
+    found = docs.select(
         F.col(row_id).alias("row_id"),
         F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0))).alias("term"),
     )
-    if stop:
-        words = words.filter(~F.col("term").isin(list(stop)))
-    return words.groupBy("row_id", "term").agg(F.count("*").alias("tf"))
+    return found.filter(~F.col("term").isin(list(stop))) if stop else found
+
+
+def frequent_terms(docs: DataFrame, *, max_features: int = MAX_FEATURES, **options) -> DataFrame:
+    """(term): the most frequent words, ties in term order. Words are added up per task, so that no occurrence is shuffled."""
+    counted = words(docs, **options).groupBy("term").agg(F.count("*").alias("total"))
+    return counted.orderBy(F.desc("total"), "term").limit(max_features).select("term")
+
+
+def tokens(docs: DataFrame, *, terms: DataFrame | None = None, **options) -> DataFrame:
+    """(row_id, term, tf): the words of each document with their counts; with ``terms``, a list as long as a
+    vocabulary, only those, left out before anything is shuffled."""
+    found = words(docs, **options)
+    if terms is not None:
+        found = found.join(F.broadcast(terms), "term", "left_semi")
+    return found.groupBy("row_id", "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, n_docs: int, *, max_features: int = MAX_FEATURES) -> DataFrame:
@@ -70,16 +83,17 @@ def tfidf_vectors(
     Only the vocabulary, at most ``max_features`` terms, passes through the driver; the
     documents are then vectorised where they lie, without a shuffle.
     """
-    counts = tokens(train, row_id=row_id, text=text, stop_words=stop_words)
+    options = {"row_id": row_id, "text": text, "stop_words": stop_words}
+    counts = tokens(train, terms=frequent_terms(train, max_features=max_features, **options), **options)
     known = vocabulary(counts, train.count(), max_features=max_features).orderBy("pos").collect()
-    words = docs.select(
+    listed = docs.select(
         F.col(row_id).alias("row_id"),
         *(keep or []),
         F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0)).alias("words"),
     )
     counted = CountVectorizerModel.from_vocabulary(
         [r["term"] for r in known], inputCol="words", outputCol="tf"
-    ).transform(words)
+    ).transform(listed)
     scale = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in known]), inputCol="tf", outputCol="raw")
     unit = Normalizer(p=2.0, inputCol="raw", outputCol="unit")
     return unit.transform(scale.transform(counted)).select(

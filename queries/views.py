@@ -10,7 +10,7 @@ from driftwell.operators import views as V
 from driftwell.session import cut_lineage, ensure_checkpoint_dir
 from driftwell.sources.delimited import clean_rows, read_delimited, read_vectors
 from driftwell.sources.series import assemble_series
-from driftwell.sources.text import STOP_WORDS, tfidf_entries, tfidf_vectors, tokens, vocabulary
+from driftwell.sources.text import STOP_WORDS, frequent_terms, tfidf_entries, tfidf_vectors, tokens, vocabulary
 from queries import query
 from queries.common import as_output, rounded, table
 from queries.profile import COVERED, covered_documents
@@ -159,7 +159,7 @@ ALL_DOCS = "docs AS (SELECT doc_id AS row_id, text, lang, source FROM documents)
 @query("tfidf_vectors", f"WITH {ALL_DOCS}, {tfidf_sql('docs', 'docs')} SELECT row_id, pos::INT AS pos, term, round(weight, 6) AS weight FROM entries")
 def tfidf_entries_query(spark, sf):
     docs = documents(spark, sf)
-    counts = tokens(docs)
+    counts = tokens(docs, terms=cut_lineage(frequent_terms(docs)))
     return as_output(tfidf_entries(counts, vocabulary(counts, docs.count())))
 
 
