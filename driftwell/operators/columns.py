@@ -16,6 +16,7 @@ from driftwell.functions.stats import chi_square_p, kolmogorov_p, normal_two_sid
 from driftwell.operators.detectors import unit_weights, weight_columns, weight_keys
 from driftwell.operators.ordered import running_totals
 from driftwell.operators.pairs import spread
+from driftwell.operators.resample import ALPHA_TYPE, alpha_key
 from driftwell.operators.views import numeric_columns
 from driftwell.session import cut_lineage
 
@@ -72,6 +73,19 @@ def drawn_rows(pool: DataFrame, weights: DataFrame, columns: list[str]) -> Drawn
     return Drawn(rows, grid.select(*weight_keys(weights), *place), width, (n - 1) // width + 1)
 
 
+def drawn_counters(pool: DataFrame, counters: DataFrame, alphas: list[float], n_runs: int, columns: list[str]) -> Drawn:
+    """The join of pool and resample counters (run, row_id, w0, w1, ...) as drawn: a run's counters fill their slots of a
+    chunk, so they are neither made long nor grouped again."""
+    n = len(alphas)
+    runs = max(1, min(n_runs, SLOTS // n))
+    slots = [F.expr(f"if(run % {runs} = {i // n}, bigint(w{i % n}), 0L) AS {s}") for i, s in enumerate(_slots(runs * n))]
+    placed = counters.select("row_id", F.floor(F.col("run") / runs).cast("int").alias("chunk"), *slots)
+    cells = [(alpha_key(a), run, run // runs, run % runs * n + i) for run in range(n_runs) for i, a in enumerate(alphas)]
+    grid = pool.sparkSession.createDataFrame(cells, f"alpha {ALPHA_TYPE}, run int, chunk int, slot int")
+    rows = placed.join(pool.select("row_id", *columns), "row_id").drop("row_id")
+    return Drawn(rows, grid, runs * n, (n_runs - 1) // runs + 1)
+
+
 def both_counts(reference: DataFrame, drawn: Drawn, columns: list[str], kind: str) -> DataFrame:
     """Counts of both sides by value: (chunk, column, value, r, t0, t1, ...)."""
     slots, zero = _slots(drawn.width), F.lit(0).cast("bigint")
@@ -96,20 +110,26 @@ def _by_resample(found: DataFrame, grid: DataFrame, parts: list[str]) -> DataFra
     )
 
 
-def _defaults(pool: DataFrame, weights: DataFrame | None) -> DataFrame:
-    return unit_weights(pool) if weights is None else weights
+def _drawn(pool: DataFrame, weights: DataFrame | Drawn | None, columns: list[str]) -> Drawn:
+    """``weights``: resample weights, one row each by default, or their join with the pool."""
+    if isinstance(weights, Drawn):
+        return weights
+    return drawn_rows(pool, unit_weights(pool) if weights is None else weights, columns)
+
+
+def _grid_keys(drawn: Drawn) -> list[str]:
+    return weight_keys(drawn.grid.drop("chunk", "slot"))
 
 
 def numeric_statistics(
-    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None, *, drawn: Drawn | None = None
+    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | Drawn | None = None
 ) -> DataFrame:
-    """(keys..., column, ks, ks_p, wasserstein) of numeric columns from one pass; ``drawn``
-    stands for ``pool`` and ``weights`` where the caller has joined them.
+    """(keys..., column, ks, ks_p, wasserstein) of numeric columns from one pass.
 
     ks is the largest gap of the two distribution functions, wasserstein the area
     between them over the reference's standard deviation.
     """
-    drawn = drawn or drawn_rows(pool, _defaults(pool, weights), columns)
+    drawn = _drawn(pool, weights, columns)
     counts, grid, slots = both_counts(reference, drawn, columns, "double"), drawn.grid, _slots(drawn.width)
     steps = running_totals(counts, ["chunk", "column"], "value", ["r", *slots], following=True)
     step = "coalesce(following - value, 0.0D)"
@@ -131,7 +151,7 @@ def numeric_statistics(
         [f"struct({t}_ks AS ks, {t}_area AS area, r_all AS n, {t}_all AS m)" for t in slots],
     )
     return long.join(F.broadcast(spreads), "column").select(  # one row per column of the schema
-        *weight_keys(grid.drop("chunk", "slot")),
+        *_grid_keys(drawn),
         "column",
         "ks",
         kolmogorov_p(F.col("ks"), F.col("n"), F.col("m")).alias("ks_p"),
@@ -140,7 +160,7 @@ def numeric_statistics(
 
 
 def categorical_statistics(
-    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None, *, drawn: Drawn | None = None
+    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | Drawn | None = None
 ) -> DataFrame:
     """(keys..., column, js, chi_square, df, z) of categorical columns from one pass.
 
@@ -148,7 +168,7 @@ def categorical_statistics(
     test counts with reference shares; z is the pooled two-proportion statistic of the
     first of two categories, null for more than two.
     """
-    drawn = drawn or drawn_rows(pool, _defaults(pool, weights), columns)
+    drawn = _drawn(pool, weights, columns)
     counts, grid, slots = both_counts(reference, drawn, columns, "string"), drawn.grid, _slots(drawn.width)
     keys = ["chunk", "column"]
     sums = ["r", *slots]
@@ -189,25 +209,25 @@ def categorical_statistics(
     error = F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
     z = F.coalesce((a / n - b / m) / F.when(error > 0, error), F.lit(0.0))
     return long.select(
-        *weight_keys(grid.drop("chunk", "slot")), "column", "js", "chi_square", "df", F.when(F.col("df") <= 1, z).alias("z")
+        *_grid_keys(drawn), "column", "js", "chi_square", "df", F.when(F.col("df") <= 1, z).alias("z")
     )
 
 
-def ks_by_column(reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None) -> DataFrame:
+def ks_by_column(reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | Drawn | None = None) -> DataFrame:
     """(keys..., column, statistic, p_value) of the Kolmogorov-Smirnov test."""
     found = numeric_statistics(reference, pool, columns, weights)
     return found.withColumnsRenamed({"ks": "statistic", "ks_p": "p_value"}).drop("wasserstein")
 
 
 def wasserstein_by_column(
-    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None
+    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | Drawn | None = None
 ) -> DataFrame:
     """(keys..., column, statistic): normalised Wasserstein distance."""
     return numeric_statistics(reference, pool, columns, weights).withColumnRenamed("wasserstein", "statistic").drop("ks", "ks_p")
 
 
 def jensen_shannon_by_column(
-    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None
+    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | Drawn | None = None
 ) -> DataFrame:
     """(keys..., column, statistic): Jensen-Shannon distance."""
     found = categorical_statistics(reference, pool, columns, weights)
@@ -215,7 +235,7 @@ def jensen_shannon_by_column(
 
 
 def chi_square_by_column(
-    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None
+    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | Drawn | None = None
 ) -> DataFrame:
     """(keys..., column, statistic, df, p_value) of the chi-square test."""
     found = categorical_statistics(reference, pool, columns, weights).withColumnRenamed("chi_square", "statistic")
@@ -223,7 +243,7 @@ def chi_square_by_column(
 
 
 def proportion_z_by_column(
-    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | None = None
+    reference: DataFrame, pool: DataFrame, columns: list[str], weights: DataFrame | Drawn | None = None
 ) -> DataFrame:
     """(keys..., column, statistic, p_value) of the two-proportion test, for columns with
     at most two categories."""
@@ -253,7 +273,7 @@ def _reference_sizes(reference: DataFrame, columns: list[str]) -> tuple[int, dic
 def column_drift(
     reference: DataFrame,
     pool: DataFrame,
-    weights: DataFrame | None = None,
+    weights: DataFrame | Drawn | None = None,
     *,
     columns: list[str] | None = None,
     family: str = "distance",
@@ -269,16 +289,15 @@ def column_drift(
     """
     if family not in FAMILIES:
         raise ValueError(f"family must be one of {FAMILIES}, got {family!r}")
-    weights = _defaults(pool, weights)
     columns = columns or [c for c in reference.columns if c != "row_id"]
     numbers = [c for c in numeric_columns(reference) if c in columns]
     _, distinct = _reference_sizes(reference, columns)
     numeric = [c for c in numbers if distinct[c] > FEW_VALUES]
     categorical = [c for c in columns if c not in numeric]
-    keys = [*weight_keys(weights), "column"]
+    drawn = _drawn(pool, weights, columns)
+    keys = [*_grid_keys(drawn), "column"]
     small = family == "test"
     parts: list[DataFrame] = []
-    drawn = drawn_rows(pool, weights, columns)
     if numeric and categorical:
         drawn = replace(drawn, rows=cut_lineage(drawn.rows))  # both kinds read it
 
@@ -286,13 +305,13 @@ def column_drift(
         parts.append(found.select(*keys, test.alias("test"), statistic.alias("statistic"), drifted.alias("drifted")))
 
     if numeric:
-        found = numeric_statistics(reference, pool, numeric, weights, drawn=drawn)
+        found = numeric_statistics(reference, pool, numeric, drawn)
         if small:
             add(found, F.lit("ks"), F.col("ks"), F.col("ks_p") < p_level)
         else:
             add(found, F.lit("wasserstein"), F.col("wasserstein"), F.col("wasserstein") >= distance_level)
     if categorical:
-        found = categorical_statistics(reference, pool, categorical, weights, drawn=drawn)
+        found = categorical_statistics(reference, pool, categorical, drawn)
         if small:
             tested = found.withColumn("_chi_p", chi_square_p("chi_square", "df")).withColumn(
                 "_z_p", normal_two_sided_p(F.coalesce("z", F.lit(0.0)))
@@ -312,8 +331,7 @@ def column_drift(
     return out
 
 
-def drifted_share(reference: DataFrame, pool: DataFrame, weights: DataFrame | None = None, **rule) -> DataFrame:
+def drifted_share(reference: DataFrame, pool: DataFrame, weights: DataFrame | Drawn | None = None, **rule) -> DataFrame:
     """(keys..., score): share of drifted columns."""
-    weights = _defaults(pool, weights)
     drift = column_drift(reference, pool, weights, **rule)
-    return drift.groupBy(*weight_keys(weights)).agg(F.avg(F.col("drifted").cast("double")).alias("score"))
+    return drift.groupBy(*weight_keys(drift.drop("column", "test", "statistic", "drifted"))).agg(F.avg(F.col("drifted").cast("double")).alias("score"))

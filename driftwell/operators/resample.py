@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.functions.hashing import index_draw
@@ -61,49 +61,56 @@ def _per_group(values: dict[str, int]) -> str:
     return f"(CASE grp {cases} ELSE 0L END)"
 
 
-def draw_weights(
+def _draws(spark: SparkSession, sizes: dict[str, int], counts: dict[str, list[int]], n_runs: int, seed: int) -> DataFrame:
+    """(draw, grp, run, rn): draw number i of run r in group g is the row with number floor(u * size_g), u being the
+    hash of (seed + r, g, i)."""
+    longest = {g: max(c) for g, c in counts.items()}
+    return (
+        spark.range(max(longest.values()))
+        .withColumnRenamed("id", "draw")
+        .withColumn("grp", F.explode(F.array(*[F.lit(g) for g in counts])))
+        .filter(f"draw < {_per_group(longest)}")
+        .withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))))
+        .withColumn("rn", index_draw(F.expr(_per_group(sizes)), F.col("run") + F.lit(seed), F.col("grp"), F.col("draw")))
+    )
+
+
+def draw_counts(
     numbered: DataFrame,
     sizes: dict[str, int],
     counts: dict[str, list[int]],
-    alphas: list[float],
     *,
     n_runs: int,
     seed: int,
     row_id: str = "row_id",
 ) -> DataFrame:
-    """(alpha, run, row_id, w) for pool rows numbered within ``grp``.
+    """(run, row_id, w0, w1, ...) for pool rows numbered within ``grp``: how often a run draws the row at each alpha.
 
-    Draw number i of run r in group g is the row with number
-    floor(u * size_g), u being the hash of (seed + r, g, i). One shuffle carries
-    one counter per alpha; the long form is made after it.
-    """
-    spark = numbered.sparkSession
-    alphas = [alpha_key(a) for a in alphas]
-    longest = {g: max(c) for g, c in counts.items()}
-    size = F.expr(_per_group(sizes))
-    draws = (
-        spark.range(max(longest.values()))
-        .withColumnRenamed("id", "draw")
-        .withColumn("grp", F.explode(F.array(*[F.lit(g) for g in counts])))
-        .filter(f"draw < {_per_group(longest)}")
-        .withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))))
-        .withColumn("rn", index_draw(size, F.col("run") + F.lit(seed), F.col("grp"), F.col("draw")))
-    )
+    One shuffle carries one counter per alpha."""
+    draws = _draws(numbered.sparkSession, sizes, counts, n_runs, seed)
+    n_alphas = len(next(iter(counts.values())))
     taken = [
-        F.expr(f"int(count_if(draw < {_per_group({g: c[i] for g, c in counts.items()})})) AS w{i}")
-        for i in range(len(alphas))
+        F.expr(f"int(count_if(draw < {_per_group({g: c[i] for g, c in counts.items()})})) AS w{i}") for i in range(n_alphas)
     ]
-    counted = draws.groupBy("run", "grp", "rn").agg(*taken)
-    listed = ", ".join(f"struct(CAST({a} AS {ALPHA_TYPE}) AS alpha, w{i} AS w)" for i, a in enumerate(alphas))
+    drawn = draws.groupBy("run", "grp", "rn").agg(*taken)
+    return drawn.join(numbered.select(row_id, "grp", "rn"), ["grp", "rn"]).select(
+        F.col("run").cast("int"), row_id, *[f"w{i}" for i in range(n_alphas)]
+    )
+
+
+def long_weights(counted: DataFrame, alphas: list[float]) -> DataFrame:
+    """(alpha, run, other columns..., w) from counters ``w0, w1, ...`` of the alphas: one row for each that is not zero."""
+    own = [f"w{i}" for i in range(len(alphas))]
+    listed = ", ".join(f"struct(CAST({alpha_key(a)} AS {ALPHA_TYPE}) AS alpha, {w} AS w)" for a, w in zip(alphas, own, strict=True))
+    others = [c for c in counted.columns if c not in (*own, "run")]
     return (
-        counted.join(numbered.select(row_id, "grp", "rn"), ["grp", "rn"])
-        .select("run", row_id, F.explode(F.expr(f"array({listed})")).alias("z"))
-        .select(F.col("z.alpha").alias("alpha"), F.col("run").cast("int"), row_id, F.col("z.w").alias("w"))
+        counted.select("run", *others, F.explode(F.expr(f"array({listed})")).alias("z"))
+        .select(F.col("z.alpha").alias("alpha"), "run", *others, F.col("z.w").alias("w"))
         .filter(F.col("w") > 0)
     )
 
 
-def _weights(
+def _counters(
     grouped: DataFrame,
     count_rule,
     alphas: list[float],
@@ -120,7 +127,18 @@ def _weights(
         buckets = buckets.groupBy(F.lit(WHOLE_POOL).alias("grp"), "_bucket").agg(F.sum("_n").alias("_n"))
         sizes = {WHOLE_POOL: sum(sizes.values())}
     numbered = number_rows(rows, row_id, ["grp"], counts=buckets)
-    return draw_weights(numbered, sizes, counts, alphas, n_runs=n_runs, seed=seed, row_id=row_id)
+    return draw_counts(numbered, sizes, counts, n_runs=n_runs, seed=seed, row_id=row_id)
+
+
+def _weights(
+    grouped: DataFrame,
+    count_rule,
+    alphas: list[float],
+    n_runs: int,
+    seed: int,
+    row_id: str,
+) -> DataFrame:
+    return long_weights(_counters(grouped, count_rule, alphas, n_runs, seed, row_id), alphas)
 
 
 def class_mixture_weights(
@@ -153,11 +171,24 @@ def subgroup_shift_weights(
     row_id: str = "row_id",
 ) -> DataFrame:
     """Resamples whose subgroup share grows with alpha; a null predicate means outside."""
+    return long_weights(subgroup_shift_counters(pool, in_subgroup, alphas, n_runs=n_runs, seed=seed, row_id=row_id), alphas)
+
+
+def subgroup_shift_counters(
+    pool: DataFrame,
+    in_subgroup: Column,
+    alphas: list[float],
+    *,
+    n_runs: int,
+    seed: int = 42,
+    row_id: str = "row_id",
+) -> DataFrame:
+    """The same with a row for each run and counters of the alphas (see ``long_weights``), for callers that join them first."""
     for a in alphas:
         alpha_key(a)
     inside = F.coalesce(in_subgroup, F.lit(False))
     grouped = pool.withColumn("grp", F.when(inside, "b").otherwise("a"))
-    return _weights(grouped, subgroup_counts, alphas, n_runs, seed, row_id)
+    return _counters(grouped, subgroup_counts, alphas, n_runs, seed, row_id)
 
 
 def bootstrap_weights(

@@ -21,13 +21,13 @@ FLAGS = ["l_returnflag", "l_linestatus"]
 
 
 def sides(spark, sf):
-    """(reference, pool, weights) of lineitem with the share of returned items raised."""
-    keyed = cut_lineage(line_items(spark, sf).select("row_id", *NUMBERS, *FLAGS))
+    """(reference, pool, resamples joined with the pool) of lineitem with the share of returned items raised."""
+    keyed = line_items(spark, sf).select("row_id", *NUMBERS, *FLAGS)
     rows = cut_lineage(split_by_fraction(keyed, "row_id", 0.5, seed=SEED))
     reference = rows.filter("is_reference").drop("is_reference")
     pool = rows.filter("NOT is_reference").drop("is_reference")
-    weights = S.subgroup_shift_weights(pool, in_subgroup("l_returnflag", "R"), GRID, n_runs=RUNS, seed=SEED)
-    return reference, pool, cut_lineage(weights)
+    counters = S.subgroup_shift_counters(pool, in_subgroup("l_returnflag", "R"), GRID, n_runs=RUNS, seed=SEED)
+    return reference, pool, C.drawn_counters(pool, cut_lineage(counters), GRID, RUNS, [*NUMBERS, *FLAGS])
 
 
 SPLIT_SQL = f"""{LINES_SQL}, split AS (SELECT *, k <= floor(0.5 * (SELECT count(*) FROM lines)) AS is_reference FROM {rank_sql("lines", "42", "split")}),

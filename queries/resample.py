@@ -117,9 +117,9 @@ RETURNED_SQL = f"{LINES_SQL}, src AS (SELECT row_id, CASE WHEN l_returnflag = 'R
 def subgroup_weights(spark, sf):
     """Whole lineitem as the pool; each resample summed up."""
     lines = line_items(spark, sf).select("row_id", "l_returnflag", "l_quantity")
-    drawn = S.subgroup_shift_weights(lines, in_subgroup("l_returnflag", "R"), GRID, n_runs=RUNS, seed=SEED)
+    drawn = S.subgroup_shift_counters(lines, in_subgroup("l_returnflag", "R"), GRID, n_runs=RUNS, seed=SEED)
     w = F.col("w").cast("bigint")
-    joined = drawn.join(lines, "row_id")
+    joined = S.long_weights(drawn.join(lines, "row_id").drop("row_id"), GRID)
     return as_output(
         joined.groupBy("alpha", "run").agg(
             F.count("*").alias("n_rows"),
