@@ -76,3 +76,20 @@ def test_long_broken_pages_take_linear_time():
     start = time.process_time()
     html.blocks_of("<div class='ad'><p class=ad>" * 60000 + "x" + "<li class='menu'><b>" * 60000)
     assert time.process_time() - start < 20
+
+
+def test_every_page_goes_through_the_host_streams(spark, monkeypatch):
+    """Pages that mark their article too: their text comes out of the stage that holds the host's suffix array."""
+    judged = html.main_text(spark.createDataFrame([(i, "https://one.example/p", f"<nav>Home</nav><article><p>Story {i}</p></article>") for i in range(3)], PAGES))
+    plan = judged._jdf.queryExecution().analyzed().toString()
+    assert "Union" in plan and plan.split("\n")[1].lstrip("+- ").startswith("MapInArrow _unique_runs")
+    assert {r["text"] for r in judged.collect()} == {"Story 0", "Story 1", "Story 2"}
+
+
+def test_article_blocks_are_measured_but_tell_nothing():
+    line = "one two three four five six seven eight nine"
+    pages = [[line, "own words of this page alone stand here now"], [line], ["other words that no page but this one has here"]]
+    parts = html.covered(pages, witness=[[False, True], [False], [True]])
+    assert [list(p) for p in parts] == [[0.0, 0.0], [0.0], [0.0]]
+    parts = html.covered([*pages, [line], [line]], witness=[[False, True], [False], [True], [True], [True]])
+    assert [list(p) for p in parts] == [[1.0, 0.0], [1.0], [0.0], [1.0], [1.0]]
