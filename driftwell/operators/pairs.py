@@ -261,7 +261,11 @@ def merged_rows(rows: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFra
 def with_copies(rows: DataFrame) -> DataFrame:
     """(row_id, v, n): the different vectors, or each row as one of its own."""
     different = different_vectors(rows)
-    return rows.select("row_id", "v", F.lit(1).cast("bigint").alias("n")) if different is None else different
+    return _once(rows) if different is None else different
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    return rows.select("row_id", "v", F.lit(1).cast("bigint").alias("n"))
 
 
 def copies_of(block: Block) -> np.ndarray:
@@ -276,7 +280,7 @@ def mean_distances(left: DataFrame, right: DataFrame, *, share: bool | None = No
     same = left is right
     left, right = left.select("row_id", "v"), right.select("row_id", "v")
     n_right, different = right.count(), different_vectors(left)
-    copies = with_copies(right) if not same or different is None else different
+    copies = with_copies(right) if not same else _once(right) if different is None else different
     plan = PairPlan(left if different is None else different.select("row_id", "v"), copies, share=share)
 
     def kernel(x: Block, y: Block) -> pa.Table:
@@ -356,14 +360,16 @@ def nearest_distances(
     left, right = left.select("row_id", "v"), right.select("row_id", "v")
     different = different_vectors(left)
     asking = left if different is None else different.select("row_id", "v")
-    copies = with_copies(right) if not same or different is None else different
+    merged = different if same else different_vectors(right)
+    plural, copies = merged is not None, _once(right) if merged is None else merged
     plan = PairPlan(asking, copies, share=share)
     whole = plan.whole
     if not whole and plan.right_blocks >= INDEX_BLOCKS if index is None else index:
-        near = nearest_rows(asking, copies, k, share=share, index=index).join(
-            copies.select(F.col("row_id").alias("other"), "n"), "other"
-        )
-        found = _kth(near, k)
+        near = nearest_rows(asking, copies, k, share=share, index=index)
+        if plural:  # then the numbers of the right rows are our own, so none repeats
+            found = _kth(near.join(copies.select(F.col("row_id").alias("other"), "n"), "other"), k)
+        else:
+            found = near.groupBy("row_id").agg(F.max("d").alias("kth_distance"))
     else:
 
         def kernel(x: Block, y: Block) -> pa.Table:

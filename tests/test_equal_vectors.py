@@ -40,6 +40,15 @@ def test_distances_of_copies(copied, share, monkeypatch):
     assert pairs.mean_pair_distance(rows) == pytest.approx(d.mean(), rel=1e-10)
 
 
+def test_repeated_keys_keep_their_rows(spark):
+    """Different vectors under one key: the index counts each right row once."""
+    x = [(0, 0.0), (0, 1.0), (1, 3.0), (2, 6.0), (2, 6.5)]
+    rows = spark.createDataFrame([(i, [v]) for i, v in x], "row_id bigint, v array<double>")
+    asked = spark.createDataFrame([(9, [0.0])], "row_id bigint, v array<double>")
+    got = [r["kth_distance"] for r in pairs.nearest_distances(asked, rows, 4, share=False, index=True).collect()]
+    assert got == [6.0]
+
+
 def test_scores_of_copies(copied, monkeypatch):
     _, rows, weights = copied
     reference = rows.filter("row_id >= 28")
