@@ -14,6 +14,7 @@ pages of several of its shards are found by a count of the runs' hashes and hand
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from html import unescape
 
@@ -256,6 +257,16 @@ def covered(
     return out
 
 
+def _packed(blocks: list[str]) -> bytes:
+    """The blocks of a page, deflated: they are written once and shuffled once. No block has a line break in it."""
+    return zlib.compress("\n".join(blocks).encode())
+
+
+def _unpacked(data: bytes) -> list[str]:
+    text = zlib.decompress(data).decode()
+    return text.split("\n") if text else []
+
+
 def _read(batches: Iterator[pa.RecordBatch]):
     """One row a page, numbered: its blocks, and what its markup says of them."""
     row = TaskContext.get().partitionId() << 33
@@ -263,12 +274,12 @@ def _read(batches: Iterator[pa.RecordBatch]):
         blocks, kinds = [], []
         for html in batch.column(2).to_pylist():
             found, become = blocks_of(html) if html else ([], [])
-            blocks.append(found)
+            blocks.append(_packed(found))
             kinds.append(become)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(row + np.arange(len(blocks))), batch.column(0), batch.column(1),
-                pa.array(kinds, pa.list_(pa.int32())), pa.array(blocks, pa.list_(pa.string())),
+                pa.array(kinds, pa.list_(pa.int32())), pa.array(blocks, pa.binary()),
             ],
             names=["row", "page_id", "url", "kinds", "blocks"],
         )
@@ -290,7 +301,7 @@ def _runs(batches: Iterator[pa.RecordBatch]):
     """(host, shard, hash, row) of each run and short block that is no marked article's, once for a page."""
     for batch in batches:
         kinds = batch.column(4).to_pylist()
-        pages = [[b for b, k in zip(blocks, kind, strict=True) if k != STAYS] for blocks, kind in zip(batch.column(3).to_pylist(), kinds, strict=True)]
+        pages = [[b for b, k in zip(blocks, kind, strict=True) if k != STAYS] for blocks, kind in zip(map(_unpacked, batch.column(3).to_pylist()), kinds, strict=True)]
         sizes = np.array([len(b) for b in pages], np.int64)
         if not sizes.sum():
             continue
@@ -315,6 +326,8 @@ def _unique_runs(batches: Iterator[pa.RecordBatch]):
         for low, high in zip(cuts, cuts[1:], strict=False):
             whole = t.slice(low, high - low)
             pages = whole.filter(pc.is_null(whole.column("w"))).to_pylist()
+            for r in pages:
+                r["blocks"] = _unpacked(r["blocks"])
             known = whole.column("w").drop_null().to_numpy()
             parts = covered([r["blocks"] for r in pages], known=known, witness=[[k != STAYS for k in r["kinds"]] for r in pages])
             out = [(r["page_id"], r["url"], _kept(r["kinds"], r["blocks"], part)) for r, part in zip(pages, parts, strict=True)]
@@ -330,12 +343,15 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    schema = "row long, page_id long, url string, kinds array<int>, blocks array<string>"
+    schema = "row long, page_id long, url string, kinds array<int>, blocks binary"
     read = cut_lineage(rows.mapInArrow(_read, schema))
     streams = read.withColumn("host", host)
     sizes = read.groupBy(host.alias("host")).agg(F.ceil(F.count("*") / SHARD_PAGES).alias("shards"))
     width = partitions(pages.sparkSession)
-    dealt = streams.join(sizes, "host").withColumn("shard", F.concat_ws(" ", "host", F.pmod(F.xxhash64("row"), F.col("shards"))))
+    # only hosts of several shards are sent, at most one per SHARD_PAGES pages, so that the pages themselves are shuffled once
+    large = F.broadcast(sizes.filter("shards > 1"))
+    dealt = streams.join(large, "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    dealt = dealt.withColumn("shard", F.concat_ws(" ", "host", F.pmod(F.xxhash64("row"), F.col("shards"))))
     # hosts of several shards: each run once for a shard, then those that two pages have, back to the shards that have them
     runs = dealt.filter("shards > 1").select("host", "shard", "row", "blocks", "kinds").mapInArrow(_runs, "host string, shard string, w long, row long")
     by_shard = cut_lineage(runs.groupBy("host", "shard", "w").agg(F.min("row").alias("low"), F.max("row").alias("high")))
