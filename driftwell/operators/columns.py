@@ -30,13 +30,14 @@ SLOTS = 8
 
 
 def melted(df: DataFrame, columns: list[str], kind: str, *, keep: list[str] | None = None) -> DataFrame:
-    """(keep..., column, value) without nulls; ``kind`` is the type of ``value``."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in columns])
-    return (
-        df.select(*(keep or []), F.explode(pairs).alias("z"))
-        .select(*(keep or []), "z.*")
-        .filter("value IS NOT NULL")
-    )
+    """(keep..., column, value) without nulls; ``kind`` is the type of ``value``. A row carries its plain values to the
+    explode, names are looked up after it."""
+    return _named(df, columns, [F.col(c).cast(kind) for c in columns], keep or [])
+
+
+def _named(df: DataFrame, columns: list[str], values: list[Column], keep: list[str]) -> DataFrame:
+    long = df.select(*keep, F.posexplode(F.array(*values)).alias("_at", "value")).filter("value IS NOT NULL")
+    return long.select(*keep, F.get(F.lit(columns), F.col("_at")).alias("column"), "value")
 
 
 def value_counts(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
@@ -253,21 +254,21 @@ def proportion_z_by_column(
     )
 
 
-def _reference_sizes(reference: DataFrame, columns: list[str]) -> tuple[int, dict[str, int]]:
-    """Row count and distinct values per column, exact where there are few.
+def _distinct_values(reference: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Distinct values per column, exact where there are few.
 
     A sketch fed with few values holds few marks, so a large estimate proves that there
-    are many; only the other columns are counted exactly.
+    are many; only the other columns are counted exactly. A sketch is a row of its own, not
+    one of as many aggregates as there are columns.
     """
-    sketch = reference.agg(
-        F.count("*").alias("n"), *[F.approx_count_distinct(c).alias(f"_{i}") for i, c in enumerate(columns)]
-    ).first()
-    distinct = {c: sketch[f"_{i}"] for i, c in enumerate(columns)}
+    marks = [F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in columns]
+    sketch = _named(reference, columns, marks, []).groupBy("column").agg(F.approx_count_distinct("value").alias("k")).collect()
+    distinct = dict.fromkeys(columns, 0) | {r["column"]: r["k"] for r in sketch}
     unsure = [c for c, k in distinct.items() if k <= MANY_VALUES]
     if unsure:
         exact = value_counts(reference, unsure, "string").groupBy("column").agg(F.count("*").alias("k")).collect()
         distinct.update({c: 0 for c in unsure} | {r["column"]: r["k"] for r in exact})
-    return sketch["n"], distinct
+    return distinct
 
 
 def column_drift(
@@ -291,7 +292,7 @@ def column_drift(
         raise ValueError(f"family must be one of {FAMILIES}, got {family!r}")
     columns = columns or [c for c in reference.columns if c != "row_id"]
     numbers = [c for c in numeric_columns(reference) if c in columns]
-    _, distinct = _reference_sizes(reference, columns)
+    distinct = _distinct_values(reference, columns)
     numeric = [c for c in numbers if distinct[c] > FEW_VALUES]
     categorical = [c for c in columns if c not in numeric]
     drawn = _drawn(pool, weights, columns)

@@ -114,3 +114,17 @@ def test_unknown_family_is_refused(spark):
     ref = mixed(spark, 3, 20)
     with pytest.raises(ValueError, match="family"):
         C.column_drift(ref, ref, family="auto")
+
+
+def test_wide_tables_are_melted_and_sketched_without_a_struct_or_aggregate_per_column(spark):
+    rows = [(i, *(float(i * k % (k + 1)) if k % 7 else None for k in range(80)), "ab"[i % 2]) for i in range(90)]
+    df = spark.createDataFrame(rows, "row_id bigint, " + ", ".join(f"f{k} double" for k in range(80)) + ", s string")
+    columns = df.columns[1:]
+    plan = C.melted(df, columns, "string")._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct" not in plan and "posexplode" in plan
+    found = C._distinct_values(df, columns)
+    wanted = {c: len({r[i + 1] for r in rows} - {None}) for i, c in enumerate(columns)}
+    assert {c: k for c, k in found.items() if wanted[c] <= 40} == {c: k for c, k in wanted.items() if k <= 40}
+    assert all(found[c] > C.FEW_VALUES for c, k in wanted.items() if k > 40)
+    got = sorted((r["column"], r["value"]) for r in C.melted(df.limit(3), ["f1", "f7", "s"], "string").collect())
+    assert got == [("f1", "0.0"), ("f1", "0.0"), ("f1", "1.0"), ("s", "a"), ("s", "a"), ("s", "b")]
