@@ -276,17 +276,21 @@ def copies_of(block: Block) -> np.ndarray:
 
 
 def mean_distances(left: DataFrame, right: DataFrame, *, share: bool | None = None) -> DataFrame:
-    """(row_id, mean_distance): mean Euclidean distance of each left row to all right rows. Equal vectors meet once."""
+    """(row_id, mean_distance): mean Euclidean distance of each left row to all right rows. Equal vectors meet once, and
+    where there are many pairs cells of rows far away count as a few (see ``far_pairs``)."""
     same = left is right
     left, right = left.select("row_id", "v"), right.select("row_id", "v")
     n_right, different = right.count(), different_vectors(left)
     copies = with_copies(right) if not same else _once(right) if different is None else different
-    plan = PairPlan(left if different is None else different.select("row_id", "v"), copies, share=share)
+    asking = left if different is None else different.select("row_id", "v")
+    plan = PairPlan(asking, copies, share=share)
 
     def kernel(x: Block, y: Block) -> pa.Table:
         return pa.table({"row_id": x.ids, "total": distance_sums(x.x, y.x, copies_of(y))})
 
-    sums = plan.run(kernel, f"{id_field(plan.left)}, total double", by_group=True)
+    sums = None if plan.whole else _far_sums(asking, copies, asking.count(), plan.n_right)
+    if sums is None:
+        sums = plan.run(kernel, f"{id_field(plan.left)}, total double", by_group=True)
     if not plan.whole:
         sums = sums.groupBy("row_id").agg(F.sum("total").alias("total"))
     if different is not None:
@@ -297,14 +301,24 @@ def mean_distances(left: DataFrame, right: DataFrame, *, share: bool | None = No
 def mean_pair_distance(rows: DataFrame) -> float | None:
     """Mean distance of all pairs of ``rows``, the zero distances to themselves included; a pair meets once."""
     n, copies = rows.count(), with_copies(rows.select("row_id", "v"))
+    n_copies = copies.count()
 
     def kernel(x: Block, y: Block, times: int) -> pa.Table:
         return pa.table({"total": [float(times * (copies_of(x) @ distance_sums(x.x, y.x, copies_of(y))))]})
 
-    total = self_pairs(copies, copies.count(), kernel, "total double").agg(F.sum("total")).first()[0]
+    sums = _far_sums(copies, copies, n_copies, n_copies)
+    if sums is None:
+        sums = self_pairs(copies, n_copies, kernel, "total double")
+    total = sums.agg(F.sum("total")).first()[0]
     return total / n**2 if n else None
 
 
+def _far_sums(left: DataFrame, right: DataFrame, n_left: int, n_right: int) -> DataFrame | None:
+    from driftwell.operators.far_pairs import far_sums
+
+    return far_sums(left, right, n_left=n_left, n_right=n_right)
+
+
 def list_kernel(length: int) -> Kernel:
     """Kernel for (row_id, other, d): the ``length`` nearest right rows of each left row."""
 
