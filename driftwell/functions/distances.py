@@ -9,8 +9,9 @@ import numpy as np
 ROUNDING_RISK = 1e-5
 #: The same where distances are only added up: a closer pair is off by 1e-11 of the rows' length at most.
 SUM_RISK = 1e-9
-#: Far above the rounding of a product, as a part of its scale.
+#: Far above the rounding of a product, as a part of its scale; in single precision for each term of it, and the scales for which that holds.
 SLACK = 1e-12
+SINGLE_SLACK, SINGLE_SCALES = 2.0**-21, (1e-20, 1e30)
 #: Rows and columns of a part of a distance matrix that stays in cache.
 TILE_ROWS, TILE_COLUMNS = 128, 2048
 
@@ -24,6 +25,29 @@ def products(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d2, na + nb.max(initial=0.0)
 
 
+class RoughProducts:
+    """Squared distances to the rows of a tile in product form, in single precision where the scale allows, and for
+    each row asked a bound of their rounding. What concerns the tile alone is made once."""
+
+    def __init__(self, b: np.ndarray):
+        self.centre = b.mean(axis=0)
+        bc = b - self.centre
+        nb = np.einsum("ij,ij->i", bc, bc)
+        self.largest = nb.max()
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.single = np.vstack([-2.0 * bc.T, np.ones(len(b)), nb]).astype(np.float32)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ac = a - self.centre
+        na = np.einsum("ij,ij->i", ac, ac)
+        scale = na + self.largest
+        if not (SINGLE_SCALES[0] < scale.min() and scale.max() < SINGLE_SCALES[1]):
+            d2, scale = products(a, b)
+            return d2, SLACK * scale
+        d2 = np.column_stack([ac, na, np.ones(len(a))]).astype(np.float32) @ self.single
+        return d2, SINGLE_SLACK * (a.shape[1] + 8) * scale
+
+
 def by_differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of rows that stand side by side."""
     diff = a - b
@@ -71,6 +95,7 @@ def nearest(a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.n
     farthest. After the first tile only what lies below a row's last distance so far is sorted."""
     top = min(length, len(b))
     at, best = np.zeros((len(a), top), np.int64), np.full((len(a), top), np.nan)
+    rough: dict[int, RoughProducts] = {}
     for i, j in tiles(len(a), len(b)):
         if j.start < top:  # lists are not full yet
             d2 = squared_distances(a[i], b[j])
@@ -80,10 +105,12 @@ def nearest(a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.n
             width = pick.shape[1]
             best[i, :width], at[i, :width] = np.take_along_axis(joined, pick, 1), np.take_along_axis(places, pick, 1)
             continue
-        d2, scale = products(a[i], b[j])
+        if j.start not in rough:
+            rough[j.start] = RoughProducts(b[j])
+        d2, rounding = rough[j.start].of(a[i], b[j])
         last = best[i, -1]
         last = np.where(np.isnan(last), np.inf, last)
-        found = np.flatnonzero((d2 < (last + SLACK * scale)[:, None]).reshape(-1))
+        found = np.flatnonzero((d2 < (last + rounding).astype(d2.dtype)[:, None]).reshape(-1))
         row, column = found // d2.shape[1], found % d2.shape[1]
         d = by_differences(a[i][row], b[j][column])
         nearer = np.flatnonzero(d < last[row])
