@@ -16,13 +16,20 @@ SINGLE_SLACK, SINGLE_SCALES = 2.0**-21, (1e-20, 1e30)
 TILE_ROWS, TILE_COLUMNS = 128, 2048
 
 
-def products(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distances in product form, and for each row of ``a`` the scale that their rounding grows with."""
-    centre = b.mean(axis=0) if len(b) else 0.0
-    ac, bc = a - centre, b - centre
-    na, nb = np.einsum("ij,ij->i", ac, ac), np.einsum("ij,ij->i", bc, bc)
-    d2 = np.column_stack([ac, na, np.ones(len(a))]) @ np.vstack([-2.0 * bc.T, np.ones(len(b)), nb])
-    return d2, na + nb.max(initial=0.0)
+class Products:
+    """Squared distances to the rows of ``b`` in product form; what concerns these rows alone is made once."""
+
+    def __init__(self, b: np.ndarray):
+        self.centre = b.mean(axis=0) if len(b) else 0.0
+        bc = b - self.centre
+        nb = np.einsum("ij,ij->i", bc, bc)
+        self.largest, self.right = nb.max(initial=0.0), np.vstack([-2.0 * bc.T, np.ones(len(b)), nb])
+
+    def of(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The squared distances, and for each row of ``a`` the scale that their rounding grows with."""
+        ac = a - self.centre
+        na = np.einsum("ij,ij->i", ac, ac)
+        return np.column_stack([ac, na, np.ones(len(a))]) @ self.right, na + self.largest
 
 
 class RoughProducts:
@@ -42,7 +49,7 @@ class RoughProducts:
         na = np.einsum("ij,ij->i", ac, ac)
         scale = na + self.largest
         if not (SINGLE_SCALES[0] < scale.min() and scale.max() < SINGLE_SCALES[1]):
-            d2, scale = products(a, b)
+            d2, scale = Products(b).of(a)
             return d2, SLACK * scale
         d2 = np.column_stack([ac, na, np.ones(len(a))]).astype(np.float32) @ self.single
         return d2, SINGLE_SLACK * (a.shape[1] + 8) * scale
@@ -54,14 +61,14 @@ def by_differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", diff, diff)
 
 
-def squared_distances(a: np.ndarray, b: np.ndarray, risk: float = ROUNDING_RISK) -> np.ndarray:
+def squared_distances(a: np.ndarray, b: np.ndarray, risk: float = ROUNDING_RISK, made: Products | None = None) -> np.ndarray:
     """All squared Euclidean distances of the rows of ``a`` and ``b``.
 
     The product form is fast but loses digits for rows that lie close together
     compared with their length; those pairs are computed again by differences,
-    so equal rows are at distance exactly zero.
+    so equal rows are at distance exactly zero. ``made``: the products of ``b``, if the caller has them.
     """
-    d2, scale = products(a, b)
+    d2, scale = (made or Products(b)).of(a)
     flat = d2.reshape(-1)
     close = np.flatnonzero((d2 <= (risk * scale)[:, None]).reshape(-1))
     for start in range(0, len(close), 65536):
@@ -85,8 +92,13 @@ def tiles(n_left: int, n_right: int) -> Iterator[tuple[slice, slice]]:
 def distance_sums(a: np.ndarray, b: np.ndarray, copies: np.ndarray) -> np.ndarray:
     """For each row of ``a`` the sum of its distances to the rows of ``b``, each counted ``copies`` times."""
     out = np.zeros(len(a))
-    for i, j in tiles(len(a), len(b)):
-        out[i] += distances(a[i], b[j], SUM_RISK) @ copies[j]
+    for start in range(0, len(b), TILE_COLUMNS):
+        j = slice(start, start + TILE_COLUMNS)
+        made = Products(b[j])
+        for at in range(0, len(a), TILE_ROWS):
+            i = slice(at, at + TILE_ROWS)
+            d2 = squared_distances(a[i], b[j], SUM_RISK, made)
+            out[i] += np.sqrt(d2, out=d2) @ copies[j]
     return out
 
 

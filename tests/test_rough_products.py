@@ -39,3 +39,16 @@ def test_no_number_is_farthest():
     b[4000] = np.nan
     _, d = nearest(rng.normal(size=(10, 2)), b, 3)
     assert np.isfinite(d).all()
+
+
+@pytest.mark.parametrize("width", [3, 70])
+def test_sums_over_tiles_that_are_made_once(width, monkeypatch):
+    """Rows of several tiles on both sides; a tile of the right side is prepared once, whatever the number of left tiles."""
+    from driftwell.functions import distances
+
+    rng = np.random.default_rng(width)
+    a, b, copies = rng.normal(size=(300, width)), rng.normal(size=(4500, width)), rng.integers(1, 4, 4500).astype(float)
+    made = []
+    monkeypatch.setattr(distances, "Products", lambda tile, of=distances.Products: made.append(len(tile)) or of(tile))
+    assert distances.distance_sums(a, b, copies) == pytest.approx(np.sqrt(squared(a, b)) @ copies, rel=1e-12)
+    assert made == [2048, 2048, 404]
