@@ -9,6 +9,8 @@ from driftwell.functions import far_sums as cells
 from driftwell.functions.distances import distance_sums
 from driftwell.operators import far_pairs, pairs
 from driftwell.operators.projected import distance_scores
+from driftwell.plans.domains import create_domain
+from driftwell.plans.runs import Store, run_domain
 
 
 def accounts(n, seed=3):
@@ -117,3 +119,24 @@ def test_distance_scores_of_many_rows(table, small_leaves, spark, monkeypatch):
     got = {r["run"]: r["score"] for r in distance_scores(reference, rows, weights, n_components=16).collect()}
     crossing = (expected(x, x[:5000]) * w).sum() / w.sum()
     assert got[0] == pytest.approx(abs(crossing - expected(x[:5000], x[:5000]).mean()), abs=1e-7)
+
+
+def test_resumed_run_of_many_rows(spark, small_leaves, tmp_path, monkeypatch):
+    """A stopped and resumed run scores what one detector call does, without a meeting of all pairs."""
+    monkeypatch.setattr(far_pairs, "WORTH", 1.0)
+    x = accounts(9400, seed=7)
+    frame = spark.createDataFrame(
+        [(i, float(v[0]), float(v[1]), "in" if v[2] else "out") for i, v in enumerate(x)], "k bigint, balance double, nation double, seg string"
+    ).cache()
+    domain = create_domain("table", table=frame, row_id="k", subgroup_column="seg", subgroup_value="in")
+    with monkeypatch.context() as patched:
+        patched.setattr(far_pairs, "FAR_PAIRS", 1 << 60)
+        plain = distance_scores(*domain.numeric, domain.draw([0.0, 1.0], 2, 42))
+        before = {(float(r["alpha"]), r["run"]): r["score"] for r in plain.collect()}
+    monkeypatch.setattr(pairs.PairPlan, "run", None)
+    monkeypatch.setattr(pairs, "self_pairs", None)
+    store = Store(spark, str(tmp_path / "run"))
+    for alphas in ([0.0], [0.0, 1.0]):
+        run_domain(domain, store, alphas=alphas, n_runs=2, detectors=["distance"])
+    got = {(float(r["alpha"]), r["run"]): r["score"] for r in store.scores().collect()}
+    assert got == pytest.approx(before, abs=1e-7)
